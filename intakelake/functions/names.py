@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import values as V
 from .regex import matches, squeeze, sub
+from .stage import once
 
 
 def strip_contact(line: Column) -> Column:
@@ -30,11 +31,11 @@ def clean_names(df: DataFrame, raw: str, out: str = "name") -> DataFrame:
     """Keep the rows whose ``raw`` text is name-shaped and add the cleaned name."""
     s = squeeze(F.regexp_replace(F.col(raw), V.NAME_JOINERS, " "))
     s = F.trim(sub(sub(s, V.NAME_HONORIFIC, ""), V.NAME_SUFFIX, ""))
-    df = df.withColumn("_s", s).filter(F.length("_s").between(3, 60))
-    df = df.filter(~F.col("_s").rlike(r"(?i)\d|@|https?:"))
-    df = df.withColumn("_w", F.filter(F.split("_s", " "), lambda w: w != "")).filter(F.size("_w").between(1, 5))
+    # a name holds letters, joiners and quotes only: most texts stop at this one cheap test
+    df = once(df.filter(F.col(raw).rlike(r"^[\p{L}'’.,|•·–—\s-]+$")), _s=s).filter(F.length("_s").between(3, 60))
+    df = once(df, _w=F.filter(F.split("_s", " "), lambda w: w != "")).filter(F.size("_w").between(1, 5))
     df = df.filter(~matches(F.col("_s"), V.NOT_A_NAME))
-    df = df.withColumn("_w", F.transform("_w", title_case_name)).filter(F.forall("_w", lambda w: w.rlike(V.NAME_TOKEN)))
+    df = once(df, _w=F.transform("_w", title_case_name)).filter(F.forall("_w", lambda w: w.rlike(V.NAME_TOKEN)))
     return df.withColumn(out, F.array_join("_w", " ")).drop("_s", "_w")
 
 

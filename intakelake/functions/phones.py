@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import values as V
 from .regex import every
+from .stage import once
 
 
 def digits_of(col: Column) -> Column:
@@ -21,12 +22,12 @@ def with_phone(df: DataFrame, raw: str, prefix: str = "phone") -> DataFrame:
     """Add ``<prefix>``, ``_valid``, ``_country`` and ``_reason`` for the number written in ``raw``."""
     r, d, form = F.trim(F.col(raw)), F.col("_digits"), F.col("_form")
     plus = F.coalesce(r.rlike(r"^\s*\(?\+"), F.lit(False))
-    df = df.withColumn("_plus", plus).withColumn("_all", digits_of(r))
-    df = df.withColumn("_digits", F.when(~F.col("_plus") & F.col("_all").startswith("00"), F.expr("substring(_all, 3)")).otherwise(F.col("_all")))
+    df = once(df, _plus=plus, _all=digits_of(r))
+    df = once(df, _digits=F.when(~F.col("_plus") & F.col("_all").startswith("00"), F.expr("substring(_all, 3)")).otherwise(F.col("_all")))
     blank = r.isNull() | (r == "") | r.rlike(r"(?i)^not\s*found$") | r.rlike(r"(?i)^n/?a$")
-    df = df.withColumn(
-        "_form",
-        F.when(blank, "empty")
+    df = once(
+        df,
+        _form=F.when(blank, "empty")
         .when(F.col("_all") == "", "no digits")
         .when(d.rlike(r"^[6-9]\d{9}$"), "mobile0")
         .when(d.rlike(r"^0[6-9]\d{9}$"), "mobile1")

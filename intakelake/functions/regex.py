@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 _WORD = "[A-Za-z0-9_]"
@@ -9,8 +11,14 @@ _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
 def java(pattern: str) -> str:
-    """Pin word boundaries to ASCII: older JVMs count accented letters as word characters."""
-    return pattern.replace(r"\b", _BOUNDARY)
+    """Pin word boundaries to ASCII: older JVMs count accented letters as word characters.
+
+    A boundary before a word character is a look-behind, one after a word character a look-ahead;
+    only where a dot may stand before it is the full test needed.
+    """
+    pattern = re.sub(r"\\b(?=[A-Za-z0-9(]|\\d|\[\\p|\[Mm)", lambda _: f"(?<!{_WORD})", pattern)
+    dotted = r"\.|" in pattern or r"\.)" in pattern
+    return pattern.replace(r"\b", _BOUNDARY if dotted else f"(?!{_WORD})")
 
 
 def matches(col: Column, pattern: str) -> Column:

@@ -7,23 +7,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import values as V
 from ..functions.names import clean_names, correct_spelling, email_tokens, file_tokens, strip_contact
 from ..functions.regex import matches
+from ..functions.stage import once
 from .phone import rank_candidates, top_and_rest
+from .structure import line_emails
 
 P = V.NAME_POINTS
 FALLBACK = 5
 
 
-def doc_tokens(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Per document: words of its e-mail addresses and of its file name, as sets."""
-    mail = (
-        lines.filter("has_email").select("doc_id", F.explode("emails").alias("email"))
-        .select("doc_id", F.explode(email_tokens(F.col("email"))).alias("t"))
-        .groupBy("doc_id").agg(F.collect_set("t").alias("email_tokens"))
-    )
-    none = F.array().cast("array<string>")
-    return docs.select("doc_id", F.array_distinct(file_tokens(F.coalesce("file_name", F.lit("")))).alias("file_tokens"),
-                       F.col("ocr_confidence").isNotNull().alias("ocr_used")).join(mail, "doc_id", "left").withColumn(
-        "email_tokens", F.coalesce("email_tokens", none))
+def doc_tokens(docs: DataFrame) -> DataFrame:
+    """Per document: words of its e-mail addresses and of its file name, as sets.
+
+    An address never spans lines, so it is read from the whole text.
+    """
+    words = F.flatten(F.transform(line_emails(F.col("text")), email_tokens))
+    return docs.select(
+        "doc_id", F.array_distinct(file_tokens(F.coalesce("file_name", F.lit("")))).alias("file_tokens"),
+        F.col("ocr_confidence").isNotNull().alias("ocr_used"), F.array_distinct(words).alias("email_tokens"))
 
 
 def name_hits(lines: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def name_hits(lines: DataFrame) -> DataFrame:
                                      F.lit(signal).alias("signal"), why.alias("why")))
 
     idx_s = idx.cast("string")
-    df = lines.withColumn("_plain", strip_contact(text)).withColumn("_named", named)
+    df = once(lines, _named=named,
+              _plain=F.when(body & ((idx < header_limit) | F.col("beside_email")), strip_contact(text)))
     named, plain = F.col("_named"), F.col("_plain")
     hits = F.array_compact(F.array(
         hit(1, named, F.col("value"), F.lit(P["label"]), "explicit_label", F.concat(F.lit('explicit "'), label, F.lit('" label'))),
@@ -104,7 +105,7 @@ def name_corroborate(cands: DataFrame) -> DataFrame:
 
 
 def name_candidates(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    return name_corroborate(name_merge(name_hits(lines), doc_tokens(docs, lines)))
+    return name_corroborate(name_merge(name_hits(lines), doc_tokens(docs)))
 
 
 def name_best(docs: DataFrame, cands: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import values as V
 from ..functions.phones import digits_of, impossible, with_phone
 from ..functions.regex import every, matches
+from ..functions.stage import once
 
 P = V.PHONE_POINTS
 BY_NUMBER = Window.partitionBy("doc_id", "phone")
@@ -38,7 +39,7 @@ def context_veto(digits: Column) -> Column:
 
 
 def plausible_runs(lines: DataFrame) -> DataFrame:
-    runs = phone_runs(lines).withColumn("digits", digits_of(F.col("raw"))).filter(~impossible(F.col("digits")))
+    runs = once(phone_runs(lines), digits=digits_of(F.col("raw"))).filter(~impossible(F.col("digits")))
     return with_phone(runs, "raw").filter("phone_valid").filter(~context_veto(F.col("digits")))
 
 
@@ -47,14 +48,14 @@ def phone_score(runs: DataFrame) -> DataFrame:
     text, label, section = F.col("text"), F.coalesce("label", F.lit("")), F.col("section")
     before, _ = _around(45, 0)
     with_prev = F.when(F.coalesce("prev_text", F.lit("")) == "", text).otherwise(F.concat("prev_text", F.lit(" "), text))
-    df = (
-        runs.withColumn("_before", before)
-        .withColumn("foreign_label", matches(F.col("_before"), V.FOREIGN_PHONE_LABEL) | matches(label, V.FOREIGN_PHONE_LABEL))
-        .withColumn("own_label", ~F.col("foreign_label") & (matches(F.col("_before"), V.OWN_PHONE_LABEL) | matches(label, V.OWN_PHONE_LABEL)))
-        .withColumn("third_party", matches(text, V.THIRD_PARTY_LINE) | matches(with_prev, V.THIRD_PARTY_LINE))
-        .withColumn("indian", F.col("phone_country") == "IN")
-        .withColumn("mobile", F.col("indian") & F.col("phone").rlike(r"^\+91[6-9]\d{9}$"))
-    )
+    df = once(
+        once(runs, _before=before),
+        foreign_label=matches(F.col("_before"), V.FOREIGN_PHONE_LABEL) | matches(label, V.FOREIGN_PHONE_LABEL),
+        _own=matches(F.col("_before"), V.OWN_PHONE_LABEL) | matches(label, V.OWN_PHONE_LABEL),
+        third_party=matches(text, V.THIRD_PARTY_LINE) | matches(with_prev, V.THIRD_PARTY_LINE),
+        indian=F.col("phone_country") == "IN",
+        mobile=(F.col("phone_country") == "IN") & F.col("phone").rlike(r"^\+91[6-9]\d{9}$"),
+    ).withColumn("own_label", F.col("_own") & ~F.col("foreign_label"))
     in_header = F.col("idx") < F.col("header_end")
     rules = [  # (when, points, reason)
         (F.col("own_label"), P["own_label"], "labelled as the candidate's mobile/contact"),

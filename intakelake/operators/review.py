@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import values as V
 from ..functions.phones import digits_of, phone_mentions
 from ..functions.regex import squeeze
+from .structure import by_doc
 from ..functions.review import (
     code_concerns, concerns, milli, missing, overall, penalised, two_places, unit, validate_name, validate_phone, validate_role,
 )
@@ -22,7 +23,7 @@ def assemble(docs: DataFrame, name: DataFrame, phone: DataFrame, role: DataFrame
 
 def with_text_facts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Join each row with its text and the number of distinct valid numbers in it."""
-    t = texts.select("doc_id", "text").repartition("doc_id")
+    t = by_doc(texts.select("doc_id", "text"))
     counts = phone_mentions(t).groupBy("doc_id").agg(F.count("*").alias("n_numbers"))
     return rows.join(t, "doc_id").join(counts, "doc_id", "left").withColumn("n_numbers", F.coalesce("n_numbers", F.lit(0)))
 

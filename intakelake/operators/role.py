@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import values as V
 from ..functions.regex import group, matches
+from ..functions.stage import once
 from ..functions.titles import clean_title, is_title, present_role, title_case, title_shaped
 from ..sources.taxonomy import Taxonomy
-from .taxonomy import role_generic, role_match, surface_scan
+from .taxonomy import role_match, surface_scan
 
 P = V.ROLE_POINTS
 UNIT = 1000  # per hundredth
@@ -78,22 +79,28 @@ def _intent_rows() -> Column:
 
 
 def role_candidates(lines: DataFrame, tax: Taxonomy) -> DataFrame:
-    """Admitted candidates with their taxonomy match, displayed value and points."""
-    evidence = role_evidence(lines)
-    found = surface_scan(evidence.filter(F.col("scan").isNotNull()), ["doc_id", "seq"], tax, "scan")
-    scanned = evidence.filter(F.col("scan").isNotNull()).join(found, ["doc_id", "seq"]).withColumn("raw", F.col("surface"))
-    stated = evidence.filter(F.col("scan").isNull() & (F.col("tier") != 4))
-    header = role_match(evidence.filter("tier = 4"), ["doc_id", "seq"], "raw", tax).filter(F.col("m_canonical").isNotNull())
-    keep = ["doc_id", "idx", "seq", "tier", "points", "signal", "raw", "why"]
-    return role_admit(stated.select(keep).unionByName(scanned.select(keep)).unionByName(header.select(keep)), tax)
+    """Admitted candidates with their taxonomy match, displayed value and points.
+
+    One pass: scanned rows take the title found in them, and a header line is probed both
+    as written (it must resolve to a role) and cleaned.
+    """
+    rows = surface_scan(role_evidence(lines), ["doc_id", "seq"], tax, "scan")
+    rows = rows.withColumn("raw", F.coalesce("raw", "surface")).drop("scan", "surface").filter(F.col("raw").isNotNull())
+    return role_admit(rows, tax)
 
 
 def role_admit(phrases: DataFrame, tax: Taxonomy) -> DataFrame:
-    c = phrases.withColumn("title", clean_title(F.col("raw"))).filter(is_title(F.col("title"))).filter(~role_generic(F.col("title"), tax))
-    m = role_match(c, ["doc_id", "seq"], "title", tax)
+    """Clean, reject placeholders, resolve to the taxonomy; keep what resolves or reads like a job title."""
+    c = once(phrases, title=clean_title(F.col("raw"))).filter(is_title(F.col("title")))
+    as_written = F.when((F.col("tier") == 4) & (F.col("raw") != F.col("title")), F.col("raw"))
+    probes = F.array_compact(F.array(F.col("title"), as_written))
+    m = role_match(c.select("*", F.posexplode(probes).alias("probe_no", "probe")), ["doc_id", "seq", "probe_no"], "probe", tax)
+    cols = [x for x in m.columns if x not in ("doc_id", "seq", "probe_no", "probe")]
+    both = m.groupBy("doc_id", "seq").agg(
+        F.min_by(F.struct(*cols), "probe_no").alias("_m"), F.min(F.col("m_canonical").isNotNull()).alias("_all")).select("doc_id", "seq", "_m.*", "_all")
     hit = F.col("m_canonical").isNotNull()
     return (
-        m.filter(hit | title_shaped(F.col("title")))
+        both.filter(~F.col("m_generic") & (hit | title_shaped(F.col("title"))) & ((F.col("tier") != 4) | F.col("_all")))
         .withColumn("role", F.when(hit, present_role(F.col("m_canonical"), F.col("m_seniority"))).otherwise(title_case(F.col("title"))))
         .withColumn("points", F.col("points") * UNIT + F.coalesce(F.col("m_strength") * P["match"], F.lit(0)))
         .withColumn("signals", F.when(hit, F.array("signal", F.lit("taxonomy_match"))).otherwise(F.array("signal")))

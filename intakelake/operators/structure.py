@@ -11,14 +11,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import values as V
 from ..functions.regex import every, group, matches, sub
+from ..functions.stage import once
 
 BY_LINE = Window.partitionBy("doc_id").orderBy("idx")
 WHOLE_DOC = Window.partitionBy("doc_id")
+# Every section pattern starts with one of these; most lines stop at this one cheap test.
+HEADING_START = (
+    r"(?i)^(?:career|objective|professional|job|summary|profile|about|executive|synopsis|overview|resume|headline|personal|bio|candidate"
+    r"|work|experience|employment|職務|internship|education|academic|qualification|technical|key|core|it\s|skill|competenc|expertise|tech"
+    r"|project|major|certification|course|training|achievement|award|accomplishment|refer|declaration|i\s)"
+)
+
+
+def by_doc(df: DataFrame) -> DataFrame:
+    """Hash-partition by document. The count is explicit: pattern work is bound by CPU, so
+    small shuffles must not be merged into a few tasks by their size in bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def doc_lines(texts: DataFrame) -> DataFrame:
     """(doc_id, text) -> one row per line, 0-based ``idx``, with the document's line count."""
-    parts = texts.repartition("doc_id").select("doc_id", F.split("text", "\n").alias("parts"))
+    parts = by_doc(texts).select("doc_id", F.split("text", "\n").alias("parts"))
     return parts.select("doc_id", F.size("parts").alias("n_lines"), F.posexplode("parts").alias("idx", "text"))
 
 
@@ -31,15 +44,12 @@ def detect_section(bare: Column) -> Column:
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(V.SECTIONS):
         kind = F.when(matches(bare, pattern), name).otherwise(kind)
-    return F.when(F.length(bare).between(1, V.HEADING_CHARS), kind)
+    return F.when(F.length(bare).between(1, V.HEADING_CHARS) & bare.rlike(HEADING_START), kind)
 
 
 def with_headings(lines: DataFrame) -> DataFrame:
-    return (
-        lines.withColumn("bare", strip_decoration(F.col("text")))
-        .withColumn("kind", detect_section(F.col("bare")))
-        .withColumn("is_heading", F.col("kind").isNotNull())
-    )
+    bare = once(lines, bare=strip_decoration(F.col("text")))
+    return once(bare, kind=detect_section(F.col("bare"))).withColumn("is_heading", F.col("kind").isNotNull())
 
 
 def section_fill(lines: DataFrame) -> DataFrame:
@@ -61,14 +71,14 @@ def header_bounds(lines: DataFrame) -> DataFrame:
 def label_value(lines: DataFrame) -> DataFrame:
     """``Label: value``, else a known label followed by its value with no separator."""
     body = F.when(~F.col("is_heading"), F.col("text"))
-    marked = lines.withColumn("_l", group(body, V.LABEL_LINE, 1)).withColumn("_v", group(body, V.LABEL_LINE, 2))
+    marked = once(lines, _l=group(body, V.LABEL_LINE, 1), _v=group(body, V.LABEL_LINE, 2))
     bare = F.when(F.col("_l").isNull(), body)
-    return (
-        marked.withColumn("separated", F.col("_l").isNotNull())
-        .withColumn("label", F.trim(F.coalesce("_l", group(bare, V.BARE_LABEL_LINE, 1))))
-        .withColumn("value", F.trim(F.coalesce("_v", group(bare, V.BARE_LABEL_LINE, 2))))
-        .drop("_l", "_v")
-    )
+    return once(
+        marked,
+        separated=F.col("_l").isNotNull(),
+        label=F.trim(F.coalesce("_l", group(bare, V.BARE_LABEL_LINE, 1))),
+        value=F.trim(F.coalesce("_v", group(bare, V.BARE_LABEL_LINE, 2))),
+    ).drop("_l", "_v")
 
 
 def line_emails(text: Column) -> Column:
@@ -90,7 +100,7 @@ def find_urls(lines: DataFrame) -> DataFrame:
 def annotate_lines(texts: DataFrame) -> DataFrame:
     """The structural model of every document: the input of all field extractors."""
     lines = label_value(header_bounds(section_fill(with_headings(doc_lines(texts)))))
-    lines = lines.withColumn("emails", line_emails(F.col("text"))).withColumn("has_email", F.size("emails") > 0)
+    lines = once(lines, emails=line_emails(F.col("text"))).withColumn("has_email", F.size("emails") > 0)
     near = F.coalesce(F.lag("has_email").over(BY_LINE), F.lit(False)) | F.coalesce(F.lead("has_email").over(BY_LINE), F.lit(False))
     return (
         lines.withColumn("prev_text", F.lag("text").over(BY_LINE))

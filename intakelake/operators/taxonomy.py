@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import values as V
+from ..functions.stage import once
 from ..functions.titles import role_key, role_tokens, seniority_of, without_seniority
-from ..sources.taxonomy import TAXONOMY_SCHEMA, Taxonomy, flatten_taxonomies, surface_frame
+from ..sources.taxonomy import TAXONOMY_SCHEMA, Taxonomy, local_frame, surface_frame
 
 BROADCAST_ROWS = 50_000
 
@@ -36,16 +37,16 @@ def token_index(surfaces: DataFrame) -> DataFrame:
     return surfaces.select("role_ord", "canonical", "family", F.explode(role_tokens(F.col("surface"))).alias("token")).distinct()
 
 
-def generic_keys(tax: Taxonomy) -> Column:
-    return F.array_distinct(F.transform(F.array(*map(F.lit, tax.generics)), role_key)) if tax.generics else F.array().cast("array<string>")
-
-
-def role_generic(title: Column, tax: Taxonomy) -> Column:
-    return F.array_contains(generic_keys(tax), role_key(title))
+def role_generic(df: DataFrame, title: str, tax: Taxonomy) -> DataFrame:
+    """Add ``m_generic``: the title's key is one of the taxonomy's placeholders."""
+    spark = df.sparkSession
+    keys = local_frame(spark, [(g,) for g in tax.generics], "title string").select(role_key(F.col("title")).alias("_gk"), F.lit(True).alias("_hit")).distinct()
+    return once(df, _gk=role_key(F.col(title))).join(sized(keys, len(tax.generics)), "_gk", "left").withColumn(
+        "m_generic", F.col("_hit").isNotNull()).drop("_gk", "_hit")
 
 
 def role_seniority(df: DataFrame, title: str, tax: Taxonomy) -> DataFrame:
-    return df.withColumn("seniority", seniority_of(F.col(title), tax.seniority)).withColumn("rest", without_seniority(F.col(title), tax.seniority))
+    return once(df, seniority=seniority_of(F.col(title), tax.seniority), rest=without_seniority(F.col(title), tax.seniority))
 
 
 def role_exact(df: DataFrame, title: str, tax: Taxonomy) -> DataFrame:
@@ -55,7 +56,7 @@ def role_exact(df: DataFrame, title: str, tax: Taxonomy) -> DataFrame:
     look = sized(taxonomy_lookup(surfaces), len(tax.surfaces()))
     one = look.select(F.col("key").alias("_k1"), F.struct("canonical", "family", "kind").alias("_m1"))
     two = look.select(F.col("key").alias("_k2"), F.struct("canonical", "family", "kind").alias("_m2"))
-    df = role_seniority(df, title, tax).withColumn("_k1", role_key(F.col(title))).withColumn("_k2", role_key(F.col("rest")))
+    df = once(role_seniority(df, title, tax), _k1=role_key(F.col(title)), _k2=role_key(F.col("rest")))
     m = F.coalesce("_m1", "_m2")
     return (
         df.join(one, "_k1", "left").join(two, "_k2", "left").withColumn("_m", m)
@@ -65,40 +66,42 @@ def role_exact(df: DataFrame, title: str, tax: Taxonomy) -> DataFrame:
     )
 
 
-def role_overlap(df: DataFrame, ids: list[str], title: str, tax: Taxonomy) -> DataFrame:
+def _packed(df: DataFrame, ids: list[str]) -> DataFrame:
+    """Carry all other columns as one value, so a row can pass through an explode and come back whole."""
+    return df.select(*ids, F.struct(*[c for c in df.columns if c not in ids]).alias("_row"))
+
+
+def role_overlap(df: DataFrame, ids: list[str], title: str, tax: Taxonomy, when: Column) -> DataFrame:
     """Titles that share at least two tokens and 60 % of their tokens with a role: best coverage, first role.
 
-    An inverted index of taxonomy tokens turns the scan over all roles into an equi-join.
+    An inverted index of taxonomy tokens turns the scan over all roles into an equi-join. Rows for
+    which ``when`` is false pass through unmatched.
     """
     surfaces = surface_frame(df.sparkSession, tax)
     index = sized(token_index(surfaces), len(tax.surfaces()) * 6)
-    probe = df.withColumn("_t", role_tokens(F.when(F.col("rest") != "", F.col("rest")).otherwise(F.col(title))))
-    shared = (
-        probe.select(*ids, F.size("_t").alias("n"), F.explode("_t").alias("token"))
-        .join(index, "token")
-        .groupBy(*ids, "n", "role_ord", "canonical", "family").agg(F.count("*").cast("int").alias("shared"))
-        .filter((F.col("shared") >= 2) & (F.col("shared") * 5 >= F.col("n") * 3))
-    )
-    best = F.struct(F.col("shared"), (-F.col("role_ord")).alias("first"))
-    return (
-        shared.groupBy(*ids).agg(*[F.max_by(c, best).alias(f"o_{c}") for c in ("canonical", "family", "shared", "n")])
-        # 0.85 x coverage, in thousandths; exact halves go down, as they do in binary floating point
-        .withColumn("o_strength", F.ceil((F.col("o_shared") * 1700 - F.col("o_n")) / (F.col("o_n") * 2)).cast("int"))
-        .drop("o_shared", "o_n")
-    )
+    probe = once(df, _t=F.when(when, role_tokens(F.when(F.col("rest") != "", F.col("rest")).otherwise(F.col(title)))))
+    n = F.size("_row._t")
+    rows = _packed(probe, ids).select("*", F.explode_outer("_row._t").alias("token")).join(index, "token", "left")
+    shared = rows.groupBy(*ids, "role_ord").agg(
+        F.count("*").cast("int").alias("shared"), *[F.first(c).alias(c) for c in ("canonical", "family", "_row")])
+    fits = F.col("role_ord").isNotNull() & (F.col("shared") >= 2) & (F.col("shared") * 5 >= n * 3)
+    # 0.85 x coverage, in thousandths; exact halves go down, as they do in binary floating point
+    strength = F.ceil((F.col("shared") * 1700 - n) / (n * 2)).cast("int")
+    hit = F.when(fits, F.struct("shared", (-F.col("role_ord")).alias("first"), "canonical", "family", strength.alias("strength")))
+    best = shared.groupBy(*ids).agg(F.first("_row").alias("_row"), F.max(hit).alias("_o"))
+    return best.select(*ids, "_row.*", *[F.col(f"_o.{c}").alias(f"o_{c}") for c in ("canonical", "family", "strength")]).drop("_t")
 
 
 def role_match(df: DataFrame, ids: list[str], title: str, tax: Taxonomy) -> DataFrame:
-    """Generic titles match nothing; else an exact key; else token overlap."""
-    df = role_exact(df.withColumn("_g", role_generic(F.col(title), tax) | (F.trim(title) == "")), title, tax)
-    open_titles = df.filter(F.col("m_canonical").isNull() & ~F.col("_g"))
-    over = role_overlap(open_titles, ids, title, tax)
-    out = df.join(over, ids, "left")
+    """Generic titles match nothing; else an exact key; else token overlap. Null titles pass through."""
+    df = role_exact(role_generic(df, title, tax), title, tax)
+    live = ~F.col("m_generic") & (F.trim(title) != "")
+    out = role_overlap(df, ids, title, tax, live & F.col("m_canonical").isNull())
     use = F.col("o_canonical").isNotNull()
     for name, value in (("canonical", F.col("o_canonical")), ("family", F.col("o_family")), ("kind", F.lit("token_overlap")), ("strength", F.col("o_strength"))):
-        out = out.withColumn(f"m_{name}", F.when(~F.col("_g"), F.coalesce(F.col(f"m_{name}"), F.when(use, value))))
+        out = out.withColumn(f"m_{name}", F.when(live, F.coalesce(F.col(f"m_{name}"), F.when(use, value))))
     return out.withColumn("m_seniority", F.when(F.col("m_canonical").isNotNull(), F.col("seniority"))).drop(
-        "_g", "o_canonical", "o_family", "o_strength", "seniority", "rest")
+        "o_canonical", "o_family", "o_strength", "seniority", "rest")
 
 
 def _cut(word: Column) -> Column:
@@ -106,20 +109,22 @@ def _cut(word: Column) -> Column:
 
 
 def surface_scan(windows: DataFrame, ids: list[str], tax: Taxonomy, text: str = "text") -> DataFrame:
-    """Longest known form (3+ characters) standing in the text as whole words, also before a dot or comma.
+    """Add ``surface``: the longest known form (3+ characters) standing in the text as whole words, also before a dot or comma.
 
     Words of the text are equi-joined to the first word of each form, then the whole form is verified.
     """
     surfaces = surface_frame(windows.sparkSession, tax).filter(F.length("surface") >= 3)
     low = surfaces.withColumn("low", F.lower("surface")).withColumn("word", _cut(F.element_at(F.split("low", " "), 1)))
     forms = sized(low.select("word", "surface", "low", "ord"), len(tax.surfaces()))
-    hay = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     words = F.array_distinct(F.transform(F.filter(F.split(F.lower(text), " "), lambda w: w != ""), _cut))
-    hits = windows.withColumn("_hay", hay).select(*ids, "_hay", F.explode(words).alias("word")).join(forms, "word")
+    hay = F.concat(F.lit(" "), F.lower(f"_row.{text}"), F.lit(" "))
+    rows = _packed(once(windows, _w=words), ids).select("*", F.explode_outer("_row._w").alias("word")).join(forms, "word", "left")
     stands = F.lit(False)
     for end in (" ", ".", ","):
-        stands = stands | F.contains("_hay", F.concat(F.lit(" "), F.col("low"), F.lit(end)))
-    return hits.filter(stands).groupBy(*ids).agg(F.max_by("surface", F.struct(F.length("surface").alias("n"), (-F.col("ord")).alias("o"))).alias("surface"))
+        stands = stands | F.contains(hay, F.concat(F.lit(" "), F.col("low"), F.lit(end)))
+    hit = F.when(stands, F.struct(F.length("surface").alias("n"), (-F.col("ord")).alias("o"), "surface"))
+    return rows.groupBy(*ids).agg(F.first("_row").alias("_row"), F.max(hit).alias("_h")).select(
+        *ids, "_row.*", F.col("_h.surface").alias("surface")).drop("_w")
 
 
 def taxonomy_status(docs: DataFrame, id_col: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import values as V
@@ -114,9 +115,18 @@ def read_taxonomy(path: str) -> Taxonomy:
 SURFACE_SCHEMA = "family string, canonical string, surface string, kind string, role_ord int, ord int"
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table known where the plan is built. Through Arrow it becomes a local relation,
+    so projections over it are folded by the optimizer instead of running as a job."""
+    names = [f.split()[0] for f in schema.split(",")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    types = [kinds[f.split()[1]] for f in schema.split(",")]
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names))
+
+
 def surface_frame(spark: SparkSession, tax: Taxonomy) -> DataFrame:
     rows = [(s.family, s.canonical, s.surface, s.kind, s.role_ord, s.ord) for s in tax.surfaces()]
-    return spark.createDataFrame(rows, SURFACE_SCHEMA)
+    return local_frame(spark, rows, SURFACE_SCHEMA)
 
 
 def flatten_taxonomies(docs: DataFrame, id_col: str, json_col: str = "value") -> DataFrame:
