@@ -56,26 +56,24 @@ def name_hits(lines: DataFrame) -> DataFrame:
 
 
 def name_merge(hits: DataFrame, tokens: DataFrame) -> DataFrame:
-    """One candidate per spelling. The fallback counts only where nothing else was found, and only when corroborated."""
+    """One candidate per spelling. The fallback counts only where nothing else was found, and only when corroborated.
+
+    Words and word count depend on the merged spelling alone, so hits are merged before the tokens are joined.
+    """
     doc = Window.partitionBy("doc_id")
-    words = F.split(F.lower(F.col("name")), " ")
-    known = F.exists(words, lambda w: F.array_contains("email_tokens", w) | F.array_contains("file_tokens", w))
-    kept = (
-        hits.withColumn("_placed", F.min("step").over(doc) < FALLBACK)
-        .join(tokens, "doc_id")
-        .filter((F.col("step") < FALLBACK) | (~F.col("_placed") & F.size(words).between(2, 4) & known))
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("ord", "signal", "why")))
-    return (
-        kept.groupBy("doc_id", F.lower("name").alias("name_key"))
-        .agg(
-            F.min_by("name", "ord").alias("name"), F.max("points").alias("points"), F.min("ord").alias("ord"), ordered.alias("_h"),
-            F.first("email_tokens").alias("email_tokens"), F.first("file_tokens").alias("file_tokens"), F.first("ocr_used").alias("ocr_used"),
-        )
+    live = hits.withColumn("_placed", F.min("step").over(doc) < FALLBACK).filter((F.col("step") < FALLBACK) | ~F.col("_placed"))
+    ordered = F.sort_array(F.collect_list(F.struct("ord", "signal", "why", "name")))
+    merged = (
+        live.groupBy("doc_id", F.lower("name").alias("name_key"))
+        .agg(F.max("points").alias("points"), F.min("step").alias("step"), ordered.alias("_h"))
+        .withColumn("ord", F.col("_h")[0]["ord"]).withColumn("name", F.col("_h")[0]["name"])
         .withColumn("signals", F.array_distinct(F.transform("_h", lambda h: h["signal"])))
         .withColumn("why", F.array_join(F.transform("_h", lambda h: h["why"]), "; "))
         .drop("_h")
     )
+    words = F.split("name_key", " ")
+    known = F.arrays_overlap(words, "email_tokens") | F.arrays_overlap(words, "file_tokens")
+    return merged.join(tokens, "doc_id").filter((F.col("step") < FALLBACK) | (F.size(words).between(2, 4) & known)).drop("step")
 
 
 def name_corroborate(cands: DataFrame) -> DataFrame:

@@ -38,8 +38,8 @@ def role_evidence(lines: DataFrame) -> DataFrame:
         lines.withColumn("_first_exp", first_exp).withColumn("_joined", joined_text)
         .withColumn("_intent", body & matches(F.col("_joined"), INTENT_WORD))
     )
-    quoted = lambda a, b: F.concat(F.lit(a + ' "'), label, F.lit('" label' + b))
-    rows = [_row(1, matches(label, V.APPLIED_LABEL), 1, F.lit(P["tier1"]), "explicit_label", F.col("value"), quoted("explicit", ""))]
+    quoted = lambda before, after: F.concat(F.lit(before + '"'), label, F.lit('"' + after))
+    rows = [_row(1, matches(label, V.APPLIED_LABEL), 1, F.lit(P["tier1"]), "explicit_label", F.col("value"), quoted("explicit ", " label"))]
     for wrapped in (False, True):
         here = F.col("next_text").isNotNull() if wrapped else F.lit(True)
         rows.append(_row(3, body & here & section.isin("objective", "summary"), 3, F.lit(P["tier3"] + (P["joined"] if wrapped else 0)), "taxonomy_match", None,
@@ -49,7 +49,7 @@ def role_evidence(lines: DataFrame) -> DataFrame:
     rows.append(_row(4, body & (F.col("idx") < F.col("header_end")) & F.length(trimmed).between(1, 50) & ~trimmed.rlike(r"(?i)@|\d{4,}|https?:"),
                      4, F.lit(P["tier4"]), "header_detection", trimmed, F.lit("standalone job title in the header")))
     rows.append(_row(5, matches(label, V.CURRENT_LABEL), 5, F.lit(P["tier5_label"]), "explicit_label", F.col("value"),
-                     quoted("current-designation", " (history, not intent)")))
+                     quoted("current-designation label ", " (history, not intent)")))
     rows.append(_row(6, F.col("idx") == F.col("_first_exp"), 5, F.lit(P["tier5_first"]), "keyword_match", None,
                      F.lit("most recent experience entry (history, not intent)"), scan=text))
     df = df.withColumn("_rows", F.array_compact(F.array(*rows))).withColumn("_phrases", _intent_phrases())

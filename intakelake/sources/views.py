@@ -290,12 +290,27 @@ def _view_sql(d: Dialect) -> dict[str, str]:
         1 + (doc_id * 7919) % 500 + e * 2000 AS total_ms, (doc_id * 104729) % 40 + e * 1500 AS extract_ms,
         doc_id % (3 + e) = 0 AS needs_review, doc_id % (101 + e) = 0 AS failed
     FROM (SELECT *, 'local' AS engine, 0 AS e FROM cv_text UNION ALL SELECT *, 'remote' AS engine, 1 AS e FROM cv_text) r"""
+    # Field values of every kind, for the validators.
+    sql["field_value"] = """
+    SELECT doc_id, engine, CASE doc_id % 9 WHEN 1 THEN 'Apex Solutions Pvt' WHEN 2 THEN 'mr. ' || lower(truth_name) WHEN 3 THEN truth_name || ' 1234' WHEN 4 THEN 'Resume' WHEN 5 THEN 'n/a'
+             WHEN 6 THEN 'A B C D E F ' || truth_name WHEN 7 THEN 'x' ELSE got_name END AS got_name,
+        CASE doc_id % 8 WHEN 1 THEN '12345' WHEN 2 THEN '1234567890' WHEN 3 THEN '011-2345' || cast(doc_id % 9000 + 1000 as string) WHEN 4 THEN 'none' WHEN 5 THEN '00' || substr(truth_phone, 2) ELSE got_phone END AS got_phone,
+        CASE doc_id % 10 WHEN 1 THEN 'Any suitable role' WHEN 2 THEN 'Challenging position in sales' WHEN 3 THEN truth_role || ' #1' WHEN 4 THEN ' ' WHEN 5 THEN truth_role || ';' WHEN 6 THEN 'position' ELSE got_role END AS got_role
+    FROM result_row"""
+    sql["patch"] = """
+    SELECT o_orderkey AS cv_file_id, CASE o_orderkey % 4 WHEN 0 THEN 'asha pillai' WHEN 1 THEN 'Globex Ltd' WHEN 2 THEN 'Not Found' END AS candidate_name,
+        CASE o_orderkey % 5 WHEN 0 THEN '98765 43210' WHEN 1 THEN '123' WHEN 2 THEN 'not found' END AS phone_number,
+        CASE o_orderkey % 6 WHEN 0 THEN 'Nurse.' WHEN 1 THEN 'any' END AS job_role_applied_for
+    FROM orders WHERE o_orderkey % 4 <> 3 OR o_orderkey % 5 < 3 OR o_orderkey % 6 < 2"""
+    sql["failure"] = """
+    SELECT job_id, attempts, max_attempts, CASE attempts WHEN 1 THEN 'LLM_RATE_LIMITED' WHEN 2 THEN 'NO_TEXT' ELSE 'ECONNRESET' END AS code,
+        cv_file_id % 3 = 0 AS app_error, attempts = 1 AND cv_file_id % 3 = 0 AS app_transient, CASE WHEN cv_file_id % 7 = 1 THEN 'AbortError' END AS error_name,
+        CASE cv_file_id % 5 WHEN 1 THEN 429 WHEN 2 THEN 404 WHEN 3 THEN 503 END AS http_status,
+        CASE cv_file_id % 4 WHEN 0 THEN 'Request timed out after a while' WHEN 1 THEN 'bad input' ELSE repeat('long message ', 100) END AS message
+    FROM processing_job WHERE status = 'FAILED'"""
     return sql
 
 
-VIEW_DEPS = {
-    "ignore_list": ["cv_file"], "feed": ["cv_file"], "all_text": ["cv_text"], "result_row": ["cv_text"],
-}
 RAW = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 SPARK_VIEWS = _view_sql(SPARK)
 DUCK_VIEWS = _view_sql(DUCK)
