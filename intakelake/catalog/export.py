@@ -1 +1,97 @@
+"""Registered queries: sources, exports and snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import values as V
+from ..sources import files as sfiles, settings as sset, sinks as sk
+from ..sources.views import raw, view
+from . import sql as S
+from .out import plain
+
 QUERIES, ORACLE = {}, {}
+
+
+def query(key, oracle=None, **override):
+    def add(f):
+        QUERIES[key] = lambda spark, sf: plain(f(spark, sf))
+        if oracle:
+            ORACLE[key] = S.sql(oracle, **override)
+        return f
+    return add
+
+
+@query("scan_files")
+def _(spark, sf):
+    return sfiles.scan_files(spark, sf, "*.parquet").select("key", "size")
+
+
+_JS = lambda n: f"json_extract_string(value, '$.{n}')"
+_OKS = f"""(coalesce(cast({_JS('confidenceThreshold')} AS double) BETWEEN 0 AND 1, true) AND coalesce(cast({_JS('maxRetries')} AS int) BETWEEN 0 AND 10, true) AND coalesce(cast({_JS('ocrMaxPages')} AS int) BETWEEN 1 AND 50, true))"""
+
+
+@query("scan_settings", f"""SELECT setting_id, ok AS valid, CASE WHEN ok THEN coalesce(cast({_JS('confidenceThreshold')} AS double), 0.75) ELSE 0.75 END AS "confidenceThreshold",
+   CASE WHEN ok THEN coalesce(cast({_JS('maxRetries')} AS bigint), 3) ELSE 3 END AS "maxRetries", CASE WHEN ok THEN coalesce(cast({_JS('ocrMaxPages')} AS bigint), 5) ELSE 5 END AS "ocrMaxPages",
+   CASE WHEN ok THEN coalesce({_JS('extractionEngine')}, 'local') ELSE 'local' END AS "extractionEngine", CASE WHEN ok THEN {_JS('driveFolderId')} END AS "driveFolderId", 20000 AS "maxCvTextChars"
+  FROM (SELECT *, {_OKS} AS ok FROM setting) s""")
+def _(spark, sf):
+    return sset.scan_settings(view(spark, sf, "setting"), "setting_id").select(
+        "setting_id", "valid", "confidenceThreshold", "maxRetries", "ocrMaxPages", "extractionEngine", "driveFolderId", "maxCvTextChars")
+
+
+@query("scan_ground_truth", "SELECT file_name AS file, truth_name AS name, truth_phone AS phone, truth_role AS role, array_to_string(traits, ' | ') AS traits FROM cv_text")
+def _(spark, sf):
+    t = view(spark, sf, "cv_text")
+    entry = F.to_json(F.struct(F.col("file_name").alias("file"), F.struct(F.col("truth_name").alias("name"), F.col("truth_phone").alias("phone"), F.col("truth_role").alias("role")).alias("expected"), "traits"))
+    return sfiles.truth_rows(t.select(F.from_json(entry, sfiles.TRUTH_SCHEMA).alias("x")), F.col("x")).drop("layout")
+
+
+CELL = lambda c: f"""(SELECT CASE WHEN regexp_matches(s, '[",\\r\\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END FROM (SELECT CASE WHEN regexp_matches({c}, '^[=+@\\t\\r-]') AND NOT regexp_matches({c}, '^[+-][0-9\\s().-]+$') THEN '''' || {c} ELSE coalesce({c}, '') END AS s) z)"""
+_CELLS = """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '=cmd()' WHEN 1 THEN '+91 98765-43210' WHEN 2 THEN '@x, y' WHEN 3 THEN 'say "hi"' WHEN 4 THEN '-5 apples' WHEN 5 THEN NULL ELSE left(text, 200) END AS v FROM documents"""
+
+
+@query("csv_safe_cells", f"SELECT doc_id, {CELL('v')} AS cell FROM cells", cells=_CELLS)
+def _(spark, sf):
+    m = F.col("doc_id") % 7
+    v = (F.when(m == 0, "=cmd()").when(m == 1, "+91 98765-43210").when(m == 2, "@x, y").when(m == 3, 'say "hi"').when(m == 4, "-5 apples").when(m == 6, F.left("text", F.lit(200))))
+    return raw(spark, sf, "documents").select("doc_id", sk.csv_cell(v).alias("cell"))
+
+
+def export(spark, sf):
+    f = view(spark, sf, "cv_file").withColumn("drive_url", F.concat(F.lit("https://drive.example/"), "source_file_id"))
+    return sk.export_rows(f.join(view(spark, sf, "candidate"), "cv_file_id", "left"), "https://app.example/")
+
+
+_EXP = """SELECT f.cv_file_id, coalesce(candidate_name, 'Not Found') AS "Candidate Name", coalesce(phone_number, 'Not Found') AS "Phone Number", coalesce(job_role_applied_for, 'Not Found') AS "Job Role Applied For",
+   file_name AS "CV File Name", coalesce('https://drive.example/' || source_file_id, 'https://app.example/api/cv-files/' || f.cv_file_id || '/download') AS "CV Link",
+   CASE source_type WHEN 'GOOGLE_DRIVE' THEN 'Google Drive' ELSE 'Manual Upload' END AS "Source", replace(status, '_', ' ') AS "Status",
+   coalesce(regexp_replace(cast(round(overall_confidence * 100) / 100 AS varchar), '\\.0$', ''), '') AS "Confidence", coalesce(strftime(processed_at, '%Y-%m-%dT%H:%M:%S.000Z'), '') AS "Processed At"
+  FROM cv_file f LEFT JOIN candidate c ON c.cv_file_id = f.cv_file_id"""
+
+
+@query("export_rows", "SELECT * FROM expo", expo=_EXP)
+def _(spark, sf):
+    return export(spark, sf)
+
+
+@query("csv_export", "SELECT cv_file_id, " + " || ',' || ".join(CELL(f'"{h}"') for h in V.EXPORT_HEADERS) + " AS line FROM expo", expo=_EXP)
+def _(spark, sf):
+    return sk.csv_lines(export(spark, sf), V.EXPORT_HEADERS, ["cv_file_id"])
+
+
+@query("export_chunks", "SELECT n // 2000 AS chunk, (n // 2000) * 2000 + 1 AS start_row, count(*) AS rows FROM (SELECT 0 AS n UNION ALL SELECT row_number() OVER (ORDER BY created_at DESC, cv_file_id) FROM cv_file) x GROUP BY n // 2000")
+def _(spark, sf):
+    return sk.export_chunks(view(spark, sf, "cv_file").select("cv_file_id", "created_at"), F.desc("created_at"), "cv_file_id")
+
+
+@query("write_candidates", """SELECT cv_file_id, CASE WHEN cv_file_id % 6 = 5 THEN upper(candidate_name) ELSE candidate_name END AS candidate_name, phone_number FROM candidate WHERE cv_file_id % 5 <> 4 OR cv_file_id % 6 = 5""")
+def _(spark, sf):
+    c = view(spark, sf, "candidate").select("cv_file_id", "candidate_name", "phone_number")
+    new = c.filter("cv_file_id % 6 = 5").withColumn("candidate_name", F.upper("candidate_name"))
+    return sk.upsert_candidates(c.filter("cv_file_id % 5 <> 4"), new)
+
+
+@query("export_log", "SELECT 7 AS user_id, 'CV Export' AS sheet_title, count(*) AS row_count FROM cv_file")
+def _(spark, sf):
+    return sk.export_log(export(spark, sf), 7, "CV Export")

@@ -7,6 +7,7 @@ same rows. The views hold inputs only, never an operator's logic.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Callable
 
@@ -320,15 +321,15 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named input table over the parquet files of ``sf_dir``."""
-    import re
+def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The named input table over the parquet files of ``sf_dir``.
 
+    ``given`` replaces tables it reads, for instance by one micro-batch of a stream.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    frames: dict[str, DataFrame] = {}
-    sql = SPARK_VIEWS[name]
+    given, frames, sql = given or {}, {}, SPARK_VIEWS[name]
     for dep in RAW + list(SPARK_VIEWS):
         if dep != name and re.search(rf"\b(?:FROM|JOIN)\s+{dep}\b", sql):
-            frames[dep] = view(spark, sf_dir, dep) if dep in SPARK_VIEWS else raw(spark, sf_dir, dep)
+            frames[dep] = given[dep] if dep in given else view(spark, sf_dir, dep, given) if dep in SPARK_VIEWS else raw(spark, sf_dir, dep)
     sql = re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}} AS {m[2]}" if m[2] in frames else m[0], sql.replace("{", "{{").replace("}", "}}"))
     return spark.sql(sql, **frames)
