@@ -1 +1,135 @@
+"""Registered queries: streams replayed over the tables, and their batch forms.
+
+Streams read the table files as a file source and write to the shared checkpoint folder.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import intake as oi
+from ..plans.extraction import parse_documents
+from ..sources.files import stream_files
+from ..sources.views import raw, view
+from ..streaming import jobs as st
+from . import intake as ci, sql as S
+from .extraction import ORACLE as FIELD_ORACLE
+from .out import plain
+
 QUERIES, ORACLE = {}, {}
+EVENTS_AS_OF = "2024-01-31 00:00:00"
+
+
+def query(key, oracle=None, **override):
+    def add(f):
+        QUERIES[key] = lambda spark, sf: plain(f(spark, sf))
+        if oracle:
+            ORACLE[key] = S.sql(oracle, **override)
+        return f
+    return add
+
+
+def place(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def table_stream(spark, sf, table: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return stream_files(spark, sf, raw(spark, sf, table).schema, glob=f"{table}.parquet")
+
+
+def view_stream(spark, sf, name: str, over: str) -> DataFrame:
+    return view(spark, sf, name, {over: table_stream(spark, sf, over)})
+
+
+@query("stream_files", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, sf):
+    at = place(spark, "stream_files")
+    st.run_now(table_stream(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")), at + "/out", at + "/ck").awaitTermination()
+    return spark.read.parquet(at + "/out").groupBy("status").agg(F.count("*").alias("n"))
+
+
+_LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cv_file_id ORDER BY ts DESC, event_id DESC) AS k FROM job_event) e WHERE k = 1"
+
+
+def latest(spark, sf) -> DataFrame:
+    at = place(spark, "latest")
+    q = st.keep_newest(view_stream(spark, sf, "job_event", "events"), ["cv_file_id"], ["ts", "event_id"], at, at + "/ck")
+    q.awaitTermination()
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return spark.read.parquet(f"{at}/v{last}")
+
+
+@query("live_status_counts", "SELECT status, count(*) AS n FROM newest GROUP BY status", newest=_LATEST)
+def _(spark, sf):
+    return st.status_counts(latest(spark, sf))
+
+
+@query("stream_extract", FIELD_ORACLE["validate_row"])
+def _(spark, sf):
+    at = place(spark, "stream_extract")
+    st.each_batch(table_stream(spark, sf, "orders"), lambda b: parse_documents(view(spark, sf, "cv_text", {"orders": b})), at, at + "-ck").awaitTermination()
+    return spark.read.parquet(at).select("doc_id", "candidate_name", "phone_number", "job_role_applied_for", "name_confidence", "phone_confidence",
+                                         "role_confidence", "overall_confidence", "review_codes")
+
+
+@query("stream_change_apply", "SELECT file_id, workspace_id, outcome FROM outc", **ci.Y)
+def _(spark, sf):
+    at = place(spark, "stream_change_apply")
+    known = view(spark, sf, "cv_file").withColumn("drive_modified_at", F.col("created_at"))
+
+    def apply(batch: DataFrame) -> DataFrame:
+        f = view(spark, sf, "feed", {"orders": batch})
+        f = f.withColumn("parents", F.when(F.col("moved"), F.col("parents_out")).otherwise(F.col("parents_in"))).drop("parents_in", "parents_out", "moved")
+        cols = [c for c in f.columns if c not in ("workspace_id", "file_id")]
+        f = f.groupBy("workspace_id", "file_id").agg(F.max_by(F.struct(*cols), F.coalesce("modified_at", F.timestamp_seconds(F.lit(0)))).alias("r")).select("workspace_id", "file_id", "r.*")
+        c = oi.in_folder(oi.change_split(f).filter("change = 'changed'"), F.concat(F.lit("folder_"), F.col("workspace_id").cast("string")))
+        return oi.change_outcome(oi.drop_ignored(c, view(spark, sf, "ignore_list")), known).select("file_id", "workspace_id", "outcome")
+
+    st.each_batch(table_stream(spark, sf, "orders"), apply, at, at + "-ck").awaitTermination()
+    return spark.read.parquet(at).select("file_id", "workspace_id", "outcome")
+
+
+@query("stream_dedupe", "SELECT DISTINCT workspace_id, file_hash FROM cv_file")
+def _(spark, sf):
+    at = place(spark, "stream_dedupe")
+    st.run_now(st.stream_dedupe(view_stream(spark, sf, "cv_file", "orders").select("workspace_id", "file_hash", "created_at")), at + "/out", at + "/ck").awaitTermination()
+    return spark.read.parquet(at + "/out").select("workspace_id", "file_hash")
+
+
+@query("liveness", f"""SELECT worker_id, {S.stamp('min(ts)')} AS online_from, {S.stamp("max(ts) + interval 20 second")} AS online_until, count(*) AS beats, {S.stamp('max(ts)')} AS last_beat FROM (
+   SELECT *, sum(fresh) OVER (PARTITION BY worker_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY worker_id ORDER BY ts, event_id) < interval 20 second THEN 0 ELSE 1 END AS fresh FROM heartbeat) a) b
+  GROUP BY worker_id, g""")
+def _(spark, sf):
+    return st.liveness(view(spark, sf, "heartbeat"))
+
+
+_SAID = "Processing was interrupted (the server stopped mid-way)"
+
+
+@query("stale_claims", f"""SELECT cv_file_id, event_id, CASE WHEN attempts >= 3 THEN 'FAILED' ELSE 'PENDING' END AS new_status, '{_SAID}' || CASE WHEN attempts >= 3 THEN '; no attempts left' ELSE '; retrying' END AS message
+   FROM newest WHERE status = 'PROCESSING' AND ts < timestamp '{EVENTS_AS_OF}' - interval 3 minute""", newest=_LATEST)
+def _(spark, sf):
+    return st.stale_claims(latest(spark, sf), EVENTS_AS_OF).select("cv_file_id", "event_id", "new_status", "message")
+
+
+@query("rate_windows", """SELECT * FROM (WITH RECURSIVE win AS (SELECT key, min(ts) AS s FROM request GROUP BY key
+    UNION ALL SELECT w.key, (SELECT min(r.ts) FROM request r WHERE r.key = w.key AND r.ts >= w.s + interval 6 hour) AS s FROM win w WHERE w.s IS NOT NULL)
+  SELECT key, event_id, n, n <= 3 AS allowed, greatest(3 - n, 0) AS remaining FROM (SELECT r.key, r.event_id, row_number() OVER (PARTITION BY r.key, w.s ORDER BY r.ts, r.event_id) AS n
+    FROM request r ASOF JOIN (SELECT * FROM win WHERE s IS NOT NULL) w ON r.key = w.key AND r.ts >= w.s) x) y""")
+def _(spark, sf):
+    return st.rate_windows(view(spark, sf, "request"), 3, 6 * 3600).select("key", "event_id", "n", "allowed", "remaining")
+
+
+@query("arrivals_windowed", "SELECT " + S.stamp("date_trunc('day', created_at)") + " AS window_start, source_type, count(*) AS n FROM cv_file GROUP BY 1, 2")
+def _(spark, sf):
+    return st.arrivals_windowed(view(spark, sf, "cv_file"), "1 day")
+
+
+@query("retry_backoff", f"SELECT event_id, attempts, CASE WHEN attempts < 3 THEN 5000 * (1 << (attempts - 1)) END AS delay_ms, CASE WHEN attempts < 3 THEN {S.stamp('ts + to_milliseconds(5000 * (1 << (attempts - 1)))')} END AS next_attempt_at FROM job_event WHERE status = 'FAILED'")
+def _(spark, sf):
+    return st.retry_backoff(view(spark, sf, "job_event").filter("status = 'FAILED'"), 5000).select("event_id", "attempts", "delay_ms", "next_attempt_at")
