@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import intake as oi
 from ..plans.extraction import parse_documents
+from ..session import tuned
 from ..sources.files import stream_files
 from ..sources.views import raw, view
 from ..streaming import jobs as st
@@ -38,7 +39,7 @@ def place(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark, sf, table: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    tuned(spark)
     return stream_files(spark, sf, raw(spark, sf, table).schema, glob=f"{table}.parquet")
 
 
@@ -69,10 +70,13 @@ def _(spark, sf):
     return st.status_counts(latest(spark, sf))
 
 
-@query("stream_extract", FIELD_ORACLE["validate_row"])
+ORACLE["stream_extract"] = FIELD_ORACLE["validate_row"]
+
+
+@query("stream_extract")
 def _(spark, sf):
     at = place(spark, "stream_extract")
-    st.each_batch(table_stream(spark, sf, "orders"), lambda b: parse_documents(view(spark, sf, "cv_text", {"orders": b})), at, at + "-ck").awaitTermination()
+    st.each_batch(table_stream(spark, sf, "orders"), lambda b: parse_documents(view(b.sparkSession, sf, "cv_text", {"orders": b})), at, at + "-ck").awaitTermination()
     return spark.read.parquet(at).select("doc_id", "candidate_name", "phone_number", "job_role_applied_for", "name_confidence", "phone_confidence",
                                          "role_confidence", "overall_confidence", "review_codes")
 
@@ -80,15 +84,16 @@ def _(spark, sf):
 @query("stream_change_apply", "SELECT file_id, workspace_id, outcome FROM outc", **ci.Y)
 def _(spark, sf):
     at = place(spark, "stream_change_apply")
-    known = view(spark, sf, "cv_file").withColumn("drive_modified_at", F.col("created_at"))
 
     def apply(batch: DataFrame) -> DataFrame:
-        f = view(spark, sf, "feed", {"orders": batch})
+        own = batch.sparkSession  # a micro-batch lives in its own session
+        known = view(own, sf, "cv_file").withColumn("drive_modified_at", F.col("created_at"))
+        f = view(own, sf, "feed", {"orders": batch})
         f = f.withColumn("parents", F.when(F.col("moved"), F.col("parents_out")).otherwise(F.col("parents_in"))).drop("parents_in", "parents_out", "moved")
         cols = [c for c in f.columns if c not in ("workspace_id", "file_id")]
         f = f.groupBy("workspace_id", "file_id").agg(F.max_by(F.struct(*cols), F.coalesce("modified_at", F.timestamp_seconds(F.lit(0)))).alias("r")).select("workspace_id", "file_id", "r.*")
         c = oi.in_folder(oi.change_split(f).filter("change = 'changed'"), F.concat(F.lit("folder_"), F.col("workspace_id").cast("string")))
-        return oi.change_outcome(oi.drop_ignored(c, view(spark, sf, "ignore_list")), known).select("file_id", "workspace_id", "outcome")
+        return oi.change_outcome(oi.drop_ignored(c, view(own, sf, "ignore_list")), known).select("file_id", "workspace_id", "outcome")
 
     st.each_batch(table_stream(spark, sf, "orders"), apply, at, at + "-ck").awaitTermination()
     return spark.read.parquet(at).select("file_id", "workspace_id", "outcome")

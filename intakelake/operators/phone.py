@@ -13,8 +13,6 @@ from ..functions.regex import every, matches
 from ..functions.stage import once
 
 P = V.PHONE_POINTS
-BY_NUMBER = Window.partitionBy("doc_id", "phone")
-RANKED = Window.partitionBy("doc_id").orderBy(F.desc("points"), "ord")
 
 
 def phone_runs(lines: DataFrame) -> DataFrame:
@@ -90,10 +88,11 @@ def phone_score(runs: DataFrame) -> DataFrame:
 
 def phone_candidates(lines: DataFrame) -> DataFrame:
     """One row per document and number: its best-scoring place, first-seen order kept for ties."""
+    by_number = Window.partitionBy("doc_id", "phone")
     scored = phone_score(plausible_runs(lines)).filter("points > 0").withColumn("ord", F.col("idx") * 1000 + F.col("pos"))
     return (
-        scored.withColumn("_n", F.row_number().over(BY_NUMBER.orderBy(F.desc("points"), "ord")))
-        .withColumn("first_ord", F.min("ord").over(BY_NUMBER))
+        scored.withColumn("_n", F.row_number().over(by_number.orderBy(F.desc("points"), "ord")))
+        .withColumn("first_ord", F.min("ord").over(by_number))
         .filter("_n = 1")
         .select("doc_id", "phone", "points", "signals", "why", "idx", F.col("first_ord").alias("ord"))
     )
@@ -101,7 +100,8 @@ def phone_candidates(lines: DataFrame) -> DataFrame:
 
 def rank_candidates(cands: DataFrame, value: str) -> DataFrame:
     """Rank per document; carry the runner-up's points."""
-    return cands.withColumn("rank", F.row_number().over(RANKED)).withColumn("_next", F.lead("points").over(RANKED)).withColumn(
+    ranked = Window.partitionBy("doc_id").orderBy(F.desc("points"), "ord")
+    return cands.withColumn("rank", F.row_number().over(ranked)).withColumn("_next", F.lead("points").over(ranked)).withColumn(
         "next_points", F.when(F.col("_next") > 0, F.col("_next"))).drop("_next")
 
 

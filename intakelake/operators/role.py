@@ -12,12 +12,11 @@ from ..functions.regex import group, matches
 from ..functions.stage import once
 from ..functions.titles import clean_title, is_title, present_role, title_case, title_shaped
 from ..sources.taxonomy import Taxonomy
+from .structure import whole_doc
 from .taxonomy import role_match, surface_scan
 
 P = V.ROLE_POINTS
 UNIT = 1000  # per hundredth
-SORTED = Window.partitionBy("doc_id").orderBy("tier", F.desc("points"), "seq")
-DOC = Window.partitionBy("doc_id")
 WRAPPED = " (spanning wrapped lines)"
 INTENT_WORD = r"(?i)seeking|searching|looking|to\s+work|wish\s|want\s|aspire|apply|position\s+of|role\s+of|post\s+of|as\s+an?\s"
 
@@ -33,7 +32,7 @@ def role_evidence(lines: DataFrame) -> DataFrame:
     """Candidate phrases of every tier in one pass; rows with ``scan`` still need a title found in them."""
     text, label, section = F.col("text"), F.coalesce("label", F.lit("")), F.col("section")
     body, joined_text = ~F.col("is_heading"), F.concat_ws(" ", "text", "next_text")
-    first_exp = F.min(F.when((section == "experience") & body & (F.trim(text) != ""), F.col("idx"))).over(DOC)
+    first_exp = F.min(F.when((section == "experience") & body & (F.trim(text) != ""), F.col("idx"))).over(whole_doc())
     df = (
         lines.withColumn("_first_exp", first_exp).withColumn("_joined", joined_text)
         .withColumn("_intent", body & matches(F.col("_joined"), INTENT_WORD))
@@ -119,9 +118,10 @@ def _ceiling(tier: Column) -> Column:
 
 def role_best(docs: DataFrame, cands: DataFrame) -> DataFrame:
     """Lowest tier, then points; bounded by the tier, raised by a second tier, lowered by a close rival."""
+    in_order = Window.partitionBy("doc_id").orderBy("tier", F.desc("points"), "seq")
     pair = F.struct("role", "tier", "points", "signals", "why", "idx")
     df = (
-        cands.withColumn("rank", F.row_number().over(SORTED)).withColumn("_best", F.first(pair).over(SORTED))
+        cands.withColumn("rank", F.row_number().over(in_order)).withColumn("_best", F.first(pair).over(in_order))
         .withColumn("_same", F.lower("role") == F.lower("_best.role")).withColumn("_rival", (F.col("tier") == F.col("_best.tier")) & ~F.col("_same"))
         .withColumn("_new", F.row_number().over(Window.partitionBy("doc_id", F.lower("role")).orderBy("rank")) == 1)
     )

@@ -7,14 +7,12 @@ lines themselves are never shuffled again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from .. import values as V
 from ..functions.regex import every, group, matches, sub
 from ..functions.stage import once
 
-BY_LINE = Window.partitionBy("doc_id").orderBy("idx")
-WHOLE_DOC = Window.partitionBy("doc_id")
 # Every section pattern starts with one of these; most lines stop at this one cheap test.
 HEADING_START = (
     r"(?i)^(?:career|objective|professional|job|summary|profile|about|executive|synopsis|overview|resume|headline|personal|bio|candidate"
@@ -23,6 +21,14 @@ HEADING_START = (
 )
 
 
+def by_line() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("idx")
+
+
+def whole_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id")
+
+
 def by_doc(df: DataFrame) -> DataFrame:
     """Hash-partition by document. The count is explicit: pattern work is bound by CPU, so
     small shuffles must not be merged into a few tasks by their size in bytes."""
@@ -54,12 +60,12 @@ def with_headings(lines: DataFrame) -> DataFrame:
 
 def section_fill(lines: DataFrame) -> DataFrame:
     """Every line takes the kind of the last heading at or above it."""
-    running = BY_LINE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = by_line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return lines.withColumn("section", F.coalesce(F.last("kind", ignorenulls=True).over(running), F.lit("header")))
 
 
 def header_bounds(lines: DataFrame) -> DataFrame:
-    first = F.min(F.when(F.col("is_heading"), F.col("idx"))).over(WHOLE_DOC)
+    first = F.min(F.when(F.col("is_heading"), F.col("idx"))).over(whole_doc())
     return (
         lines.withColumn("first_heading", first)
         .withColumn("has_headings", F.col("first_heading").isNotNull())
@@ -101,10 +107,10 @@ def annotate_lines(texts: DataFrame) -> DataFrame:
     """The structural model of every document: the input of all field extractors."""
     lines = label_value(header_bounds(section_fill(with_headings(doc_lines(texts)))))
     lines = once(lines, emails=line_emails(F.col("text"))).withColumn("has_email", F.size("emails") > 0)
-    near = F.coalesce(F.lag("has_email").over(BY_LINE), F.lit(False)) | F.coalesce(F.lead("has_email").over(BY_LINE), F.lit(False))
+    near = F.coalesce(F.lag("has_email").over(by_line()), F.lit(False)) | F.coalesce(F.lead("has_email").over(by_line()), F.lit(False))
     return (
-        lines.withColumn("prev_text", F.lag("text").over(BY_LINE))
-        .withColumn("next_text", F.when(~F.lead("is_heading").over(BY_LINE), F.lead("text").over(BY_LINE)))
+        lines.withColumn("prev_text", F.lag("text").over(by_line()))
+        .withColumn("next_text", F.when(~F.lead("is_heading").over(by_line()), F.lead("text").over(by_line())))
         .withColumn("beside_email", near)
         .drop("bare", "kind", "n_lines", "separated")
     )

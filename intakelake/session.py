@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Settings every job of this package expects.
+
+    Timestamps are UTC. Constraint propagation is off: over long chains of pattern columns it
+    takes most of the planning time, and these plans state their null filters themselves.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    return spark
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

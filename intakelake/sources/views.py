@@ -14,6 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import values as V
+from ..session import tuned
 
 
 @dataclass(frozen=True)
@@ -326,7 +327,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame
 
     ``given`` replaces tables it reads, for instance by one micro-batch of a stream.
     """
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    tuned(spark)
     given, frames, sql = given or {}, {}, SPARK_VIEWS[name]
     for dep in RAW + list(SPARK_VIEWS):
         if dep != name and re.search(rf"\b(?:FROM|JOIN)\s+{dep}\b", sql):
