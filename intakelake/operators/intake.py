@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import values as V
 
 FILE_KEY = ["workspace_id", "file_hash"]
+SHARES = 64
 
 
 def upload_outcome(batch: DataFrame, existing: DataFrame) -> DataFrame:
@@ -100,8 +101,11 @@ def ignore_append(current: DataFrame, added: DataFrame, size: int = V.IGNORE_LIS
     both = current.select("workspace_id", "file_id", F.lit(0).alias("part"), "seq").unionByName(
         added.select("workspace_id", "file_id", F.lit(1).alias("part"), "seq"))
     seen = both.groupBy("workspace_id", "file_id").agg(F.min(F.struct("part", "seq")).alias("_at"))
-    newest = F.row_number().over(Window.partitionBy("workspace_id").orderBy(F.desc("_at"), F.desc("file_id")))
-    return seen.withColumn("_n", newest).filter(F.col("_n") <= size).select("workspace_id", "file_id", "_at.part", "_at.seq")
+    # a tenant's last entries are among the last entries of its shares, so a large tenant is cut in many tasks first
+    newest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_at"), F.desc("file_id")))
+    shares = seen.withColumn("_s", F.pmod(F.hash("file_id"), F.lit(SHARES)))
+    kept = shares.withColumn("_n", newest("workspace_id", "_s")).filter(F.col("_n") <= size)
+    return kept.withColumn("_n", newest("workspace_id")).filter(F.col("_n") <= size).select("workspace_id", "file_id", "_at.part", "_at.seq")
 
 
 def ignore_remove(current: DataFrame, ids: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ def tuned(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    # sessions of a busy key are merged before the shuffle
+    spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     return spark
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import values as V
 from ..session import checkpointed
@@ -54,9 +54,8 @@ def numbered(rows: DataFrame, *order) -> DataFrame:
     placed = checkpointed(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
     part, pos = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    ends = sizes.agg(F.array_sort(F.collect_list(F.struct("_p", "_n"))).alias("_all"))  # one entry per part
-    parts = ends.select(F.explode(F.transform("_all", lambda x: F.struct(
-        x["_p"].alias("_p"), F.aggregate(F.filter("_all", lambda y: y["_p"] < x["_p"]), F.lit(0).cast("bigint"), lambda a, y: a + y["_n"]).alias("_before")))).alias("o")).select("o.*")
+    before = F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")  # one row per part
+    parts = sizes.select("_p", before.alias("_before"))
     return placed.withColumn("_p", part).join(F.broadcast(parts), "_p").withColumn("row_no", F.col("_before") + pos + 1).drop("_p", "_m", "_before")
 
 

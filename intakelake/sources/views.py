@@ -90,6 +90,7 @@ COMPANIES = ["Northgate Foods", "Bluepeak Retail", "Orchid Textiles", "Harbour F
 def _cv_lines(d: Dialect) -> list[str]:
     table, style = "layout = 3", "style"
     return [
+        "CASE WHEN layout = 4 AND i % 3 = 0 THEN 'KEY SKILLS' END",  # a sidebar read before the name
         "CASE WHEN i % 4 = 0 THEN CASE WHEN layout = 3 THEN 'CURRICULUM VITAE' ELSE 'RESUME' END END",
         f"CASE WHEN {table} THEN 'PERSONAL DETAILS' END",
         f"CASE WHEN {table} THEN CASE WHEN i % 2 = 0 THEN 'Name : ' ELSE 'Name ' END || shown_name ELSE shown_name END",
