@@ -18,9 +18,10 @@ FALLBACK = 5
 def doc_tokens(docs: DataFrame) -> DataFrame:
     """Per document: words of its e-mail addresses and of its file name, as sets.
 
-    An address never spans lines, so it is read from the whole text.
+    An address holds no blanks, so only the blank-free pieces with an @ are searched.
     """
-    words = F.flatten(F.transform(line_emails(F.col("text")), email_tokens))
+    pieces = F.filter(F.split("text", r"\s+"), lambda p: F.contains(p, F.lit("@")))
+    words = F.flatten(F.transform(F.flatten(F.transform(pieces, line_emails)), email_tokens))
     return docs.select(
         "doc_id", F.array_distinct(file_tokens(F.coalesce("file_name", F.lit("")))).alias("file_tokens"),
         F.col("ocr_confidence").isNotNull().alias("ocr_used"), F.array_distinct(words).alias("email_tokens"))
