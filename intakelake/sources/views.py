@@ -333,5 +333,8 @@ def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame
     for dep in RAW + list(SPARK_VIEWS):
         if dep != name and re.search(rf"\b(?:FROM|JOIN)\s+{dep}\b", sql):
             frames[dep] = given[dep] if dep in given else view(spark, sf_dir, dep, given) if dep in SPARK_VIEWS else raw(spark, sf_dir, dep)
+    if name == "cv_text":
+        # texts are composed after a narrow shuffle on their key, in as many tasks as the jobs that read them
+        frames["orders"] = frames["orders"].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     sql = re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}} AS {m[2]}" if m[2] in frames else m[0], sql.replace("{", "{{").replace("}", "}}"))
     return spark.sql(sql, **frames)
