@@ -9,7 +9,7 @@ from ..functions.phones import digits_of, phone_mentions
 from ..functions.regex import squeeze
 from .structure import by_doc
 from ..functions.review import (
-    code_concerns, concerns, milli, missing, overall, penalised, two_places, unit, validate_name, validate_phone, validate_role,
+    code_concerns, concerns, milli, overall, penalised, two_places, unit, validate_name, validate_phone, validate_role,
 )
 
 
