@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_pass
+from .common import arrow_pass, plus
 
 #: Bytes of a leaf, ids of a leaf when decoding, runs from which merging uses a heap.
 LEAF, DECODE_LEAF, HEAP_FROM = 24, 4096, 48
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``encoded`` with the column ``decoded``: the bytes its ids stand for."""
     lines = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
-    schema = encoded.schema.add("decoded", "binary")
+    schema = plus(encoded, decoded="binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(lines.value, pattern)

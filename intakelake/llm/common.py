@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Rows and bytes of one Arrow batch; together they bound what a Python worker holds at a time.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
@@ -28,6 +29,11 @@ def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(fn, schema)
 
 
+def plus(df: DataFrame, **columns: str) -> StructType:
+    """The schema of ``df`` with more columns, each given by name and DDL type."""
+    return StructType([*df.schema.fields, *[StructField(name, DataType.fromDDL(kind)) for name, kind in columns.items()]])
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; a null text is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

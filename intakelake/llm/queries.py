@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, simhash
+from . import bpe, rules, simhash
 from .common import table
 
 
@@ -14,10 +14,62 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents")).drop("n_lines")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+win AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM pos),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
+s AS (
+  SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
+    len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))))::BIGINT AS n_own_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
+f AS (SELECT *, n_lines - n_own_lines AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
+m AS (
+  SELECT *, 100 * word_chars // greatest(n_words, 1) AS word_length, 10000 * n_symbols // greatest(word_chars, 1) AS symbol_share,
+    10000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_share, 10000 * n_repeat_words // greatest(n_words, 1) AS repeat_share FROM f),
+tall AS (
+  SELECT lang, source, measure, x FROM (SELECT * FROM m WHERE NOT base_failed)
+  UNPIVOT (x FOR measure IN (word_length, symbol_share, dup_line_share, repeat_share))),
+k AS (SELECT *, greatest(length(bin(x)) - 5, 0)::INT AS low FROM tall),
+b AS (SELECT lang, source, measure, (x >> low) << low AS bucket FROM k),
+levels AS (
+  SELECT 0 AS level, lang, source, measure, bucket FROM b UNION ALL SELECT 1, lang, NULL, measure, bucket FROM b
+  UNION ALL SELECT 2, NULL, NULL, measure, bucket FROM b),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS r, count(*) OVER (PARTITION BY level, lang, source, measure) AS n FROM levels),
+q AS (
+  SELECT level, lang, source, measure, max(n) AS n, min(CASE WHEN 100 * r >= 25 * n THEN bucket END) AS q25, min(CASE WHEN 100 * r >= 75 * n THEN bucket END) AS q75
+  FROM ranked GROUP BY ALL),
+g AS (SELECT * FROM (SELECT DISTINCT lang, source FROM f), (VALUES ('word_length', 50), ('symbol_share', 100), ('dup_line_share', 500), ('repeat_share', 500)) AS x(measure, floor)),
+pick AS (
+  SELECT g.lang, g.source, g.measure, g.floor, q.q25, q.q75 FROM g JOIN q ON g.measure = q.measure AND (q.level = 2
+    OR (q.lang IS NOT DISTINCT FROM g.lang AND q.n >= 200 AND (q.level = 1 OR q.source IS NOT DISTINCT FROM g.source)))
+  QUALIFY row_number() OVER (PARTITION BY g.lang, g.source, g.measure ORDER BY q.level) = 1),
+lim AS (
+  SELECT lang, source, max(CASE WHEN measure = 'word_length' THEN q25 - 4 * greatest(q75 - q25, floor) END) AS short,
+    max(CASE WHEN measure = 'word_length' THEN q75 + 4 * greatest(q75 - q25, floor) END) AS long,
+    max(CASE WHEN measure = 'symbol_share' THEN q75 + 4 * greatest(q75 - q25, floor) END) AS symbols,
+    max(CASE WHEN measure = 'dup_line_share' THEN q75 + 4 * greatest(q75 - q25, floor) END) AS lines,
+    max(CASE WHEN measure = 'repeat_share' THEN q75 + 4 * greatest(q75 - q25, floor) END) AS repeats
+  FROM pick GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  coalesce(NOT base_failed AND word_length BETWEEN short AND long AND symbol_share <= symbols AND dup_line_share <= lines AND repeat_share <= repeats, false) AS kept
+FROM m LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM m.lang AND lim.source IS NOT DISTINCT FROM m.source
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op10_simhash": op10_simhash}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op4_bpe": op4_bpe, "op8_rules": op8_rules, "op10_simhash": op10_simhash}
+ORACLE: dict[str, str] = {"op8_rules": OP8_SQL}
