@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, rules, simhash
+from . import bpe, fingerprint, rules, simhash
 from .common import table
 
 
@@ -66,10 +66,14 @@ FROM m LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM m.lang AND lim.source IS N
 """
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op8_rules": op8_rules, "op10_simhash": op10_simhash}
+QUERIES = {"op4_bpe": op4_bpe, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
 ORACLE: dict[str, str] = {"op8_rules": OP8_SQL}
