@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint, rules, simhash
+from . import bpe, fingerprint, lm, rules, simhash
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents")).drop("n_lines")
 
@@ -75,5 +79,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
+QUERIES = {"op4_bpe": op4_bpe, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
 ORACLE: dict[str, str] = {"op8_rules": OP8_SQL}
