@@ -34,9 +34,9 @@ def plus(df: DataFrame, **columns: str) -> StructType:
     return StructType([*df.schema.fields, *[StructField(name, DataType.fromDDL(kind)) for name, kind in columns.items()]])
 
 
-def utf8(column: pa.Array) -> list[bytes]:
+def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The column's texts as UTF-8; a null text is empty."""
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def held_out(doc_id, folds: int):
@@ -64,3 +64,21 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], max_bytes: int) -> tuple[list[bytes], list[int]]:
+    """Whole texts and labels to fit a model on: a bounded sample, the same in every run.
+
+    Of each class at most ``per_class`` rows outside the held-out fold, in the order of a hash of
+    doc_id; texts above ``max_bytes`` are left to scoring. So the driver holds at most the sum of
+    ``per_class`` times ``max_bytes``. Rows without id, label or text are not learnt from.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), LABEL_FOLDS))
+    known = known.select("doc_id", F.col(label).cast("int").alias("_label")).dropDuplicates(["doc_id"])
+    short = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text")
+    pick = None
+    for value, n in per_class.items():
+        part = known.where(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        pick = part if pick is None else pick.union(part)
+    rows = short.join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sum(per_class.values())).select("text", "_label").toArrow()
+    return utf8(rows.column("text")), rows.column("_label").to_pylist()

@@ -5,8 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint, lm, rules, simhash
-from .common import table
+from . import bpe, fingerprint, lm, rules, simhash, toxicity
+from .common import LABEL_FOLDS, held_out, labelled_sample, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts, labels = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.PER_CLASS, toxicity.MAX_BYTES)
+    return toxicity.scored(docs, toxicity.fit([x.decode() for x in texts], labels)).select(
+        "doc_id", held_out(F.col("doc_id"), LABEL_FOLDS).alias("held_out"), "score", "predicted", "offending")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +86,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
 ORACLE: dict[str, str] = {"op8_rules": OP8_SQL}
