@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint, lm, rules, simhash, toxicity
+from . import bpe, fingerprint, lm, quality_cnn, rules, simhash, toxicity
 from .common import LABEL_FOLDS, held_out, labelled_sample, table
 
 
@@ -16,6 +16,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id"), LABEL_FOLDS).alias("held_out"), "score", "predicted", "offending")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", quality_cnn.PER_CLASS, quality_cnn.MAX_BYTES)
+    return quality_cnn.scored(docs, quality_cnn.fit(*sample)).select("doc_id", held_out(F.col("doc_id"), LABEL_FOLDS).alias("held_out"), "score", "predicted")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
@@ -86,5 +92,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
 ORACLE: dict[str, str] = {"op8_rules": OP8_SQL}
