@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint, lm, quality_cnn, rules, simhash, toxicity
+from . import bpe, chat, fingerprint, lm, quality_cnn, rules, simhash, toxicity
 from .common import LABEL_FOLDS, held_out, labelled_sample, table
 
 
@@ -16,6 +16,32 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id"), LABEL_FOLDS).alias("held_out"), "score", "predicted", "offending")
 
 
+#: A conversation of nothing but control strings, formatted with all others.
+CONTROL = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return chat.digests(chat.examples(given.unionByName(spark.createDataFrame(CONTROL, "conv_id long, turn long, role string, text string"))))
+
+
+OP2_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) AS v(conv_id, turn, role, text)),
+f AS (
+  SELECT *, length(role) + length(text) + 16 + (length(role || '|') - length(replace(role || '|', chr(16), '')))
+    + (length(text) - length(replace(text, chr(16), ''))) + (length(text) - length(replace(text, '<|', '<'))) AS size FROM c),
+r AS (
+  SELECT *, sum((role = 'assistant')::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC ROWS UNBOUNDED PRECEDING) AS replies FROM f)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size * greatest(replies, 1))::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant')::BIGINT AS n_examples
+FROM r GROUP BY conv_id
+"""
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", quality_cnn.PER_CLASS, quality_cnn.MAX_BYTES)
@@ -92,5 +118,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
-ORACLE: dict[str, str] = {"op8_rules": OP8_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
+ORACLE: dict[str, str] = {"op2_chat": OP2_SQL, "op8_rules": OP8_SQL}
