@@ -5,20 +5,53 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from intakelake.llm import simhash
-from intakelake.llm.common import shared_folder, table
+from intakelake.llm import bpe, mixing, quality_cnn, rules, simhash
+from intakelake.llm.common import labelled_sample, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that the trained network predicts to be good stay; it learns from the labelled rows of ``docs``."""
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", quality_cnn.PER_CLASS, quality_cnn.MAX_BYTES)
+    return quality_cnn.keep_good(docs.select(*COLUMNS), quality_cnn.fit(*sample))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts inside the thresholds of their language and source stay; the thresholds come from ``docs``."""
+    return rules.keep_good(docs.select(*COLUMNS))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
     return simhash.one_of_each(docs.select(*COLUMNS))
 
 
-STAGES = [("simhash near-dedup", near_duplicates)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order in which the sources' blocks are due: sorted across and inside the files."""
+    return mixing.in_order(docs.select(*COLUMNS))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, ids and n_tokens, and the place in the mixture: file and row of the stage before.
+
+    A table that was not read from files has no places; they are null then.
+    """
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = docs.select("doc_id", "source", "text", *_places(docs))
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, carry=["source", "mix_file", "mix_row"])
+
+
+def _places(docs: DataFrame) -> list:
+    if docs.inputFiles():
+        return [F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row")]
+    return [F.lit(None).cast("string").alias("mix_file"), F.lit(None).cast("long").alias("mix_row")]
+
+
+STAGES = [("quality classifier", quality), ("quality rules", quality_rules), ("simhash near-dedup", near_duplicates), ("pfair mixture", mixture), ("byte-level bpe", tokens)]
 
 #: Trained models, tries and schedules have no SQL form; the tests check the stages one by one.
 ORACLE_SQL = None

@@ -180,18 +180,19 @@ def codec(lines: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit) and n_tokens of every whole text."""
+def encode(docs: DataFrame, path: str, pattern: str, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns to carry, ids (binary, little-endian unsigned 32-bit) and n_tokens of every whole text."""
     lines = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    docs = docs.select("doc_id", *(carry or []), "text")
+    schema = plus(docs.drop("text"), ids="binary", n_tokens="long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(lines.value, pattern)
         for b in batches:
             ids = [one.encode(x or "") for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], schema.names)
 
-    docs = docs.select("doc_id", "text")
-    return arrow_pass(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long")
+    return arrow_pass(docs, run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, fingerprint, html_text, lm, quality_cnn, rules, simhash, toxicity
+from . import bpe, chat, fingerprint, html_text, lm, mixing, quality_cnn, rules, simhash, toxicity
 from .common import LABEL_FOLDS, held_out, labelled_sample, table
 
 
@@ -53,6 +53,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixed(docs).select("doc_id", "source", *[F.col(f"_{c}").alias(c) for c in ("block", "slot", "release", "due", "phase", "before")])
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
@@ -122,5 +127,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op6_html": op6_html, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_mixing": op5_mixing, "op6_html": op6_html, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
 ORACLE: dict[str, str] = {"op2_chat": OP2_SQL, "op8_rules": OP8_SQL}
