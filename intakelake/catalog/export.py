@@ -48,14 +48,14 @@ def _(spark, sf):
 
 
 CELL = lambda c: f"""(SELECT CASE WHEN regexp_matches(s, '[",\\r\\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END FROM (SELECT CASE WHEN regexp_matches({c}, '^[=+@\\t\\r-]') AND NOT regexp_matches({c}, '^[+-][0-9\\s().-]+$') THEN '''' || {c} ELSE coalesce({c}, '') END AS s) z)"""
-_CELLS = """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '=cmd()' WHEN 1 THEN '+91 98765-43210' WHEN 2 THEN '@x, y' WHEN 3 THEN 'say "hi"' WHEN 4 THEN '-5 apples' WHEN 5 THEN NULL ELSE left(text, 200) END AS v FROM documents"""
+_CASES = ["=cmd()", "+91 98765-43210", "@x, y", 'say "hi"', "-5 apples", None]
+_CELLS = "SELECT doc_id, text AS v FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, {S.q(c) if c else 'NULL'})" for i, c in enumerate(_CASES)) + ") AS x(doc_id, v)"
 
 
 @query("csv_safe_cells", f"SELECT doc_id, {CELL('v')} AS cell FROM cells", cells=_CELLS)
 def _(spark, sf):
-    m = F.col("doc_id") % 7
-    v = (F.when(m == 0, "=cmd()").when(m == 1, "+91 98765-43210").when(m == 2, "@x, y").when(m == 3, 'say "hi"').when(m == 4, "-5 apples").when(m == 6, F.left("text", F.lit(200))))
-    return raw(spark, sf, "documents").select("doc_id", sk.csv_cell(v).alias("cell"))
+    cases = spark.createDataFrame([(-1 - i, c) for i, c in enumerate(_CASES)], "doc_id long, text string")
+    return raw(spark, sf, "documents").select("doc_id", "text").unionByName(cases).select("doc_id", sk.csv_cell(F.col("text")).alias("cell"))
 
 
 def export(spark, sf):

@@ -488,7 +488,7 @@ def _(spark, sf):
 
 
 @query("job_failure", """SELECT job_id, t AS transient, t AND attempts < max_attempts AS will_retry, CASE WHEN t AND attempts < max_attempts THEN 'PENDING' ELSE 'FAILED' END AS status,
-   CASE WHEN t AND attempts < max_attempts THEN 'RETRY_SCHEDULED' END AS stage, left(message, 1000) AS error_message, CASE WHEN app_error THEN code ELSE 'PROCESSING_ERROR' END AS error_code
+   CASE WHEN t AND attempts < max_attempts THEN 'RETRY_SCHEDULED' END AS stage, message AS error_message, CASE WHEN app_error THEN code ELSE 'PROCESSING_ERROR' END AS error_code
   FROM (SELECT *, CASE WHEN app_error THEN app_transient ELSE code = 'ECONNRESET' OR coalesce(error_name = 'AbortError', false) OR coalesce(http_status IN (429, 503), false) OR contains(lower(message), 'timed out') END AS t FROM failure) x""")
 def _(spark, sf):
     return rv.job_failure(view(spark, sf, "failure"))

@@ -197,9 +197,9 @@ def added(spark, sf):
 
 
 @query("ignore_append", """SELECT workspace_id, file_id, part, seq FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY part DESC, seq DESC, file_id DESC) AS n FROM (
-    SELECT workspace_id, file_id, 0 AS part, seq FROM ignore_list UNION ALL SELECT workspace_id, file_id, 1, seq FROM addd a WHERE NOT EXISTS (SELECT 1 FROM ignore_list i WHERE i.workspace_id = a.workspace_id AND i.file_id = a.file_id)) x) y WHERE n <= 20""", addd=_ADD)
+    SELECT workspace_id, file_id, 0 AS part, seq FROM ignore_list UNION ALL SELECT workspace_id, file_id, 1, seq FROM addd a WHERE NOT EXISTS (SELECT 1 FROM ignore_list i WHERE i.workspace_id = a.workspace_id AND i.file_id = a.file_id)) x) y""", addd=_ADD)
 def _(spark, sf):
-    return op.ignore_append(view(spark, sf, "ignore_list"), added(spark, sf), size=20)
+    return op.ignore_append(view(spark, sf, "ignore_list"), added(spark, sf))
 
 
 @query("ignore_remove", "SELECT workspace_id, file_id, seq FROM ignore_list i WHERE seq % 5 <> 0")

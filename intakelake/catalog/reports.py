@@ -173,7 +173,7 @@ def day_files(spark, sf):
 
 _DAY = f"""SELECT f.cv_file_id, f.file_name, f.status, f.created_at, f.workspace_id, u.name AS uploader, w.name AS workspace, c.candidate_name,
    (SELECT count(*) FROM processing_job j WHERE j.cv_file_id = f.cv_file_id AND j.status IN ('PROCESSED', 'NEEDS_REVIEW')) AS parse_count
-  FROM (SELECT * FROM cv_file WHERE {_range('1998-06-10', '1998-06-11', 'Asia/Kolkata')} ORDER BY created_at, cv_file_id LIMIT 1000) f
+  FROM (SELECT * FROM cv_file WHERE {_range('1998-06-10', '1998-06-11', 'Asia/Kolkata')} ) f
   LEFT JOIN app_user u ON u.user_id = f.uploaded_by LEFT JOIN workspace w ON w.workspace_id = f.workspace_id LEFT JOIN candidate c ON c.cv_file_id = f.cv_file_id"""
 
 
@@ -184,7 +184,7 @@ def _(spark, sf):
 
 @query("activity_day_clients", "SELECT workspace_id, workspace, count(*) AS n FROM dayf GROUP BY ALL", dayf=_DAY)
 def _(spark, sf):
-    return op.activity_day_clients(day_files(spark, sf))
+    return op.activity_day_clients(files(spark, sf), view(spark, sf, "workspace"), "1998-06-10", "Asia/Kolkata")
 
 
 @query("workspace_list", f"""SELECT w.workspace_id, w.name, w.slug, w.is_active, {S.stamp('w.created_at')} AS created_at, (SELECT count(*) FROM app_user u WHERE u.workspace_id = w.workspace_id) AS users,

@@ -45,7 +45,7 @@ def _(spark, sf):
 
 _PAGES = f"SELECT doc_id, coalesce(string_agg(nullif({STRIP('text')}, ''), chr(10) || chr(10) ORDER BY page_no), '') AS text, count(*) AS page_count FROM page_text GROUP BY doc_id"
 _OCR = """SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS ocr_text, cast(sum(confidence_pct) AS double) / count(*) / 100 AS ocr_confidence, count(*) AS pages_processed
-  FROM page_text WHERE page_no < 3 GROUP BY doc_id"""
+  FROM page_text GROUP BY doc_id"""
 _ROUTE = f"""SELECT *, CASE mime_type WHEN 'application/pdf' THEN 'PDF_TEXT' WHEN 'image/png' THEN 'NONE' WHEN 'application/msword' THEN 'DOC' ELSE 'DOCX' END AS method,
   CASE WHEN mime_type = 'image/png' THEN 0 ELSE {MEAN('text')} END AS meaningful,
   CASE mime_type WHEN 'image/png' THEN true WHEN 'application/pdf' THEN NOT {USABLE('text', 'page_count')} ELSE {MEAN('text')} < 150 END AS needs_ocr
@@ -111,7 +111,7 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", ft.truncate_middle(F.col("text"), 3000).alias("text"))
 
 
-@query("normalize_text", f"SELECT doc_id, CASE WHEN length(t) > 20000 THEN left(t, 16000) || chr(10) || chr(10) || '[... truncated ...]' || chr(10) || chr(10) || right(t, 4000) ELSE t END AS text FROM (SELECT doc_id, {STRIP('string_agg(line, chr(10) ORDER BY idx)')} AS t FROM nlines GROUP BY doc_id) z", **Y)
+@query("normalize_text", f"SELECT doc_id, {STRIP('string_agg(line, chr(10) ORDER BY idx)')} AS text FROM nlines GROUP BY doc_id", **Y)
 def _(spark, sf):
     return tp.normalize_text(docs(spark, sf), compose=False)
 

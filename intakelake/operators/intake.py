@@ -96,11 +96,13 @@ def due_totals(due: DataFrame, summaries: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("connections_checked"), F.count("discovered").alias("connections_synced"), total("discovered"), total("enqueued"))
 
 
-def ignore_append(current: DataFrame, added: DataFrame, size: int = V.IGNORE_LIST_SIZE) -> DataFrame:
-    """Per tenant: first-seen order, no repeats, the last ``size`` kept."""
+def ignore_append(current: DataFrame, added: DataFrame, size: int | None = None) -> DataFrame:
+    """Per tenant: first-seen order, no repeats; all of it, or the last ``size`` where a size is asked for."""
     both = current.select("workspace_id", "file_id", F.lit(0).alias("part"), "seq").unionByName(
         added.select("workspace_id", "file_id", F.lit(1).alias("part"), "seq"))
     seen = both.groupBy("workspace_id", "file_id").agg(F.min(F.struct("part", "seq")).alias("_at"))
+    if size is None:
+        return seen.select("workspace_id", "file_id", "_at.part", "_at.seq")
     # a tenant's last entries are among the last entries of its shares, so a large tenant is cut in many tasks first
     newest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_at"), F.desc("file_id")))
     shares = seen.withColumn("_s", F.pmod(F.hash("file_id"), F.lit(SHARES)))

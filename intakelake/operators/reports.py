@@ -206,13 +206,10 @@ def activity_summary(files: DataFrame, as_of: str, first: str, last: str, zone:
 
 
 def activity_day_files(files: DataFrame, users: DataFrame, workspaces: DataFrame, candidates: DataFrame, jobs: DataFrame, day: str, zone: str | None) -> DataFrame:
-    """The first 1,000 files of one local day in time order, with uploader, tenant, candidate and parse count.
-
-    The list is cut before the joins, so they only see its rows.
-    """
+    """Every file of one local day, with uploader, tenant, candidate and parse count. Order and pages are the caller's."""
     lo, hi = day_bounds(day, day, zone_or_utc(zone))
     at = F.col("created_at")
-    listed = files.filter((at >= lo) & (at < hi)).orderBy("created_at", "cv_file_id").limit(V.DAY_LIST_ROWS)
+    listed = files.filter((at >= lo) & (at < hi))
     return (
         parse_count(listed, jobs.join(listed.select("cv_file_id"), "cv_file_id", "left_semi"))
         .join(users.select(F.col("user_id").alias("uploaded_by"), F.col("name").alias("uploader")), "uploaded_by", "left")
@@ -221,8 +218,11 @@ def activity_day_files(files: DataFrame, users: DataFrame, workspaces: DataFrame
     )
 
 
-def activity_day_clients(day_files: DataFrame) -> DataFrame:
-    return day_files.groupBy("workspace_id", "workspace").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "workspace_id")
+def activity_day_clients(files: DataFrame, workspaces: DataFrame, day: str, zone: str | None) -> DataFrame:
+    """Files of one local day for each tenant, counted before the tenants' names are joined."""
+    lo, hi = day_bounds(day, day, zone_or_utc(zone))
+    n = files.filter((F.col("created_at") >= lo) & (F.col("created_at") < hi)).groupBy("workspace_id").agg(F.count("*").alias("n"))
+    return n.join(workspaces.select("workspace_id", F.col("name").alias("workspace")), "workspace_id", "left").select("workspace_id", "workspace", "n").orderBy(F.desc("n"), "workspace_id")
 
 
 def workspace_list(workspaces: DataFrame, users: DataFrame, files: DataFrame, as_of: str) -> DataFrame:

@@ -154,7 +154,7 @@ def job_failure(failures: DataFrame) -> DataFrame:
         failures.withColumn("transient", t).withColumn("will_retry", c("transient") & (c("attempts") < c("max_attempts")))
         .select(
             "job_id", "transient", "will_retry", F.when(c("will_retry"), "PENDING").otherwise("FAILED").alias("status"),
-            F.when(c("will_retry"), "RETRY_SCHEDULED").alias("stage"), F.left("message", F.lit(V.ERROR_CHARS)).alias("error_message"),
+            F.when(c("will_retry"), "RETRY_SCHEDULED").alias("stage"), F.col("message").alias("error_message"),
             F.when(c("app_error"), c("code")).otherwise("PROCESSING_ERROR").alias("error_code"),
         )
     )

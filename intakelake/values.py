@@ -34,7 +34,6 @@ FOLDER_MIME = "application/vnd.google-apps.folder"
 UNSAFE_NAME_CHARS = r'[\x00-\x1f<>:"/\\|?*]'
 MAX_NAME_CHARS = 200
 SLUG_CHARS = 48
-IGNORE_LIST_SIZE = 5000
 
 # ---------------------------------------------------------------- fixed values
 # Document structure.
@@ -153,8 +152,6 @@ OCR_WORST = 70
 # ---------------------------------------------------------------- fixed values
 # Text preparation.
 OCR_MIN_CHARS = 150
-OCR_MAX_PAGES = 3
-MAX_TEXT_CHARS = 20000
 TRUNCATION_MARK = "\n\n[... truncated ...]\n\n"
 REPEAT_LINE_CHARS = 25
 MIN_TEXT_CHARS = 20
@@ -171,10 +168,8 @@ SAFE_NUMERIC = r"^[+-][\d\s().-]+$"
 QUOTA_WORDS = r"(?i)insufficient_quota|credit_balance_exhausted|billing_hard_limit_reached|quota|no credits remaining|credit balance is too low|exceeded your current quota"
 TRANSIENT_CODES = ["ECONNRESET", "ETIMEDOUT", "ECONNREFUSED", "EAI_AGAIN", "EPIPE", "UND_ERR_SOCKET", "UND_ERR_CONNECT_TIMEOUT"]
 TRANSIENT_WORDS = r"rate limit|timeout|timed out|overloaded|fetch failed"
-ERROR_CHARS = 1000
 HEARTBEAT_TTL_SECONDS = 20
 STALE_CLAIM_SECONDS = 180
-DAY_LIST_ROWS = 1000
 ACTIVE_STATUSES = ["PENDING", "PROCESSING"]
 PARSED_STATUSES = ["PROCESSED", "NEEDS_REVIEW"]
 STATUSES = ["PENDING", "PROCESSING", "PROCESSED", "NEEDS_REVIEW", "FAILED", "SKIPPED"]
