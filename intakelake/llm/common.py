@@ -34,6 +34,14 @@ def plus(df: DataFrame, **columns: str) -> StructType:
     return StructType([*df.schema.fields, *[StructField(name, DataType.fromDDL(kind)) for name, kind in columns.items()]])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it what ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The column's texts as UTF-8; a null text is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

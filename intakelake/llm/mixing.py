@@ -98,40 +98,43 @@ def phases(parts: list[int], blocks: list[int]) -> list[dict]:
 
 
 def numbered(docs: DataFrame, size: Column, seed: int) -> DataFrame:
-    """``docs`` with ``_source`` (its number), ``_before``: the total size of what precedes it in its source's order.
+    """row (all columns of ``docs``), source, doc_id, size, and before: the size of what precedes it in its source's order.
 
     Rows are ordered by a hash; its leading part picks the piece, so a piece's rows are few and its
     total is added to all pieces after it.
     """
-    docs = docs.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0))).withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", F.coalesce(F.xxhash64("text"), F.lit(0))))
-    rows = docs.agg(F.count("*")).first()[0]
-    pieces = max(1, -(-rows // PIECE_ROWS))
-    piece = F.floor(F.shiftrightunsigned("_hash", 32) * F.lit(pieces) / F.lit(2**32)).cast("int")
-    docs = docs.withColumn("_piece", piece)
-    sums = docs.groupBy("source", "_piece").agg(F.sum("_size").alias("_sum"))
-    ahead = sums.withColumn("_ahead", F.sum("_sum").over(Window.partitionBy("source").orderBy("_piece")) - F.col("_sum")).select(F.col("source").alias("_s"), F.col("_piece").alias("_p"), "_ahead")
-    order = Window.partitionBy("source", "_piece").orderBy(F.shiftrightunsigned("_hash", 1), "_hash", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = docs.withColumn("_inside", F.sum("_size").over(order) - F.col("_size"))
-    met = inside.join(ahead, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p")), "left")
-    return met.withColumn("_before", F.col("_inside") + F.coalesce("_ahead", F.lit(0))).drop("_inside", "_ahead", "_s", "_p", "_piece", "_hash")
-
-
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK_CHARS, seed: int = 17, size: Column | None = None) -> DataFrame:
-    """``docs`` with ``_block`` (its block in its source), ``_slot``, ``_release`` and ``_due`` of that block,
-    ``_phase``, and ``_before`` (for the order inside a block). Sort by ``_slot, _before`` for the mixture.
+    hashed = F.xxhash64(F.lit(seed), "doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    pieces = max(1, -(-docs.count() // PIECE_ROWS))
+    rows = docs.select(F.struct("*").alias("row"), "source", "doc_id", F.coalesce(size.cast("long"), F.lit(0)).alias("size"), F.shiftrightunsigned(hashed, 1).alias("hash"))
+    rows = rows.withColumn("piece", F.floor(F.shiftrightunsigned("hash", 31) * F.lit(pieces) / F.lit(2**32)).cast("int"))
+    sums = rows.groupBy("source", "piece").agg(F.sum("size").alias("sum"))
+    ahead = sums.select(F.col("source").alias("s"), F.col("piece").alias("p"), (F.sum("sum").over(Window.partitionBy("source").orderBy("piece")) - F.col("sum")).alias("ahead"))
+    order = Window.partitionBy("source", "piece").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = rows.withColumn("inside", F.sum("size").over(order) - F.col("size"))
+    met = inside.join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p")), "left")
+    return met.select("row", "source", "doc_id", "size", (F.col("inside") + F.coalesce("ahead", F.lit(0))).alias("before"))
+
+
+#: What the mixture says of a document.
+PLACE = ["block", "slot", "release", "due", "phase", "before"]
+
+
+def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK_CHARS, seed: int = 17, size: Column | None = None) -> DataFrame:
+    """row (all columns of ``docs``), doc_id, source and PLACE: the document's block in its source, that
+    block's slot, release and deadline, its phase, and the size before it in its source. Sorted by slot
+    and before, the rows are the mixture.
 
     A document belongs to the block in which it begins; one longer than a block uses up its source's next
     blocks too, so that shares are shares of characters.
     """
-    size = F.length("text") if size is None else size
-    placed = numbered(docs, size, seed).withColumn("_block", F.floor(F.col("_before") / F.lit(block)).cast("long"))
+    rows = numbered(docs, F.length("text") if size is None else size, seed).withColumn("block", F.floor(F.col("before") / F.lit(block)).cast("long"))
     spark = docs.sparkSession
-    totals = placed.groupBy("source").agg(F.sum("_size").alias("size"), F.max("_block").alias("last")).limit(MAX_SOURCES + 1).collect()
+    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.max("block").alias("last")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     given = None if weights is None else [max(weights.get(r.source, 0.0), 0.0) for r in totals]
-    parts = parts_of([r.size for r in totals], given) if totals else []
+    parts = parts_of([r["size"] for r in totals], given) if totals else []
     plan = phases(parts, [r["last"] + 1 for r in totals])
     tasks = [(n, p["slot"], p["period"], [totals[i].source for i in p["parts"]], list(p["parts"].values()), list(p["first"].values())) for n, p in enumerate(plan)]
     kinds = "phase int, slot long, period long, sources array<string>, parts array<long>, first array<long>"
@@ -139,26 +142,25 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for t in f.itertuples():
-                rows = schedule(dict(enumerate(int(x) for x in t.parts)))
-                yield pd.DataFrame({"_s": [t.sources[s] for _, s, _ in rows], "_k": [k for *_, k in rows], "_at": [x for x, *_ in rows], "_phase": t.phase,
-                                    "_first": [t.first[s] for _, s, _ in rows], "_parts": [t.parts[s] for _, s, _ in rows], "_start": t.slot, "_period": t.period})
+                made = schedule(dict(enumerate(int(x) for x in t.parts)))
+                yield pd.DataFrame({"s": [t.sources[s] for _, s, _ in made], "k": [k for *_, k in made], "at": [x for x, *_ in made], "phase": t.phase,
+                                    "first": [t.first[s] for _, s, _ in made], "parts": [t.parts[s] for _, s, _ in made], "start": t.slot, "period": t.period})
 
-    table = spark.createDataFrame(tasks, kinds).repartition(max(1, min(len(tasks), 200)), "phase").mapInPandas(run, "_s string, _k long, _at long, _phase int, _first long, _parts long, _start long, _period long")
-    table = written(table, "schedule")
+    made = spark.createDataFrame(tasks, kinds).repartition(max(1, min(len(tasks), 200)), "phase")
+    table = written(made.mapInPandas(run, "s string, k long, at long, phase int, first long, parts long, start long, period long"), "schedule")
     small = F.broadcast if sum(p["period"] for p in plan) <= BROADCAST_ROWS else lambda df: df
     # the phase of a block: the last one of its source that begins at or before it
-    spans = table.groupBy("_s").agg(F.sort_array(F.collect_set(F.struct("_first", "_phase", "_parts"))).alias("_spans"))
-    own = placed.join(small(spans), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    own = own.withColumn("_in", F.element_at(F.filter("_spans", lambda x: x["_first"] <= F.col("_block")), -1)).drop("_spans")
-    own = own.withColumn("_nth", F.col("_block") - F.col("_in._first")).withColumn("_k_own", F.col("_nth") % F.col("_in._parts"))
-    met = own.join(small(table), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_in._phase") == F.col("_phase")) & (F.col("_k_own") == F.col("_k")), "left")
-    slot = F.col("_start") + F.floor(F.col("_nth") / F.col("_parts")) * F.col("_period") + F.col("_at")
-    released = F.col("_start") + F.floor(F.col("_nth") * F.col("_period") / F.col("_parts"))
-    due = F.col("_start") + F.ceil((F.col("_nth") + 1) * F.col("_period") / F.col("_parts"))
-    met = met.withColumn("_slot", slot.cast("long")).withColumn("_release", released.cast("long")).withColumn("_due", due.cast("long"))
-    return met.select(*docs.columns, "_block", "_slot", "_release", "_due", "_phase", "_before")
+    spans = table.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("first", "phase", "parts"))).alias("spans"))
+    own = rows.join(small(spans), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    own = own.withColumn("in", F.element_at(F.filter("spans", lambda x: x["first"] <= F.col("block")), -1)).drop("spans")
+    own = own.select("row", "source", "doc_id", "before", "block", F.col("in.phase").alias("own_phase"), (F.col("block") - F.col("in.first")).alias("nth"), ((F.col("block") - F.col("in.first")) % F.col("in.parts")).alias("own_k"))
+    met = own.join(small(table), F.col("source").eqNullSafe(F.col("s")) & (F.col("own_phase") == F.col("phase")) & (F.col("own_k") == F.col("k")), "left")
+    slot = F.col("start") + F.floor(F.col("nth") / F.col("parts")) * F.col("period") + F.col("at")
+    released = F.col("start") + F.floor(F.col("nth") * F.col("period") / F.col("parts"))
+    due = F.col("start") + F.ceil((F.col("nth") + 1) * F.col("period") / F.col("parts"))
+    return met.select("row", "doc_id", "source", "block", slot.cast("long").alias("slot"), released.cast("long").alias("release"), due.cast("long").alias("due"), "phase", "before")
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
     """``docs`` in the order of the mixture: sorted across its files, columns untouched."""
-    return mixed(docs, **options).orderBy("_slot", "_before", "doc_id").select(*docs.columns)
+    return placed(docs, **options).orderBy("slot", "before", "doc_id").select("row.*")

@@ -55,7 +55,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mixed(docs).select("doc_id", "source", *[F.col(f"_{c}").alias(c) for c in ("block", "slot", "release", "due", "phase", "before")])
+    return mixing.placed(docs).select("doc_id", "source", *mixing.PLACE)
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import arrow_pass, plus, utf8, written
+from .common import arrow_pass, fresh, plus, utf8, written
 
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -53,13 +53,14 @@ def count_text(text: bytes) -> tuple[int, ...]:
     return n, chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeat
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with the counts of its texts in the struct ``_counts``."""
-    schema = plus(docs, _counts=", ".join(f"{c}: bigint" for c in COUNTS).join(["struct<", ">"]))
+def with_counts(docs: DataFrame, name: str = "_counts") -> DataFrame:
+    """``docs`` with the counts of its texts in a struct of that name."""
+    schema = plus(docs, **{name: ", ".join(f"{c}: bigint" for c in COUNTS).join(["struct<", ">"])})
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([count_text(x) for x in utf8(b.column("text"))], np.int64).reshape(-1, len(COUNTS))
+            got = np.array([count_text(x) for x in utf8(b.column(at))], np.int64).reshape(-1, len(COUNTS))
             counts = pa.StructArray.from_arrays([pa.array(got[:, i]) for i in range(len(COUNTS))], COUNTS)
             yield pa.RecordBatch.from_arrays([*b.columns, counts], schema.names)
 
@@ -138,7 +139,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Texts are counted twice, once for the sketches and once beside the row, so that no text is
     shuffled to meet its verdict; the joined thresholds are one row for each group.
     """
-    counted = with_counts(docs)
-    limits = written(thresholds(counted.select("lang", "source", "_counts.*")), "limits").select(F.struct("*").alias("_limit"))
-    met = counted.join(limits, F.col("lang").eqNullSafe(F.col("_limit.lang")) & F.col("source").eqNullSafe(F.col("_limit.source")), "left")
-    return met.where(within(lambda k: F.col(f"_counts.{k}"), lambda k: F.col(f"_limit.{k}"))).select(*docs.columns)
+    counts, limit = fresh(docs, "_counts"), fresh(docs, "_limit")
+    counted = with_counts(docs, counts)
+    limits = written(thresholds(counted.select("lang", "source", f"{counts}.*")), "limits").select(F.struct("*").alias(limit))
+    met = counted.join(limits, F.col("lang").eqNullSafe(F.col(f"{limit}.lang")) & F.col("source").eqNullSafe(F.col(f"{limit}.source")), "left")
+    return met.where(within(lambda k: F.col(f"{counts}.{k}"), lambda k: F.col(f"{limit}.{k}"))).select(*docs.columns)

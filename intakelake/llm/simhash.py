@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_pass, utf8, written
+from .common import arrow_pass, fresh, utf8, written
 
 SHINGLE_WORDS, SEED, BUDGET, BLOCK = 3, 42, 3, 16
 #: Fingerprints in one trie above which its pairs of child nodes become work of their own.
@@ -232,7 +232,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = components(docs)
     kept = found.where("doc_id = component_id").groupBy("doc_id").count()
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id") == F.col("_kept_id"), "left").where("doc_id is null or _kept_id is not null").drop("_kept_id")
+    name = fresh(docs, "_kept_id")
+    out = docs.join(kept.select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left").where(F.col("doc_id").isNull() | F.col(name).isNotNull()).drop(name)
     if kept.where("count > 1").limit(1).count():
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
     return out
