@@ -69,7 +69,7 @@ class Net:
         """Pieces one after another, each from a block's start and with a block of padding behind; the blocks that count."""
         rows, own, at = [], [], 0
         for data, skip, size in pieces:
-            blocks = -(-len(data) // BLOCK) + 1
+            blocks = max(1, -(-len(data) // BLOCK)) + 1
             rows.append(data.ljust(blocks * BLOCK, b"\0"))
             own.append(np.arange(at + skip, at + skip + size))
             at += blocks
