@@ -1,8 +1,9 @@
 """Role taxonomies: a nested JSON document, flattened to ordered rows.
 
 Any taxonomy with the shape {version, families[{family, roles[{canonical,
-aliases[]}]}], seniorityPrefixes[], genericRejects[]} can be passed in. The
-built-in one below is a small starting point written for this package.
+aliases[]}]}], seniorityPrefixes[], genericRejects[]} can be passed in; read_taxonomy
+reads one from a file. The default follows occupation titles of the public
+International Standard Classification of Occupations (ISCO-08), with everyday other names.
 """
 
 from __future__ import annotations
@@ -28,39 +29,68 @@ TAXONOMY_SCHEMA = T.StructType([
     T.StructField("genericRejects", T.ArrayType(T.StringType())),
 ])
 
-# family | canonical title | other names
-BUILT_IN = """
-Engineering | Software Engineer | Software Developer; Programmer; SDE; Application Engineer
-Engineering | Backend Developer | Back End Developer; Backend Engineer; Node.js Developer; API Developer
-Engineering | Frontend Developer | Front-End Developer; React Developer; UI Developer
-Engineering | Full Stack Developer | Fullstack Developer; Full Stack Engineer
-Engineering | Java Developer | Java Engineer; Spring Boot Developer
-Engineering | DevOps Engineer | Site Reliability Engineer; SRE; Cloud Engineer
-Engineering | QA Engineer | Test Engineer; Software Tester; SDET
-Engineering | .NET Developer | C# Developer; Dot Net Developer
-Data | Data Analyst | Reporting Analyst; MIS Analyst
-Data | Data Engineer | ETL Developer; Big Data Engineer
-Data | Machine Learning Engineer | ML Engineer; AI Engineer
-Data | Database Administrator | DBA; PL/SQL Developer
-Business | Business Analyst | BA; Product Analyst
-Business | Business Development Executive | BDE; Business Development Associate
-Business | Sales Executive | Sales Representative; Field Sales Executive
-Business | Account Manager | Key Account Manager; RM
-Marketing | Digital Marketing Executive | Digital Marketer; Online Marketing Executive
-Marketing | Content Writer | Copywriter; Technical Writer
-Marketing | Graphic Designer | Visual Designer; UX Designer
-People | HR Executive | HR Generalist; Human Resource Executive
-People | HR Recruiter | Recruiter; IT Recruiter; Talent Acquisition Specialist
-Finance | Accountant | Accounts Executive; Senior Accountant
-Finance | Financial Analyst | Finance Analyst
-Operations | Operations Executive | Operations Associate
-Operations | Customer Support Executive | Customer Care Executive; Help Desk Executive
-Operations | Project Manager | Program Manager; Scrum Master
-Plant | Mechanical Engineer | Design Engineer; Maintenance Engineer
-Plant | Civil Engineer | Site Engineer; Structural Engineer
-Care | Teacher | School Teacher; Lecturer; Tutor
-Care | Nurse | Staff Nurse; Registered Nurse
-"""
+# Group of occupations -> title -> other names.
+OCCUPATIONS: dict[str, dict[str, list[str]]] = {
+    "Science and Engineering": {
+        "Civil Engineer": ["Construction Engineer", "Highway Engineer"],
+        "Mechanical Engineer": ["Machine Design Engineer"],
+        "Electrical Engineer": ["Power Systems Engineer"],
+        "Chemical Engineer": ["Process Engineer"],
+        "Architect": ["Building Architect", "Landscape Architect"],
+        "Surveyor": ["Land Surveyor", "Cartographer"],
+        "Statistician": ["Actuary", "Biostatistician"],
+    },
+    "Information and Communications Technology": {
+        "Systems Analyst": ["Computer Systems Analyst", "Information Systems Analyst"],
+        "Software Developer": ["Software Engineer", "Software Programmer"],
+        "Web Developer": ["Website Developer", "Multimedia Developer"],
+        "Applications Programmer": ["C++ Programmer", "Computer Programmer"],
+        "Database Administrator": ["DBA", "Database Designer"],
+        "Network Engineer": ["Computer Network Engineer", "Network Technician"],
+        "Data Analyst": ["Data Specialist", "Data Scientist"],
+    },
+    "Business and Administration": {
+        "Accountant": ["Chartered Accountant", "Auditor"],
+        "Investment Adviser": ["Financial Planner", "Estate Planner"],
+        "Management Consultant": ["Organisation Analyst"],
+        "Personnel Officer": ["Staffing Officer", "Careers Adviser"],
+        "Public Relations Officer": ["PR", "Press Officer"],
+        "Marketing Specialist": ["Advertising Specialist", "Market Researcher"],
+        "Sales Representative": ["Medical Sales Representative", "Commercial Traveller"],
+        "Buyer": ["Purchasing Officer", "Procurement Officer"],
+        "Executive Secretary": ["Administrative Secretary"],
+    },
+    "Health": {
+        "Nurse": ["Registered Nurse", "Staff Nurse", "RN"],
+        "Midwife": [],
+        "Pharmacist": ["Dispensing Chemist"],
+        "Physiotherapist": ["Physical Therapist"],
+        "Dentist": ["Dental Surgeon"],
+        "Laboratory Technician": ["Medical Laboratory Technician"],
+    },
+    "Teaching": {
+        "Secondary School Teacher": ["High School Teacher"],
+        "Primary School Teacher": ["Elementary School Teacher"],
+        "University Lecturer": ["College Lecturer"],
+    },
+    "Law, Social and Culture": {
+        "Lawyer": ["Barrister", "Solicitor"],
+        "Librarian": ["Archivist"],
+        "Journalist": ["News Reporter"],
+        "Translator": ["Interpreter", "Translator/Interpreter"],
+        "Graphic Designer": ["Multimedia Designer"],
+        "Social Worker": ["Family Counsellor"],
+    },
+    "Services and Trades": {
+        "Chef": ["Head Cook"],
+        "Shop Assistant": ["Shop Sales Assistant"],
+        "Contact Centre Clerk": ["Call Centre Agent"],
+        "Electrician": ["Building Electrician"],
+        "Plumber": ["Pipe Fitter"],
+        "Welder": ["Flame Cutter"],
+        "Truck Driver": ["Lorry Driver"],
+    },
+}
 
 
 @dataclass(frozen=True)
@@ -99,17 +129,13 @@ class Taxonomy:
 
 
 def built_in() -> Taxonomy:
-    families: dict[str, list] = {}
-    for line in BUILT_IN.strip().splitlines():
-        family, canonical, names = (c.strip() for c in line.split("|"))
-        families.setdefault(family, []).append({"canonical": canonical, "aliases": [n.strip() for n in names.split(";")]})
-    return Taxonomy("1.0.0", [{"family": f, "roles": r} for f, r in families.items()], V.SENIORITY_PREFIXES, V.GENERIC_TITLES)
+    families = [{"family": f, "roles": [{"canonical": c, "aliases": names} for c, names in roles.items()]} for f, roles in OCCUPATIONS.items()]
+    return Taxonomy("1.0.0", families, V.SENIORITY_PREFIXES, V.GENERIC_TITLES)
 
 
-def read_taxonomy(path: str) -> Taxonomy:
-    """A taxonomy file is one small document; it is read once where the plan is built."""
-    with open(path, encoding="utf-8") as f:
-        return Taxonomy.from_json(f.read())
+def read_taxonomy(spark: SparkSession, path: str) -> Taxonomy:
+    """A taxonomy file is one small document in any store Spark reads; it is read once where the plan is built."""
+    return Taxonomy.from_json(spark.read.text(path, wholetext=True).first()[0])
 
 
 SURFACE_SCHEMA = "family string, canonical string, surface string, kind string, role_ord int, ord int"

@@ -75,96 +75,94 @@ NAMES = [
     "Ingrid Solberg", "Chetan Barua", "Noor Jahan", "Mohit Sabharwal", "Élodie Garnier", "Vasudha Hegde",
 ]
 ROLES = [  # stated on the CV, expected answer
-    ("Data Analyst", "Data Analyst"), ("Back End Developer", "Backend Developer"), ("Accountant", "Accountant"),
-    ("BDE", "Business Development Executive"), ("Senior Data Engineer", "Senior Data Engineer"),
-    ("React Developer", "Frontend Developer"), ("Civil Engineer", "Civil Engineer"), ("Sr. Accountant", "Sr Accountant"),
-    ("Digital Marketing Executive", "Digital Marketing Executive"), ("IT Recruiter", "HR Recruiter"),
-    ("Node.js Developer", "Backend Developer"), ("Staff Nurse", "Nurse"), ("Cloud Data Engineer", "Data Engineer"),
-    ("Brand Strategist", "Brand Strategist"), ("Project Manager", "Project Manager"), ("ML Engineer", "Machine Learning Engineer"),
-    ("Customer Support Executive", "Customer Support Executive"), ("Lead Java Developer", "Lead Java Developer"),
+    ("Data Analyst", "Data Analyst"), ("Software Engineer", "Software Developer"), ("Accountant", "Accountant"),
+    ("DBA", "Database Administrator"), ("Senior Civil Engineer", "Senior Civil Engineer"),
+    ("Website Developer", "Web Developer"), ("Mechanical Engineer", "Mechanical Engineer"), ("Sr. Accountant", "Sr Accountant"),
+    ("Public Relations Officer", "Public Relations Officer"), ("Press Officer", "Public Relations Officer"),
+    ("C++ Programmer", "Applications Programmer"), ("Staff Nurse", "Nurse"), ("Cloud Network Engineer", "Network Engineer"),
+    ("Brand Strategist", "Brand Strategist"), ("Buyer", "Buyer"), ("Computer Systems Analyst", "Systems Analyst"),
+    ("Secondary School Teacher", "Secondary School Teacher"), ("Lead Software Developer", "Lead Software Developer"),
 ]
 CITIES = ["Pune", "Lagos", "Chennai", "Lisbon", "Kochi", "Dubai", "Jaipur", "Oslo", "Surat", "Accra"]
 COMPANIES = ["Northgate Foods", "Bluepeak Retail", "Orchid Textiles", "Harbour Freight Lines", "Sterling Motors", "Maple Airways", "Quill Press"]
 
+# A résumé is put together from named parts. Each part is one line or null; a layout is an order of parts.
+# What a résumé shows follows from rolls: numbers below a bound, each from its own digits of a scrambled key.
+ROLLS = {"layout": 4, "says": 8, "mark": 6, "form": 7, "mail": 12, "tail": 10, "look": 16, "spare": 9}
+PARTS = {
+    "banner": "CASE mark WHEN 0 THEN 'CURRICULUM VITAE' WHEN 1 THEN '=== RESUME ===' END",
+    "name": "shown_name",
+    "name_row": "CASE WHEN mark < 3 THEN 'Full Name: ' WHEN mark = 3 THEN 'Candidate Name - ' ELSE 'Name ' END || shown_name",
+    "headline": "CASE WHEN says = 3 THEN role_stated END",
+    "place": "city || ', near the old market'",
+    "phone": "phone",
+    "phone_row": "CASE tail % 3 WHEN 0 THEN 'Mobile No: ' WHEN 1 THEN 'Phone ' ELSE 'WhatsApp / Cell - ' END || phone",
+    "mail": "email",
+    "mail_row": "'E-mail: ' || email",
+    "strip": "email || coalesce(' | ' || phone, '') || ' | ' || city",
+    "applied": "CASE WHEN says = 0 THEN 'Applied For: ' || role_stated WHEN says = 1 THEN 'Position Applied For - ' || role_stated WHEN says = 2 THEN 'Job Title: ' || role_stated END",
+    "born": "'Date of Birth: 1' || cast(tail as string) || '/08/1990'",
+    "home": "'Address: Flat ' || cast(spare + 1 as string) || ', ' || city || ' 4110' || lpad(cast(i % 100 as string), 2, '0')",
+    "other_phone": "CASE WHEN look = 2 THEN 'Emergency contact (father): 022-2765 43' || lpad(cast(i % 100 as string), 2, '0') WHEN look = 3 THEN '97' || lpad(cast((i * 53 + 9) % 100000000 as string), 8, '0') END",
+    "codes": "CASE look WHEN 4 THEN 'Pincode: 4110' || lpad(cast(i % 100 as string), 2, '0') WHEN 5 THEN 'Employee ID 2004' || lpad(cast(i % 1000000 as string), 6, '0') WHEN 6 THEN 'Aadhaar: 6543 2109 ' || cast(1000 + i % 9000 as string) WHEN 7 THEN 'Roll Number 98' || lpad(cast(i % 100000000 as string), 8, '0') END",
+    "aim_head": "CASE WHEN says IN (4, 5) THEN CASE WHEN mark < 2 THEN 'Objective' ELSE '** CAREER OBJECTIVE **' END WHEN says = 7 THEN 'Profile Summary:' END",
+    "aim": "CASE says WHEN 4 THEN CASE tail % 3 WHEN 0 THEN 'I wish to work as a ' || role_stated || ' with people who share what they know.' WHEN 1 THEN 'Looking for a suitable position as a ' || role_stated || ' in a growing firm.' ELSE 'Applying for the position of ' || role_stated || ', free from next month.' END WHEN 5 THEN 'Seeking a suitable role as a ' || split_part(role_stated, ' ', 1) WHEN 7 THEN CASE WHEN tail < 5 THEN role_stated || ' who has kept ' || cast(spare + 2 as string) || ' teams on time.' ELSE 'Has kept ' || cast(spare + 2 as string) || ' teams on time.' END END",
+    "aim_rest": "CASE WHEN says = 5 THEN coalesce(nullif(trim(substr(role_stated, length(split_part(role_stated, ' ', 1)) + 1)), '') || ' ', '') || 'with a leading house where I can learn.' END",
+    "work_head": "CASE WHEN mark % 2 = 0 THEN 'Employment History' ELSE '> PROFESSIONAL EXPERIENCE' END",
+    "work_now": "CASE WHEN says = 6 THEN 'Present Position: ' || role_stated WHEN tail = 7 THEN role_stated || ', ' || company || ' (2017 - Present)' ELSE 'Associate at ' || company || ', 2018 to 2022' END",
+    "work_note": "'- Kept the ledgers of ' || company || ' in order.'",
+    "front_desk": "CASE WHEN look = 8 THEN company || ' front desk 044 2811 30' || lpad(cast(i % 100 as string), 2, '0') END",
+    "school_head": "'EDUCATION'",
+    "school": "'B.A. (Hons), ' || city || ' College, 2012 - 2015'",
+    "skill_head": "CASE WHEN mark = 5 THEN 'Key Skills' ELSE 'SKILLS' END",
+    "skill": "'Negotiation, filing, first aid, cycling'",
+    "link": "CASE WHEN look = 9 THEN 'Samples: https://pieces.example/u/' || cast(i as string) || ' and www.pages.example' END",
+    "people_head": "CASE WHEN spare < 3 THEN 'Referees' END",
+    "people_one": "CASE WHEN spare < 3 THEN 'Prof. Hana Kimura, Dean, ' || company || ' - 96' || lpad(cast((i * 29 + 3) % 100000000 as string), 8, '0') END",
+    "people_two": "CASE WHEN spare = 1 THEN 'Ms. Ada Obi, Director - +234 803 555 ' || cast(1000 + i % 9000 as string) END",
+    "oath_head": "CASE WHEN tail < 6 THEN 'Declaration' END",
+    "oath": "CASE WHEN tail < 6 THEN 'All of this is true to my knowledge. ' || name END",
+}
+_BODY = ["aim_head", "aim", "aim_rest", "work_head", "work_now", "work_note", "front_desk"]
+_END = ["link", "people_head", "people_one", "people_two", "oath_head", "oath"]
+LAYOUTS = {
+    "letter": ["banner", "name", "headline", "place", "phone", "mail", "applied", "codes", "other_phone", *_BODY, "school_head", "school", "skill_head", "skill", *_END],
+    "form": ["banner", "applied", "name_row", "born", "phone_row", "other_phone", "mail_row", "home", "codes", "headline", "school_head", "school", *_BODY, *_END],
+    "sidebar": ["skill_head", "skill", "school_head", "school", "name", "headline", "phone", "mail", "applied", "other_phone", *_BODY, "codes", *_END],
+    "strip": ["name", "strip", "headline", "applied", *_BODY, "other_phone", "codes", "skill_head", "skill", "school_head", "school", "banner", *_END],
+}
 
-def _cv_lines(d: Dialect) -> list[str]:
-    table, style = "layout = 3", "style"
-    return [
-        "CASE WHEN layout = 4 AND i % 3 = 0 THEN 'KEY SKILLS' END",  # a sidebar read before the name
-        "CASE WHEN i % 4 = 0 THEN CASE WHEN layout = 3 THEN 'CURRICULUM VITAE' ELSE 'RESUME' END END",
-        f"CASE WHEN {table} THEN 'PERSONAL DETAILS' END",
-        f"CASE WHEN {table} THEN CASE WHEN i % 2 = 0 THEN 'Name : ' ELSE 'Name ' END || shown_name ELSE shown_name END",
-        f"CASE WHEN NOT ({table}) AND {style} = 4 THEN role_stated END",
-        f"CASE WHEN {table} THEN CASE WHEN i % 2 = 0 THEN 'Mobile : ' ELSE 'Contact No. ' END || phone END",
-        "CASE WHEN layout = 4 THEN phone END",
-        f"CASE WHEN {table} THEN 'Email : ' || email WHEN layout = 4 THEN email ELSE coalesce(phone || ' | ', '') || email || ' | ' || city END",
-        f"CASE WHEN {style} = 0 THEN CASE WHEN i % 3 = 0 THEN 'Position Applied For - ' ELSE 'Applied For: ' END || role_stated END",
-        f"CASE WHEN {style} = 1 THEN CASE WHEN {table} THEN 'Post Applied : ' ELSE 'Position: ' END || role_stated END",
-        f"CASE WHEN {table} AND {style} = 4 THEN 'Designation : ' || role_stated END",
-        f"CASE WHEN {table} THEN 'Date of Birth : 09/07/199' || cast(i % 10 as string) END",
-        f"CASE WHEN {table} THEN 'Address : 4 Lake View, ' || city || ' 560' || lpad(cast(i % 1000 as string), 3, '0') END",
-        "CASE WHEN i % 6 = 1 THEN 'Alternate Contact (Office): 0' || cast(i % 80 + 11 as string) || '-2345 6789' END",
-        "CASE WHEN i % 19 = 4 THEN '98' || lpad(cast((i * 31 + 77) % 100000000 as string), 8, '0') END",
-        "CASE WHEN i % 5 = 0 THEN 'PIN Code: 560' || lpad(cast(i % 1000 as string), 3, '0') END",
-        "CASE WHEN i % 5 = 0 THEN 'Employee ID: 100' || lpad(cast(i % 100000 as string), 6, '0') END",
-        "CASE WHEN i % 10 = 0 THEN 'Aadhaar: 2345 6789 ' || cast(i % 9000 + 1000 as string) END",
-        f"CASE {style} WHEN 2 THEN 'CAREER OBJECTIVE' WHEN 3 THEN 'PROFILE SUMMARY' WHEN 6 THEN 'SUMMARY' END",
-        f"CASE WHEN {style} = 2 AND layout = 2 THEN 'Seeking a challenging position as a ' || split_part(role_stated, ' ', 1) END",
-        f"CASE WHEN {style} = 2 AND layout = 2 THEN coalesce(nullif(trim(substr(role_stated, length(split_part(role_stated, ' ', 1)) + 1)), '') || ' ', '') || 'in a reputed organisation where I can grow.' END",
-        f"CASE WHEN {style} = 2 AND layout <> 2 THEN CASE i % 3 WHEN 0 THEN 'Seeking a challenging position as a ' || role_stated || ' in a growing company.'"
-        " WHEN 1 THEN 'I wish to work as a ' || role_stated || ' with a team that values care.' ELSE 'Applying for the post of ' || role_stated || ', ready to relocate.' END END",
-        f"CASE WHEN {style} = 3 THEN role_stated || CASE WHEN i % 2 = 0 THEN ' with ' ELSE ', ' END || cast(i % 9 + 1 as string) || ' years of delivery.' END",
-        f"CASE WHEN {style} = 6 THEN 'Dependable colleague with ' || cast(i % 9 + 1 as string) || ' years of steady delivery.' END",
-        "CASE WHEN i % 2 = 0 THEN 'WORK EXPERIENCE' ELSE '*** Employment History ***' END",
-        f"CASE WHEN {style} = 5 THEN 'Current Designation : ' || role_stated END",
-        "CASE WHEN i % 4 = 3 THEN role_stated || ', ' ELSE 'Senior Associate, ' END || company || ' (2019 - Present)'",
-        "'- Met every delivery date and coached new joiners.'",
-        "CASE WHEN i % 8 = 2 THEN 'Switchboard ' || company || ' 080 2345 67' || lpad(cast(i % 100 as string), 2, '0') END",
-        "'EDUCATION'",
-        "'B.Sc, ' || city || ' University, 2016'",
-        "'SKILLS'",
-        "'Planning, spreadsheets, public speaking, driving licence'",
-        "CASE WHEN i % 23 = 6 THEN 'Portfolio https://work.example/' || cast(i as string) || ', notes at www.notes.example' END",
-        "CASE WHEN i % 3 = 0 THEN 'REFERENCES' END",
-        "CASE WHEN i % 3 = 0 THEN 'Mr. Dev Anand, Manager, ' || company || ' - 98' || lpad(cast((i * 17) % 100000000 as string), 8, '0') END",
-        "CASE WHEN i % 3 = 0 THEN 'Dr. Rosa Pinto, Professor - +351 21 345 67' || lpad(cast(i % 100 as string), 2, '0') END",
-        "'DECLARATION'",
-        "'I hereby declare that the facts above are true. - ' || name",
-    ]
+
+def _rolls(d: Dialect) -> str:
+    """Each roll from its own digits of a scrambled key, in whole numbers both engines agree on."""
+    out, step = [], 1
+    for name, sides in ROLLS.items():
+        out.append(f"{d.intdiv('key', step)} % {sides} AS {name}")
+        step *= sides
+    return ", ".join(out)
 
 
 def _cv_text(d: Dialect) -> str:
-    role = "(i * 5 + 2)"
+    text = "CASE layout " + " ".join(f"WHEN {n} THEN {d.join_lines([PARTS[p] for p in parts])}" for n, parts in enumerate(LAYOUTS.values())) + " END"
+    forms = ["digits", "'+91 ' || digits", "'0' || digits", "'+91-' || digits", "'0091 ' || digits", "'+91 ' || substr(digits, 1, 5) || ' ' || substr(digits, 6)", "'(+91) ' || substr(digits, 1, 5) || '-' || substr(digits, 6)"]
+    traits = {"style:' || cast(says as string) || '": "true", "scanned": "scanned", "referees": "spare < 3", "second_number": "look IN (2, 3)", "codes": "look BETWEEN 4 AND 7", "titled": "look = 10",
+              "no_phone": "digits IS NULL", "no_role": "says = 7 AND tail >= 5", "current_role_only": "says = 6"}
     return f"""
     SELECT i AS doc_id, workspace_id,
-           CASE WHEN i % 3 = 1 THEN 'cv_' || cast(i as string) || '_Resume.pdf'
-                ELSE replace(name, ' ', '_') || '_' || cast(i as string) || '_Resume.pdf' END AS file_name,
-           {d.join_lines(_cv_lines(d))} AS text,
-           CASE WHEN i % 11 = 3 THEN cast(i % 45 + 55 as double) / 100 END AS ocr_confidence,
-           name AS truth_name, truth_phone,
-           CASE WHEN style <> 6 THEN role_expected END AS truth_role,
-           {d.texts(["'layout:' || cast(layout as string)", "'role_style:' || cast(style as string)",
-                     "CASE WHEN i % 11 = 3 THEN 'scanned' END", "CASE WHEN i % 3 = 0 THEN 'has_references' END",
-                     "CASE WHEN i % 6 = 1 THEN 'alternate_phone' END", "CASE WHEN i % 5 = 0 THEN 'decoy_numbers' END",
-                     "CASE WHEN i % 9 = 2 THEN 'honorific' END", "CASE WHEN truth_phone IS NULL THEN 'no_phone' END",
-                     "CASE WHEN style = 6 THEN 'no_role' END", "CASE WHEN style = 5 THEN 'current_role_only' END"])} AS traits
+           CASE WHEN tail < 3 THEN 'scan_' || cast(i as string) || '_Resume.pdf' ELSE replace(name, ' ', '_') || '_' || cast(i as string) || '_Resume.pdf' END AS file_name,
+           {text} AS text,
+           CASE WHEN scanned THEN cast(55 + i % 45 as double) / 100 END AS ocr_confidence,
+           name AS truth_name, '+91' || digits AS truth_phone, CASE WHEN NOT (says = 7 AND tail >= 5) THEN role_expected END AS truth_role,
+           {d.texts([f"CASE WHEN {when} THEN '{trait}' END" for trait, when in traits.items()])} AS traits
     FROM (SELECT *,
-            CASE WHEN i % 9 = 2 THEN 'Mr. ' ELSE '' END
-              || CASE WHEN i % 22 = 3 THEN {d.first_a_to_o('name')} WHEN i % 14 = 6 THEN upper(name) ELSE name END AS shown_name,
-            CASE i % 6 WHEN 0 THEN '+91 ' || digits WHEN 1 THEN '+91-' || digits WHEN 2 THEN '+91 ' || substr(digits, 1, 5) || ' ' || substr(digits, 6)
-                 WHEN 3 THEN '0' || digits WHEN 4 THEN digits ELSE '(+91) ' || substr(digits, 1, 5) || '-' || substr(digits, 6) END AS phone,
-            '+91' || digits AS truth_phone,
-            CASE WHEN i % 13 = 0 THEN 'write.to.me' ELSE {d.squeeze_dots('name')} END || cast(i % 100 as string) || '@mail.example' AS email
-          FROM (SELECT o_orderkey AS i, c_nationkey AS workspace_id, o_orderkey % 7 AS style,
-                  {d.intdiv('o_orderkey', 7)} % 5 AS layout,
-                  {d.pick(NAMES, 'o_orderkey')} AS name,
-                  {d.pick([r[0] for r in ROLES], '(o_orderkey * 5 + 2)')} AS role_stated,
-                  {d.pick([r[1] for r in ROLES], '(o_orderkey * 5 + 2)')} AS role_expected,
-                  {d.pick(CITIES, 'o_orderkey')} AS city,
-                  {d.pick(COMPANIES, 'o_orderkey * 3')} AS company,
-                  CASE WHEN o_orderkey % 17 <> 5 THEN cast(9 - o_orderkey % 4 as string)
-                    || lpad(cast((o_orderkey * 7919 + 104729) % 1000000000 as string), 9, '0') END AS digits
-                FROM orders JOIN customer ON o_custkey = c_custkey) a) b"""
+            CASE WHEN look = 10 THEN 'Ms. ' ELSE '' END || CASE WHEN look = 11 THEN {d.first_a_to_o('name')} WHEN look = 12 THEN upper(name) ELSE name END AS shown_name,
+            CASE form {' '.join(f'WHEN {n} THEN {x}' for n, x in enumerate(forms))} END AS phone,
+            CASE WHEN mail = 0 THEN 'hello.there' ELSE {d.squeeze_dots('name')} END || cast(i % 90 + 10 as string) || '@post.example' AS email
+          FROM (SELECT *, {_rolls(d)}, key % 11 = 5 AS scanned,
+                  CASE WHEN key % 19 <> 3 THEN cast(6 + key % 4 as string) || lpad(cast((key * 31 + 271828183) % 1000000000 as string), 9, '0') END AS digits,
+                  {d.pick(NAMES, d.intdiv('key', 7))} AS name, {d.pick([r[0] for r in ROLES], d.intdiv('key', 11))} AS role_stated, {d.pick([r[1] for r in ROLES], d.intdiv('key', 11))} AS role_expected,
+                  {d.pick(CITIES, d.intdiv('key', 13))} AS city, {d.pick(COMPANIES, d.intdiv('key', 17))} AS company
+                FROM (SELECT o_orderkey AS i, c_nationkey AS workspace_id, (o_orderkey * 1640531527 + 97) % 2147483647 AS key FROM orders JOIN customer ON o_custkey = c_custkey) k) a) b"""
 
 
 def _view_sql(d: Dialect) -> dict[str, str]:
@@ -288,7 +286,7 @@ def _view_sql(d: Dialect) -> dict[str, str]:
         CASE WHEN truth_phone IS NULL THEN CASE WHEN doc_id % (4 + e) = 1 THEN '+919000000000' ELSE '{V.NOT_FOUND}' END
              WHEN doc_id % (11 + e) = 2 THEN '+919111111111' WHEN doc_id % 2 = 0 THEN replace(truth_phone, '+91', '+91 ') ELSE truth_phone END AS got_phone,
         CASE WHEN truth_role IS NULL THEN CASE WHEN doc_id % (5 + e) = 2 THEN 'Clerk' ELSE '{V.NOT_FOUND}' END
-             WHEN doc_id % (13 - e) = 3 THEN '{V.NOT_FOUND}' WHEN doc_id % 10 = 3 THEN 'Lead ' || truth_role WHEN truth_role = 'Backend Developer' THEN 'Backend Engineer'
+             WHEN doc_id % (13 - e) = 3 THEN '{V.NOT_FOUND}' WHEN doc_id % 10 = 3 THEN 'Lead ' || truth_role WHEN truth_role = 'Software Developer' THEN 'Software Programmer'
              WHEN doc_id % (8 + e) = 5 THEN 'Plumber' ELSE truth_role END AS got_role,
         1 + (doc_id * 7919) % 500 + e * 2000 AS total_ms, (doc_id * 104729) % 40 + e * 1500 AS extract_ms,
         doc_id % (3 + e) = 0 AS needs_review, doc_id % (101 + e) = 0 AS failed
