@@ -9,7 +9,7 @@ from ..functions import names as fn, review as fr, titles as ft
 from ..functions.phones import digits_of, impossible, phone_mentions, with_phone
 from ..functions.regex import matches
 from ..operators import name as on, phone as op, review as rv, role as orole, structure as st, taxonomy as tx
-from ..plans.extraction import extract_fields, parse_documents
+from ..plans.extraction import document_model, extract_fields, fields_of, parse_documents
 from ..sources.taxonomy import built_in, flatten_taxonomies
 from ..sources.views import view
 from . import sql as S
@@ -141,7 +141,7 @@ def _(spark, sf):
 
 @query("phone_dedupe", "SELECT doc_id, phone, cast(round(score * 100) AS bigint) AS points, first_at AS ord, h.s AS signals FROM phones_one")
 def _(spark, sf):
-    return op.phone_candidates(lines(spark, sf)).select("doc_id", "phone", "points", "ord", "signals")
+    return op.phone_candidates(lines(spark, sf)).select("doc_id", "phone", "points", (F.col("ord.idx") * 1000 + F.col("ord.pos")).alias("ord"), "signals")
 
 
 @query("phone_best", "SELECT doc_id, phone, phone_confidence, phone_method, phone_why, phone_line FROM phone_best")
@@ -219,11 +219,11 @@ def _(spark, sf):
 
 @query("name_corroborate", "SELECT doc_id, name, cast(round(score * 100) AS bigint) AS points, why FROM names_scored")
 def _(spark, sf):
-    return on.name_candidates(cv(spark, sf), lines(spark, sf)).select("doc_id", "name", "points", "why")
+    return on.name_candidates(on.doc_tokens(cv(spark, sf)), lines(spark, sf)).select("doc_id", "name", "points", "why")
 
 
 def _name(spark, sf):
-    return on.name_best(cv(spark, sf), on.name_candidates(cv(spark, sf), lines(spark, sf)))
+    return on.name_best(cv(spark, sf), on.name_candidates(on.doc_tokens(cv(spark, sf)), lines(spark, sf)))
 
 
 @query("name_best", "SELECT doc_id, name, name_confidence, name_method, name_why FROM name_best")
@@ -272,7 +272,7 @@ def _(spark, sf):
 @query("taxonomy_lookup")
 def _(spark, sf):
     docs = view(spark, sf, "taxonomy_setting").filter("value is not null")
-    flat = flatten_taxonomies(docs, "setting_id").withColumn("ord", F.col("family_no") * 10000 + F.col("role_no") * 100 + F.col("name_no"))
+    flat = flatten_taxonomies(docs, "setting_id").withColumn("ord", (F.col("family_no").cast("long") * 2**20 + F.col("role_no")) * 2**20 + F.col("name_no"))
     return tx.taxonomy_lookup(flat, "setting_id")
 
 
@@ -409,7 +409,8 @@ def _(spark, sf):
 @query("validate_row", """SELECT doc_id, candidate_name, phone_number, job_role_applied_for, cast(n1 AS double) AS name_confidence, cast(p1 AS double) AS phone_confidence, cast(r1 AS double) AS role_confidence,
   cast(overall AS double) AS overall_confidence, array_to_string(codes, ' | ') AS review_codes FROM validated""")
 def _(spark, sf):
-    v = rv.validate_rows(extract_fields(cv(spark, sf)), cv(spark, sf))
+    model = document_model(cv(spark, sf))
+    v = rv.validate_rows(fields_of(model), model.facts)
     return v.select("doc_id", "candidate_name", "phone_number", "job_role_applied_for", "name_confidence", "phone_confidence", "role_confidence", "overall_confidence", "review_codes")
 
 

@@ -5,14 +5,13 @@ Streams read the table files as a file source and write to the shared checkpoint
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import intake as oi
 from ..plans.extraction import parse_documents
-from ..session import tuned
+from ..session import shared_folder, tuned
 from ..sources.files import stream_files
 from ..sources.views import raw, view
 from ..streaming import jobs as st
@@ -34,7 +33,7 @@ def query(key, oracle=None, **override):
 
 
 def place(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = shared_folder(spark)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 

@@ -56,5 +56,14 @@ def with_phone(df: DataFrame, raw: str, prefix: str = "phone") -> DataFrame:
 
 def phone_mentions(texts: DataFrame) -> DataFrame:
     """Distinct valid numbers written anywhere in each text."""
-    runs = texts.select("doc_id", F.explode(every(F.col("text"), V.PHONE_MENTION)).alias("raw"))
-    return with_phone(runs, "raw").filter("phone_valid").select("doc_id", "phone").distinct()
+    return mentioned(texts.select("doc_id", mentions(F.col("text")).alias("mentions")))
+
+
+def mentions(text: Column) -> Column:
+    """What is written like a number, in order."""
+    return every(text, V.PHONE_MENTION)
+
+
+def mentioned(rows: DataFrame) -> DataFrame:
+    """Distinct valid numbers among each row's ``mentions``."""
+    return with_phone(rows.select("doc_id", F.explode("mentions").alias("raw")), "raw").filter("phone_valid").select("doc_id", "phone").distinct()

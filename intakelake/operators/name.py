@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import values as V
 from ..functions.names import clean_names, correct_spelling, email_tokens, file_tokens, strip_contact
@@ -20,11 +20,15 @@ def doc_tokens(docs: DataFrame) -> DataFrame:
 
     An address holds no blanks, so only the blank-free pieces with an @ are searched.
     """
+    return docs.select("doc_id", *[c.alias(n) for n, c in token_columns().items()])
+
+
+def token_columns() -> dict[str, Column]:
+    """The columns of :func:`doc_tokens`, from a document's own row."""
     pieces = F.filter(F.split("text", r"\s+"), lambda p: F.contains(p, F.lit("@")))
     words = F.flatten(F.transform(F.flatten(F.transform(pieces, line_emails)), email_tokens))
-    return docs.select(
-        "doc_id", F.array_distinct(file_tokens(F.coalesce("file_name", F.lit("")))).alias("file_tokens"),
-        F.col("ocr_confidence").isNotNull().alias("ocr_used"), F.array_distinct(words).alias("email_tokens"))
+    return {"file_tokens": F.array_distinct(file_tokens(F.coalesce("file_name", F.lit("")))), "ocr_used": F.col("ocr_confidence").isNotNull(),
+            "email_tokens": F.array_distinct(words)}
 
 
 def name_hits(lines: DataFrame) -> DataFrame:
@@ -103,8 +107,8 @@ def name_corroborate(cands: DataFrame) -> DataFrame:
     )
 
 
-def name_candidates(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    return name_corroborate(name_merge(name_hits(lines), doc_tokens(docs)))
+def name_candidates(tokens: DataFrame, lines: DataFrame) -> DataFrame:
+    return name_corroborate(name_merge(name_hits(lines), tokens))
 
 
 def name_best(docs: DataFrame, cands: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ P = V.PHONE_POINTS
 
 
 def phone_runs(lines: DataFrame) -> DataFrame:
-    return lines.select("*", F.posexplode(every(F.col("text"), V.PHONE_RUN)).alias("pos", "raw"))
+    """Digit runs; a line with fewer than eight digits cannot hold a number."""
+    return lines.filter(F.col("text").rlike(r"(?:[0-9][^0-9]*){8}")).select("*", F.posexplode(every(F.col("text"), V.PHONE_RUN)).alias("pos", "raw"))
 
 
 def _around(n_before: int, n_after: int) -> tuple[Column, Column]:
@@ -89,7 +90,7 @@ def phone_score(runs: DataFrame) -> DataFrame:
 def phone_candidates(lines: DataFrame) -> DataFrame:
     """One row per document and number: its best-scoring place, first-seen order kept for ties."""
     by_number = Window.partitionBy("doc_id", "phone")
-    scored = phone_score(plausible_runs(lines)).filter("points > 0").withColumn("ord", F.col("idx") * 1000 + F.col("pos"))
+    scored = phone_score(plausible_runs(lines)).filter("points > 0").withColumn("ord", F.struct("idx", "pos"))
     return (
         scored.withColumn("_n", F.row_number().over(by_number.orderBy(F.desc("points"), "ord")))
         .withColumn("first_ord", F.min("ord").over(by_number))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import values as V
-from ..functions.phones import digits_of, phone_mentions
+from ..functions.phones import digits_of, mentioned, mentions
 from ..functions.regex import squeeze
-from .structure import by_doc
 from ..functions.review import (
     code_concerns, concerns, milli, overall, penalised, two_places, unit, validate_name, validate_phone, validate_role,
 )
@@ -21,18 +20,23 @@ def assemble(docs: DataFrame, name: DataFrame, phone: DataFrame, role: DataFrame
     return j.withColumn("engine", F.lit("local")).withColumn("engine_version", F.lit(V.ENGINE_VERSION))
 
 
-def with_text_facts(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Join each row with its text and the number of distinct valid numbers in it."""
-    t = by_doc(texts.select("doc_id", "text"))
-    counts = phone_mentions(t).groupBy("doc_id").agg(F.count("*").alias("n_numbers"))
-    return rows.join(t, "doc_id").join(counts, "doc_id", "left").withColumn("n_numbers", F.coalesce("n_numbers", F.lit(0)))
+def text_columns() -> dict[str, Column]:
+    """What validation asks of a text: what is written like a number, and its long digit runs with separators taken out."""
+    runs = F.regexp_extract_all(F.regexp_replace("text", r"[\s\-().]", ""), F.lit(r"[0-9]{8,}"), F.lit(0))
+    return {"mentions": mentions(F.col("text")), "digit_runs": F.array_join(runs, ",")}
 
 
-def validate_rows(rows: DataFrame, texts: DataFrame, threshold: int | None = None) -> DataFrame:
+def with_text_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join each row with its document's facts and the number of distinct valid numbers in its text."""
+    counts = mentioned(facts).groupBy("doc_id").agg(F.count("*").alias("n_numbers"))
+    return rows.join(facts.select("doc_id", "digit_runs"), "doc_id").join(counts, "doc_id", "left").withColumn("n_numbers", F.coalesce("n_numbers", F.lit(0)))
+
+
+def validate_rows(rows: DataFrame, facts: DataFrame, threshold: int | None = None) -> DataFrame:
     """Reject or clamp each field, compute the overall confidence, and say why a row needs review."""
     limit = V.THRESHOLD if threshold is None else threshold
-    df = with_text_facts(rows, texts)
-    df = validate_role(validate_phone(validate_name(df, "name"), "phone", "text"), "role")
+    df = with_text_facts(rows, facts)
+    df = validate_role(validate_phone(validate_name(df, "name"), "phone", "digit_runs"), "role")
     n = F.when(F.col("name_ok"), milli(F.col("name_confidence"))).otherwise(0)
     r = F.when(F.col("role_ok"), milli(F.col("role_confidence"))).otherwise(0)
     p0 = milli(F.col("phone_confidence"))

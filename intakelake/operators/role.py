@@ -12,7 +12,6 @@ from ..functions.regex import group, matches
 from ..functions.stage import once
 from ..functions.titles import clean_title, is_title, present_role, title_case, title_shaped
 from ..sources.taxonomy import Taxonomy
-from .structure import whole_doc
 from .taxonomy import role_match, surface_scan
 
 P = V.ROLE_POINTS
@@ -32,9 +31,8 @@ def role_evidence(lines: DataFrame) -> DataFrame:
     """Candidate phrases of every tier in one pass; rows with ``scan`` still need a title found in them."""
     text, label, section = F.col("text"), F.coalesce("label", F.lit("")), F.col("section")
     body, joined_text = ~F.col("is_heading"), F.concat_ws(" ", "text", "next_text")
-    first_exp = F.min(F.when((section == "experience") & body & (F.trim(text) != ""), F.col("idx"))).over(whole_doc())
     df = (
-        lines.withColumn("_first_exp", first_exp).withColumn("_joined", joined_text)
+        lines.withColumn("_joined", joined_text)
         .withColumn("_intent", body & matches(F.col("_joined"), INTENT_WORD))
     )
     quoted = lambda before, after: F.concat(F.lit(before + '"'), label, F.lit('"' + after))
@@ -49,7 +47,7 @@ def role_evidence(lines: DataFrame) -> DataFrame:
                      4, F.lit(P["tier4"]), "header_detection", trimmed, F.lit("standalone job title in the header")))
     rows.append(_row(5, matches(label, V.CURRENT_LABEL), 5, F.lit(P["tier5_label"]), "explicit_label", F.col("value"),
                      quoted("current-designation label ", " (history, not intent)")))
-    rows.append(_row(6, F.col("idx") == F.col("_first_exp"), 5, F.lit(P["tier5_first"]), "keyword_match", None,
+    rows.append(_row(6, F.col("idx") == F.col("first_entry"), 5, F.lit(P["tier5_first"]), "keyword_match", None,
                      F.lit("most recent experience entry (history, not intent)"), scan=text))
     df = df.withColumn("_rows", F.array_compact(F.array(*rows))).withColumn("_phrases", _intent_phrases())
     return df.select("doc_id", "idx", F.explode(F.concat("_rows", F.coalesce(_intent_rows(), F.array()))).alias("c")).select("doc_id", "idx", "c.*")

@@ -35,10 +35,15 @@ def by_doc(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
-def doc_lines(texts: DataFrame) -> DataFrame:
-    """(doc_id, text) -> one row per line, 0-based ``idx``, with the document's line count."""
-    parts = by_doc(texts).select("doc_id", F.split("text", "\n").alias("parts"))
-    return parts.select("doc_id", F.size("parts").alias("n_lines"), F.posexplode("parts").alias("idx", "text"))
+def doc_lines(texts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, text) -> one row per line, 0-based ``idx``, with the document's line count.
+
+    Columns to keep stay on the document's first line, null on the others.
+    """
+    keep = keep or []
+    parts = by_doc(texts.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", *keep, F.split("text", "\n").alias("parts"))
+    rows = parts.select("doc_id", *keep, F.size("parts").alias("n_lines"), F.posexplode_outer("parts").alias("idx", "text"))
+    return rows.withColumns({c: F.when(F.col("idx") == 0, F.col(c)) for c in keep}) if keep else rows
 
 
 def strip_decoration(line: Column) -> Column:
@@ -103,13 +108,14 @@ def find_urls(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "idx", F.posexplode(line_urls(F.col("text"))).alias("pos", "url"))
 
 
-def annotate_lines(texts: DataFrame) -> DataFrame:
+def annotate_lines(texts: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The structural model of every document: the input of all field extractors."""
-    lines = label_value(header_bounds(section_fill(with_headings(doc_lines(texts)))))
+    lines = label_value(header_bounds(section_fill(with_headings(doc_lines(texts, keep)))))
     lines = once(lines, emails=line_emails(F.col("text"))).withColumn("has_email", F.size("emails") > 0)
     near = F.coalesce(F.lag("has_email").over(by_line()), F.lit(False)) | F.coalesce(F.lead("has_email").over(by_line()), F.lit(False))
+    first_entry = F.min(F.when((F.col("section") == "experience") & ~F.col("is_heading") & (F.trim("text") != ""), F.col("idx"))).over(whole_doc())
     return (
-        lines.withColumn("prev_text", F.lag("text").over(by_line()))
+        lines.withColumn("first_entry", first_entry).withColumn("prev_text", F.lag("text").over(by_line()))
         .withColumn("next_text", F.when(~F.lead("is_heading").over(by_line()), F.lead("text").over(by_line())))
         .withColumn("beside_email", near)
         .drop("bare", "kind", "n_lines", "separated")

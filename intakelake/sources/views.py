@@ -92,6 +92,7 @@ ROLLS = {"layout": 4, "says": 8, "mark": 6, "form": 7, "mail": 12, "tail": 10, "
 PARTS = {
     "banner": "CASE mark WHEN 0 THEN 'CURRICULUM VITAE' WHEN 1 THEN '=== RESUME ===' END",
     "name": "shown_name",
+    "details_head": "CASE WHEN mark < 4 THEN 'Personal Details' ELSE '# PERSONAL INFORMATION' END",
     "name_row": "CASE WHEN mark < 3 THEN 'Full Name: ' WHEN mark = 3 THEN 'Candidate Name - ' ELSE 'Name ' END || shown_name",
     "headline": "CASE WHEN says = 3 THEN role_stated END",
     "place": "city || ', near the old market'",
@@ -127,7 +128,7 @@ _BODY = ["aim_head", "aim", "aim_rest", "work_head", "work_now", "work_note", "f
 _END = ["link", "people_head", "people_one", "people_two", "oath_head", "oath"]
 LAYOUTS = {
     "letter": ["banner", "name", "headline", "place", "phone", "mail", "applied", "codes", "other_phone", *_BODY, "school_head", "school", "skill_head", "skill", *_END],
-    "form": ["banner", "applied", "name_row", "born", "phone_row", "other_phone", "mail_row", "home", "codes", "headline", "school_head", "school", *_BODY, *_END],
+    "form": ["banner", "applied", "details_head", "name_row", "born", "phone_row", "other_phone", "mail_row", "home", "codes", "headline", "school_head", "school", *_BODY, *_END],
     "sidebar": ["skill_head", "skill", "school_head", "school", "name", "headline", "phone", "mail", "applied", "other_phone", *_BODY, "codes", *_END],
     "strip": ["name", "strip", "headline", "applied", *_BODY, "other_phone", "codes", "skill_head", "skill", "school_head", "school", "banner", *_END],
 }

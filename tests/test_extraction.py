@@ -79,7 +79,7 @@ def test_row_order_and_partitions_do_not_matter(spark):
     t = texts(spark, CASES)
     a = {tuple(r) for r in parse_documents(t).select("doc_id", "candidate_name", "phone_number", "job_role_applied_for", "overall_confidence").collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "3")
-    b = {tuple(r) for r in parse_documents(t.orderBy(F.desc("doc_id")).coalesce(2), keep_lines=True).select(
+    b = {tuple(r) for r in parse_documents(t.orderBy(F.desc("doc_id")).coalesce(2)).select(
         "doc_id", "candidate_name", "phone_number", "job_role_applied_for", "overall_confidence").collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     spark.catalog.clearCache()
@@ -129,13 +129,14 @@ def test_custom_taxonomy(spark):
     assert extract_fields(t, tax).first().role == "Chief Deck Officer"
 
 
-def test_text_is_shuffled_once_per_branch_and_stays_in_the_jvm(spark):
+def test_each_text_is_scanned_and_shuffled_once(spark):
     t = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit("a.pdf").alias("file_name"), F.lit(None).cast("double").alias("ocr_confidence"))
-    plan = extract_fields(t)._jdf.queryExecution().executedPlan().toString()
+    plan = st.annotate_lines(t.select("doc_id", "text", F.struct("file_name").alias("facts")), keep=["facts"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    rest = parse_documents(t)._jdf.queryExecution()
+    assert "documents.parquet" not in rest.toString()  # what follows reads the written lines
+    plan = rest.executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    by_number = plan.count("REPARTITION_BY_NUM")
-    doc_exchanges = plan.count("hashpartitioning(doc_id")
-    assert doc_exchanges == by_number  # no exchange on doc_id beyond the stated ones
 
 
 def test_sections(spark):
