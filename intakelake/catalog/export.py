@@ -82,7 +82,12 @@ def _(spark, sf):
 
 @query("export_chunks", "SELECT n // 2000 AS chunk, (n // 2000) * 2000 + 1 AS start_row, count(*) AS rows FROM (SELECT 0 AS n UNION ALL SELECT row_number() OVER (ORDER BY created_at DESC, cv_file_id) FROM cv_file) x GROUP BY n // 2000")
 def _(spark, sf):
-    return sk.export_chunks(view(spark, sf, "cv_file").select("cv_file_id", "created_at"), F.desc("created_at"), "cv_file_id")
+    return sk.export_chunks(view(spark, sf, "cv_file"))
+
+
+@query("export_chunk_rows", "SELECT cv_file_id, n // 2000 AS chunk, n + 1 AS sheet_row FROM (SELECT cv_file_id, row_number() OVER (ORDER BY created_at DESC, cv_file_id) AS n FROM cv_file) x")
+def _(spark, sf):
+    return sk.export_chunk_rows(view(spark, sf, "cv_file").select("cv_file_id", "created_at"), F.desc("created_at"), "cv_file_id").select("cv_file_id", "chunk", "sheet_row")
 
 
 @query("write_candidates", """SELECT cv_file_id, CASE WHEN cv_file_id % 6 = 5 THEN upper(candidate_name) ELSE candidate_name END AS candidate_name, phone_number FROM candidate WHERE cv_file_id % 5 <> 4 OR cv_file_id % 6 = 5""")

@@ -57,7 +57,7 @@ def _(spark, sf):
     return op.candidate_filter(rows(spark, sf), F1).select(SHOW)
 
 
-@query("candidate_search", f"SELECT {SHOW_SQL} FROM allrows WHERE file_name ILIKE '%nair%' OR candidate_name ILIKE '%verghese%'", allrows=_ROWS)
+@query("candidate_search", f"SELECT {SHOW_SQL} FROM allrows WHERE file_name ILIKE '%verghese%' OR candidate_name ILIKE '%verghese%' OR job_role_applied_for ILIKE '%verghese%'", allrows=_ROWS)
 def _(spark, sf):
     return op.candidate_search(rows(spark, sf), "verghese").select(SHOW)
 
@@ -77,13 +77,18 @@ for _sort, _col in op.SORTS.items():
         _f = CandidateFilters(sort=_sort, order=_order, page=3, page_size=25)
         _nulls = "LAST" if _order == "asc" or _sort == "processedAt" else "FIRST"
         query(f"candidate_page_{_col}_{_order}", f"SELECT {SHOW_SQL} FROM allrows WHERE workspace_id = 7 ORDER BY allrows.{_col} {_order} NULLS {_nulls}, cv_file_id LIMIT 25 OFFSET 50", allrows=_ROWS)(
-            lambda spark, sf, f=_f: op.candidate_page(rows(spark, sf, TENANT), f).select(SHOW))
+            lambda spark, sf, f=_f: op.candidate_page(files(spark, sf, TENANT), view(spark, sf, "candidate"), f).select(SHOW))
 
 
 @query("candidate_page", "SELECT count(*) AS total, greatest(1, ceil(count(*) / 25.0))::bigint AS pages FROM allrows WHERE workspace_id = 7 AND status = 'NEEDS_REVIEW'", allrows=_ROWS)
 def _(spark, sf):
     f = CandidateFilters(status="NEEDS_REVIEW")
-    return op.page_totals(op.candidate_filter(rows(spark, sf, TENANT), f), f)
+    return op.page_totals(files(spark, sf, TENANT), view(spark, sf, "candidate"), f)
+
+
+@query("candidate_page_after", f"SELECT {SHOW_SQL} FROM allrows WHERE workspace_id = 7 AND (allrows.created_at, -cv_file_id) < (timestamp '1998-06-10 12:00:00', -1) ORDER BY allrows.created_at DESC, cv_file_id LIMIT 25", allrows=_ROWS)
+def _(spark, sf):
+    return op.candidate_page_after(files(spark, sf, TENANT), view(spark, sf, "candidate"), CandidateFilters(), "1998-06-10 12:00:00", 1).select(SHOW)
 
 
 @query("candidate_iterate", f"SELECT {SHOW_SQL} FROM allrows", allrows=_ROWS)
@@ -111,7 +116,7 @@ def _(spark, sf):
 
 @query("recent_files", f"SELECT {SHOW_SQL} FROM allrows ORDER BY allrows.created_at DESC, cv_file_id LIMIT 8", allrows=_ROWS)
 def _(spark, sf):
-    return op.recent_files(rows(spark, sf)).select(SHOW)
+    return op.recent_files(files(spark, sf), view(spark, sf, "candidate")).select(SHOW)
 
 
 @query("job_list", f"""SELECT job_id, j.cv_file_id, j.status, j.error_code, {S.stamp('j.created_at')} AS created_at, file_name, f.status AS file_status FROM processing_job j JOIN cv_file f ON f.cv_file_id = j.cv_file_id

@@ -7,10 +7,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import values as V
 from ..functions.phones import digits_of
 from ..functions.regex import squeeze
+from ..session import checkpointed
 from ..sources.taxonomy import Taxonomy
 from .taxonomy import role_match
 
 FIELDS = ["name", "phone", "role"]
+#: Distinct resolved titles up to which they are broadcast.
+BROADCAST_ROWS = 50_000
 RIGHT = ["truePositive", "trueNegative"]
 
 
@@ -21,10 +24,17 @@ def _norm(c: Column) -> Column:
 def with_canonical(rows: DataFrame, tax: Taxonomy) -> DataFrame:
     """Resolve wanted and given roles: every distinct title once, then joined back."""
     titles = rows.select(F.explode(F.array_compact(F.array("truth_role", "got_role"))).alias("title")).distinct()
-    canon = role_match(titles, ["title"], "title", tax).filter(F.col("m_canonical").isNotNull()).select("title", "m_canonical")
+    canon = checkpointed(role_match(titles, ["title"], "title", tax).filter(F.col("m_canonical").isNotNull()).select("title", "m_canonical"))
     want = canon.select(F.col("title").alias("truth_role"), F.col("m_canonical").alias("_want"))
     got = canon.select(F.col("title").alias("got_role"), F.col("m_canonical").alias("_got"))
-    return rows.join(want, "truth_role", "left").join(got, "got_role", "left")
+    small = canon.count() <= BROADCAST_ROWS
+    for title, side in (("truth_role", want), ("got_role", got)):
+        # absent answers match nothing: they are dealt by document instead of meeting in one task
+        absent = F.concat(F.lit("\0"), F.pmod(F.xxhash64("doc_id"), F.lit(1024)).cast("string"))
+        key = F.when(F.col(title).isNull() | (F.col(title) == V.NOT_FOUND), absent).otherwise(F.col(title))
+        side = side.withColumnRenamed(title, "_title")
+        rows = rows.withColumn("_key", key).join(F.broadcast(side) if small else side, F.col("_key") == F.col("_title"), "left").drop("_key", "_title")
+    return rows
 
 
 def field_outcome(rows: DataFrame, tax: Taxonomy) -> DataFrame:

@@ -6,7 +6,7 @@ Sort orders carry their null order and a unique last key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo, available_timezones
 
@@ -107,13 +107,42 @@ def ordering(f: CandidateFilters) -> list[Column]:
     return [first, F.col("cv_file_id").asc()]
 
 
-def candidate_page(rows: DataFrame, f: CandidateFilters) -> DataFrame:
-    return rows.orderBy(*ordering(f)).offset((f.page - 1) * f.page_size).limit(f.page_size)
+#: Sorts on columns that only candidates have.
+CANDIDATE_SORTS = {"processedAt", "candidateName", "overallConfidence"}
 
 
-def page_totals(rows: DataFrame, f: CandidateFilters) -> DataFrame:
+def selection(files: DataFrame, candidates: DataFrame, f: CandidateFilters) -> DataFrame:
+    """The filtered files; joined with their candidates only where a filter asks for them."""
+    return candidate_filter(with_candidates(files, candidates) if f.role or f.q else files, f)
+
+
+def candidate_page(files: DataFrame, candidates: DataFrame, f: CandidateFilters) -> DataFrame:
+    """One page in order. Sorted by a file column, files are cut before they meet their candidates."""
+    cut = lambda rows: rows.orderBy(*ordering(f)).offset((f.page - 1) * f.page_size).limit(f.page_size)
+    rows = selection(files, candidates, f)
+    if f.role or f.q:
+        return cut(rows)
+    if f.sort in CANDIDATE_SORTS:
+        return cut(with_candidates(rows, candidates))
+    page = cut(rows)
+    return with_candidates(page, _of(candidates, page)).orderBy(*ordering(f))
+
+
+def candidate_page_after(files: DataFrame, candidates: DataFrame, f: CandidateFilters, created_at: str, cv_file_id: int) -> DataFrame:
+    """The page after a given row in descending order of arrival: the same cost however deep it lies."""
+    at = _ts(created_at)
+    later = (F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("cv_file_id") > cv_file_id))
+    return candidate_page(files.filter(later), candidates, replace(f, page=1, sort="createdAt", order="desc"))
+
+
+def _of(candidates: DataFrame, page: DataFrame) -> DataFrame:
+    """The candidates of a page's few files."""
+    return candidates.join(F.broadcast(page.select("cv_file_id")), "cv_file_id", "left_semi")
+
+
+def page_totals(files: DataFrame, candidates: DataFrame, f: CandidateFilters) -> DataFrame:
     n = F.count("*")
-    return rows.agg(n.alias("total"), F.greatest(F.ceil(n / f.page_size), F.lit(1)).alias("pages"))
+    return selection(files, candidates, f).agg(n.alias("total"), F.greatest(F.ceil(n / f.page_size), F.lit(1)).alias("pages"))
 
 
 def candidate_iterate(rows: DataFrame, f: CandidateFilters) -> DataFrame:
@@ -149,8 +178,11 @@ def dashboard_stats(files: DataFrame, as_of: str) -> DataFrame:
         F.count_if(F.col("created_at") >= _since(as_of, hours=24)).alias("last_24h"))
 
 
-def recent_files(rows: DataFrame, n: int = 8) -> DataFrame:
-    return rows.orderBy(F.desc("created_at"), "cv_file_id").limit(n)
+def recent_files(files: DataFrame, candidates: DataFrame | None = None, n: int = 8) -> DataFrame:
+    """The newest files, cut before they meet their candidates."""
+    order = [F.desc("created_at"), F.col("cv_file_id")]
+    top = files.orderBy(*order).limit(n)
+    return top if candidates is None else with_candidates(top, _of(candidates, top)).orderBy(*order)
 
 
 def job_list(jobs: DataFrame, files: DataFrame, batch_id: str | None = None, status: str | None = None, page: int = 1, page_size: int = 50) -> DataFrame:

@@ -59,11 +59,15 @@ def numbered(rows: DataFrame, *order) -> DataFrame:
     return placed.withColumn("_p", part).join(F.broadcast(parts), "_p").withColumn("row_no", F.col("_before") + pos + 1).drop("_p", "_m", "_before")
 
 
-def export_chunks(rows: DataFrame, *order, size: int = V.EXPORT_CHUNK) -> DataFrame:
-    """Write ranges of an export: the header is sheet row 1, ``size`` rows per write."""
-    chunk = F.floor(F.col("row_no") / size).alias("chunk")
-    n = numbered(rows, *order).groupBy(chunk).agg(F.count("*").alias("_n"))
-    return n.select("chunk", (F.col("chunk") * size + 1).alias("start_row"), (F.col("_n") + F.when(F.col("chunk") == 0, 1).otherwise(0)).alias("rows"))
+def export_chunks(rows: DataFrame, size: int = V.EXPORT_CHUNK) -> DataFrame:
+    """Write ranges of an export, from its count alone: the header is sheet row 1, ``size`` rows per write."""
+    last = rows.agg(F.count("*").alias("n")).select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / size))).alias("chunk"))
+    return last.select("chunk", (F.col("chunk") * size + 1).alias("start_row"), (F.least((F.col("chunk") + 1) * size - 1, F.col("n")) - F.col("chunk") * size + 1).alias("rows"))
+
+
+def export_chunk_rows(rows: DataFrame, *order, size: int = V.EXPORT_CHUNK) -> DataFrame:
+    """Each row with its chunk and sheet row."""
+    return numbered(rows, *order).withColumn("chunk", F.floor(F.col("row_no") / size)).withColumn("sheet_row", F.col("row_no") + 1)
 
 
 def upsert_candidates(existing: DataFrame, new: DataFrame) -> DataFrame:

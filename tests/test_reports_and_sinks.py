@@ -88,3 +88,30 @@ def test_uploads_in_one_batch_see_each_other(spark):
                                 "cv_file_id int, workspace_id int, file_hash string, status string, created_at string")
     got = {x.upload_id: (x.outcome, x.duplicate_of) for x in intake.upload_outcome(b, old).collect()}
     assert got == {1: ("queued", None), 2: ("duplicate", 1), 3: ("queued", None), 4: ("duplicate", 71), 5: ("rejected", None)}
+
+
+def test_pages_cut_files_before_the_join(spark):
+    at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for name in ("cv_file", "candidate"):
+        view(spark, SF, name).write.parquet(f"{at}/{name}")
+    f, c = spark.read.parquet(f"{at}/cv_file"), spark.read.parquet(f"{at}/candidate")
+    plan = r.recent_files(f, c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit 8" in plan and plan.index("Join") < plan.index("GlobalLimit")
+    assert "Join" not in r.page_totals(f, c, r.CandidateFilters(status="PROCESSED"))._jdf.queryExecution().optimizedPlan().toString()
+    page = r.candidate_page(f, c, r.CandidateFilters(page=2)).collect()
+    after = r.candidate_page(f, c, r.CandidateFilters(page=1)).collect()[-1]
+    assert page == r.candidate_page_after(f, c, r.CandidateFilters(), str(after.created_at), after.cv_file_id).collect()
+
+
+def test_characters_of_the_tables_are_stable(spark):
+    import unicodedata
+
+    for name in ("documents", "conversations"):
+        for row in spark.read.parquet(f"{SF}/{name}.parquet").select("text").collect():
+            assert unicodedata.normalize("NFKC", row.text) == unicodedata.normalize("NFC", row.text)
+
+
+def test_long_texts_stay_whole(spark):
+    long = "filler words of a long resume page\n" * 5 + "".join(f"line {i} of the body\n" for i in range(3000)) + "Mobile: 9812345670\n" + "".join(f"more {i} of the body\n" for i in range(3000))
+    t = textprep.normalize_text(spark.createDataFrame([(1, long)], "doc_id int, text string")).first().text
+    assert len(t) > 100_000 and "Mobile: 9812345670" in t and "truncated" not in t
