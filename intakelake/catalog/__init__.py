@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["extraction", "intake", "text", "reports", "export", "evaluation", "streams"]
+AREAS = ["extraction", "processing", "intake", "text", "reports", "export", "evaluation", "streams"]
 
 
 def _all(kind: str) -> dict:

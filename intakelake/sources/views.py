@@ -30,6 +30,7 @@ class Dialect:
     intdiv: Callable[[str, int], str]
     first_a_to_o: Callable[[str], str]
     squeeze_dots: Callable[[str], str]
+    lines_of: Callable[[str, int, int], str]
 
 
 def _q(s: str) -> str:
@@ -52,6 +53,7 @@ SPARK = Dialect(
     intdiv=lambda a, b: f"({a} div {b})",
     first_a_to_o=lambda c: f"regexp_replace({c}, '^([^a]*)a', '$1o')",
     squeeze_dots=lambda c: f"regexp_replace(lower({c}), '[^a-z]+', '.')",
+    lines_of=lambda c, a, b: f"array_join(slice(split({c}, '\\n'), {a}, {b} - {a} + 1), '\\n')",
 )
 DUCK = Dialect(
     sha256=lambda x: f"sha256({x})",
@@ -65,6 +67,7 @@ DUCK = Dialect(
     intdiv=lambda a, b: f"({a} // {b})",
     first_a_to_o=lambda c: rf"regexp_replace({c}, '^([^a]*)a', '\1o')",
     squeeze_dots=lambda c: f"regexp_replace(lower({c}), '[^a-z]+', '.', 'g')",
+    lines_of=lambda c, a, b: f"array_to_string(string_split({c}, chr(10))[{a}:{b}], chr(10))",
 )
 
 NAMES = [
@@ -224,6 +227,13 @@ def _view_sql(d: Dialect) -> dict[str, str]:
       FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 <> 0) c"""
     sql["page_text"] = """
     SELECT conv_id AS doc_id, turn AS page_no, text, cast((conv_id + turn) % 50 + 50 as bigint) AS confidence_pct FROM conversations"""
+    # Two decoded pages of each résumé: what the file's text layer holds, and what OCR reads. One file in 37 holds nothing.
+    sql["cv_page"] = f"""
+    SELECT doc_id, page_no, file_name, mime_type, CASE WHEN hidden THEN '' ELSE page END AS text, CASE WHEN hidden AND doc_id % 37 <> 5 THEN page ELSE '' END AS ocr_text,
+        cast(round(coalesce(ocr_confidence, 0.9) * 100) as bigint) AS confidence_pct
+      FROM (SELECT *, CASE page_no WHEN 0 THEN {d.lines_of('text', 1, 9)} ELSE {d.lines_of('text', 10, 99)} END AS page, ocr_confidence IS NOT NULL OR mime_type = 'image/png' OR doc_id % 37 = 5 AS hidden
+        FROM (SELECT *, 0 AS page_no, CASE doc_id % 5 WHEN 2 THEN '{V.EXTENSION_MIME['.docx']}' WHEN 3 THEN 'image/png' ELSE 'application/pdf' END AS mime_type FROM cv_text
+          UNION ALL SELECT *, 1 AS page_no, CASE doc_id % 5 WHEN 2 THEN '{V.EXTENSION_MIME['.docx']}' WHEN 3 THEN 'image/png' ELSE 'application/pdf' END AS mime_type FROM cv_text) p0) p1"""
     sql["ignore_list"] = """
     SELECT workspace_id, source_file_id AS file_id, cv_file_id AS seq FROM cv_file WHERE source_type = 'GOOGLE_DRIVE' AND cv_file_id % 13 = 0"""
     sql["source_connection"] = f"""
