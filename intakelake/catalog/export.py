@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import values as V
+from ..operators import reports as rp
 from ..sources import files as sfiles, settings as sset, sinks as sk
 from ..sources.views import raw, view
 from . import sql as S
@@ -80,6 +81,30 @@ def _(spark, sf):
     return sk.csv_lines(export(spark, sf), V.EXPORT_HEADERS, ["cv_file_id"])
 
 
+CHOICE = rp.CandidateFilters(source="MANUAL", status="PROCESSED", role="engineer", from_="1996-03-01", to="2000-12-31", q="resume")
+_CHOSEN = f"""SELECT e.*, row_number() OVER (ORDER BY f.created_at DESC, f.cv_file_id) AS row_no FROM expo e JOIN cv_file f ON f.cv_file_id = e.cv_file_id
+  WHERE f.workspace_id = 7 AND f.source_type = 'MANUAL' AND f.status = 'PROCESSED' AND e."Job Role Applied For" ILIKE '%engineer%' AND f.created_at >= timestamp '1996-03-01' AND f.created_at <= timestamp '2000-12-31 23:59:59.999'
+  AND (f.file_name ILIKE '%resume%' OR e."Candidate Name" ILIKE '%resume%' OR e."Job Role Applied For" ILIKE '%resume%')"""
+
+
+def chosen(spark, sf):
+    """Scope, filters, search and order as a page shows them, then the display columns."""
+    f = view(spark, sf, "cv_file").withColumn("drive_url", F.concat(F.lit("https://drive.example/"), "source_file_id"))
+    rows = rp.selection(rp.scope_filter(f, rp.Session("ADMIN", 7)), view(spark, sf, "candidate"), CHOICE)
+    numbered = sk.numbered(rows, *rp.ordering(CHOICE))
+    return sk.export_rows(numbered, "https://app.example/").join(numbered.select("cv_file_id", "row_no"), "cv_file_id")
+
+
+@query("export_filtered", "SELECT * FROM chosen", expo=_EXP, chosen=_CHOSEN)
+def _(spark, sf):
+    return chosen(spark, sf)
+
+
+@query("csv_export_core", "SELECT row_no, " + " || ',' || ".join(CELL(f'"{h}"') for h in V.EXPORT_HEADERS[:3]) + " AS line FROM chosen", expo=_EXP, chosen=_CHOSEN)
+def _(spark, sf):
+    return sk.csv_lines(chosen(spark, sf), V.EXPORT_HEADERS[:3], ["row_no"])
+
+
 @query("export_chunks", "SELECT n // 2000 AS chunk, (n // 2000) * 2000 + 1 AS start_row, count(*) AS rows FROM (SELECT 0 AS n UNION ALL SELECT row_number() OVER (ORDER BY created_at DESC, cv_file_id) FROM cv_file) x GROUP BY n // 2000")
 def _(spark, sf):
     return sk.export_chunks(view(spark, sf, "cv_file"))
