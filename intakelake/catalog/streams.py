@@ -56,12 +56,18 @@ def _(spark, sf):
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cv_file_id ORDER BY ts DESC, event_id DESC) AS k FROM job_event) e WHERE k = 1"
 
 
+def arriving(spark, sf, table: str, key: str, parts: int = 4) -> DataFrame:
+    """The table as files that arrive one after another, one for each micro-batch."""
+    tuned(spark)
+    at, rows = place(spark, "arriving"), raw(spark, sf, table)
+    rows.repartitionByRange(parts, key).write.parquet(at)
+    return stream_files(spark, at, rows.schema, glob="*.parquet", per_trigger=1)
+
+
 def latest(spark, sf) -> DataFrame:
     at = place(spark, "latest")
-    q = st.keep_newest(view_stream(spark, sf, "job_event", "events"), ["cv_file_id"], ["ts", "event_id"], at, at + "/ck")
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{at}/v{last}")
+    st.keep_newest(view(spark, sf, "job_event", {"events": arriving(spark, sf, "events", "ts")}), ["cv_file_id"], ["ts", "event_id"], at, at + "-ck").awaitTermination()
+    return st.snapshot(spark.read.parquet(at).drop("batch"), ["cv_file_id"], ["ts", "event_id"])
 
 
 @query("live_status_counts", "SELECT status, count(*) AS n FROM newest GROUP BY status", newest=_LATEST)
@@ -84,18 +90,13 @@ def _(spark, sf):
 def _(spark, sf):
     at = place(spark, "stream_change_apply")
 
-    def apply(batch: DataFrame) -> DataFrame:
+    def judge(batch: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = batch.sparkSession  # a micro-batch lives in its own session
-        known = view(own, sf, "cv_file").withColumn("drive_modified_at", F.col("created_at"))
-        f = view(own, sf, "feed", {"orders": batch})
-        f = f.withColumn("parents", F.when(F.col("moved"), F.col("parents_out")).otherwise(F.col("parents_in"))).drop("parents_in", "parents_out", "moved")
-        cols = [c for c in f.columns if c not in ("workspace_id", "file_id")]
-        f = f.groupBy("workspace_id", "file_id").agg(F.max_by(F.struct(*cols), F.coalesce("modified_at", F.timestamp_seconds(F.lit(0)))).alias("r")).select("workspace_id", "file_id", "r.*")
-        c = oi.in_folder(oi.change_split(f).filter("change = 'changed'"), F.concat(F.lit("folder_"), F.col("workspace_id").cast("string")))
-        return oi.change_outcome(oi.drop_ignored(c, view(own, sf, "ignore_list")), known).select("file_id", "workspace_id", "outcome")
-
-    st.each_batch(table_stream(spark, sf, "orders"), apply, at, at + "-ck").awaitTermination()
-    return spark.read.parquet(at).select("file_id", "workspace_id", "outcome")
+        stored = view(own, sf, "cv_file").withColumn("drive_modified_at", F.col("created_at"))
+        return oi.judged_changes(view(own, sf, "feed", {"orders": batch}), stored, seen, view(own, sf, "ignore_list"))
+
+    st.apply_changes(arriving(spark, sf, "orders", "o_orderkey"), judge, at, at + "-ck").awaitTermination()
+    return spark.read.parquet(at + "/out").select("file_id", "workspace_id", "outcome")
 
 
 @query("stream_dedupe", "SELECT DISTINCT workspace_id, file_hash FROM cv_file")

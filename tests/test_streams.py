@@ -39,9 +39,10 @@ def test_newest_status_per_file(spark):
     at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     q = st.keep_newest(replay(spark, e, "ts", 4), ["cv_file_id"], ["ts", "event_id"], at + "/t", at + "/c")
     q.awaitTermination()
-    n = max(int(d[1:]) for d in os.listdir(at + "/t"))
-    assert n == 3
-    got = {tuple(r) for r in st.status_counts(spark.read.parquet(f"{at}/t/v{n}")).collect()}
+    assert sum(d.startswith("batch=") for d in os.listdir(at + "/t")) == 4
+    now = st.snapshot(spark.read.parquet(at + "/t").drop("batch"), ["cv_file_id"], ["ts", "event_id"])
+    assert spark.read.parquet(at + "/t/batch=3").count() <= e.count() // 3  # a trigger writes what it changed
+    got = {tuple(r) for r in st.status_counts(now).collect()}
     want = e.groupBy("cv_file_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
     assert got == {tuple(r) for r in st.status_counts(want).collect()}
 
@@ -79,3 +80,27 @@ def test_stale_claims_time_out(spark):
     e = spark.createDataFrame(rows, "event_id long, cv_file_id long, status string, attempts long, max_attempts long, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
     got = {tuple(r) for r in drain(spark, st.stale_claims_stream(replay(spark, e, "ts", 3))).collect()}
     assert got == {(1, "PENDING"), (2, "FAILED")}
+
+
+def test_changes_follow_what_was_seen(spark):
+    from intakelake.operators import intake
+
+    def feed(*rows):
+        return spark.createDataFrame([(f, 1, f"{f}.pdf", "application/pdf", ["folder_1"], ["elsewhere"], False, False, removed, when) for f, when, removed in rows],
+                                     "file_id string, workspace_id int, name string, mime_type string, parents_in array<string>, parents_out array<string>, moved boolean, trashed boolean, removed boolean, t string"
+                                     ).withColumn("modified_at", F.to_timestamp("t")).drop("t")
+
+    stored = spark.createDataFrame([(1, "old", "GOOGLE_DRIVE", "2024-01-01")], "workspace_id int, source_file_id string, source_type string, t string").withColumn("drive_modified_at", F.to_timestamp("t")).drop("t")
+    ignored = spark.createDataFrame([(1, "never")], "workspace_id int, file_id string")
+    parts = [feed(("new", "2024-02-01", False), ("old", "2024-01-01", False), ("never", "2024-02-01", False)), feed(("new", "2024-02-01", False), ("old", "2024-03-01", False)),
+             feed(("new", "2024-04-01", False), ("old", "2024-03-01", True)), feed(("old", "2024-03-01", False), ("new", "2024-03-01", False))]
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{path}/in/x{i}")
+        one = [f for f in os.listdir(f"{path}/in/x{i}") if f.endswith(".parquet")][0]
+        os.utime(f"{path}/in/x{i}/{one}", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = stream_files(spark, path + "/in/x*", parts[0].schema, per_trigger=1)
+    judge = lambda batch, seen: intake.judged_changes(batch, stored, seen, ignored)
+    st.apply_changes(stream, judge, path + "/t", path + "/ck").awaitTermination()
+    got = {(r.batch, r.file_id): r.outcome for r in spark.read.parquet(path + "/t/out").collect()}
+    assert got == {(0, "new"): "enqueued", (0, "old"): "unchanged", (1, "new"): "unchanged", (1, "old"): "reprocessed", (2, "new"): "reprocessed", (3, "old"): "enqueued", (3, "new"): "unchanged"}
