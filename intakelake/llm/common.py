@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from ..session import shared_folder
+
 #: Rows and bytes of one Arrow batch; together they bound what a Python worker holds at a time.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: Rows whose crc32(doc_id as text) leaves 0 here are held out of learning.
@@ -52,20 +53,6 @@ def held_out(doc_id, folds: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and no lost executor takes it along."""
     spark = df.sparkSession

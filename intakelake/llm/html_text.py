@@ -88,6 +88,7 @@ def parse(page: str) -> list[Node]:
     """The nodes of the page in order of their start; the first is the root."""
     root = Node("", None, False, False)
     nodes, open_, at, articles, end = [root], [root], 0, 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends behind it
 
     def close(upto: int) -> None:
         nonlocal articles
@@ -95,7 +96,7 @@ def parse(page: str) -> list[Node]:
             articles -= open_.pop().tag in ("article", "main")
 
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last) if at < last else None
         if m is None:
             open_[-1].parts.append(html.unescape(page[at:]))
             break
@@ -104,6 +105,8 @@ def parse(page: str) -> list[Node]:
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
+            if m[0].startswith("<!--") and not m[0].endswith(">"):
+                break  # a comment without an end
             continue
         tag, attributes = tag.lower(), m[3] or m[6] or ""
         if m[1] or m[4]:

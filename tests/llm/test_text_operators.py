@@ -154,6 +154,7 @@ def test_main_text():
         assert html_text.main_text(page) == text, page
     deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
     assert html_text.main_text(deep) == "deep"
+    assert html_text.main_text("<p>a</p>" + "<a " * 100_000).startswith("a <a")
     for broken in ("<", "<p", "<p a='", "</", "<!--", "<script>", "&", "<a href=\"x>y", "<p><b></p></b>"):
         html_text.main_text(broken * 3)
 
