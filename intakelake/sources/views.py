@@ -149,7 +149,7 @@ def _rolls(d: Dialect) -> str:
 def _cv_text(d: Dialect) -> str:
     text = "CASE layout " + " ".join(f"WHEN {n} THEN {d.join_lines([PARTS[p] for p in parts])}" for n, parts in enumerate(LAYOUTS.values())) + " END"
     forms = ["digits", "'+91 ' || digits", "'0' || digits", "'+91-' || digits", "'0091 ' || digits", "'+91 ' || substr(digits, 1, 5) || ' ' || substr(digits, 6)", "'(+91) ' || substr(digits, 1, 5) || '-' || substr(digits, 6)"]
-    traits = {"style:' || cast(says as string) || '": "true", "scanned": "scanned", "referees": "spare < 3", "second_number": "look IN (2, 3)", "codes": "look BETWEEN 4 AND 7", "titled": "look = 10",
+    traits = {"scanned": "scanned", "referees": "spare < 3", "second_number": "look IN (2, 3)", "codes": "look BETWEEN 4 AND 7", "titled": "look = 10",
               "no_phone": "digits IS NULL", "no_role": "says = 7 AND tail >= 5", "current_role_only": "says = 6"}
     return f"""
     SELECT i AS doc_id, workspace_id,
@@ -157,7 +157,7 @@ def _cv_text(d: Dialect) -> str:
            {text} AS text,
            CASE WHEN scanned THEN cast(55 + i % 45 as double) / 100 END AS ocr_confidence,
            name AS truth_name, '+91' || digits AS truth_phone, CASE WHEN NOT (says = 7 AND tail >= 5) THEN role_expected END AS truth_role,
-           {d.texts([f"CASE WHEN {when} THEN '{trait}' END" for trait, when in traits.items()])} AS traits
+           {d.texts(["'style:' || cast(says as string)", *[f"CASE WHEN {when} THEN '{trait}' END" for trait, when in traits.items()]])} AS traits
     FROM (SELECT *,
             CASE WHEN look = 10 THEN 'Ms. ' ELSE '' END || CASE WHEN look = 11 THEN {d.first_a_to_o('name')} WHEN look = 12 THEN upper(name) ELSE name END AS shown_name,
             CASE form {' '.join(f'WHEN {n} THEN {x}' for n, x in enumerate(forms))} END AS phone,
