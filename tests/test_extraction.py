@@ -145,3 +145,26 @@ def test_sections(spark):
     assert [r.section for r in rows] == ["header", "education", "education", "experience", "experience"]
     assert [r.is_heading for r in rows] == [False, True, False, True, False]
     assert rows[0].header_end == 1
+
+
+HEADINGS = """Career Objective|Objectives|Career Goal|Professional Objective|Job Objective|Professional Summary|Summary|Profile|About Me|Profile Summary|Executive Summary|Career Summary|Synopsis|Overview
+Resume Headline|Headline|Personal Details|Personal Information|Bio Data|Bio-data|Candidate Details|Work Experience|Employment History|Professional Experience|Work History|Career History|職務|Internships
+Education|Educational Qualifications|Academic Record|Academic Details|Qualifications|Technical Skills|Key Skills|Core Competencies|Professional Skills|IT Skills|Expertise|Technologies|Tech Stack|Competency
+Projects|Academic Projects|Major Project|Project Details|Certifications|Courses|Training|Achievements|Awards|Accomplishments|References|Referee|Reference Details|Declaration|I hereby declare|Address|Hobbies"""
+
+
+def test_cheap_test_lets_every_heading_through(spark):
+    from intakelake import values as V
+    from intakelake.functions.regex import matches
+
+    df = spark.createDataFrame([(h.strip(),) for h in HEADINGS.replace("\n", "|").split("|")], "bare string")
+    slow = F.coalesce(*[F.when(matches(F.col("bare"), p), name) for name, p in V.SECTIONS])
+    rows = df.select("bare", st.detect_section(F.col("bare")).alias("got"), slow.alias("want")).collect()
+    assert all(r.got == r.want for r in rows) and sum(r.want is None for r in rows) == 2
+
+
+def test_fixed_values():
+    from intakelake import values as V
+
+    assert (V.OCR_MIN_CHARS, V.MIN_TEXT_CHARS, V.REPEAT_LINE_CHARS, V.PHONE_FLOOR, V.THRESHOLD, V.EXPORT_CHUNK) == (150, 20, 25, 32, 750, 2000)
+    assert {k: v[-1] for k, *v in V.SETTINGS if k in ("ocrMaxPages", "maxCvTextChars", "confidenceThreshold")} == {"confidenceThreshold": 0.75, "maxCvTextChars": 20000, "ocrMaxPages": 5}
