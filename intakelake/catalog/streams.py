@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import intake as oi
 from ..plans.extraction import parse_documents
-from ..session import shared_folder, tuned
+from ..session import checkpointed, shared_folder, tuned
 from ..sources.files import stream_files
 from ..sources.views import raw, view
 from ..streaming import jobs as st
@@ -57,10 +57,12 @@ _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cv_file_id O
 
 
 def arriving(spark, sf, table: str, key: str, parts: int = 4) -> DataFrame:
-    """The table as files that arrive one after another, one for each micro-batch."""
+    """The table as files that arrive one after another in the order of a key, one for each micro-batch."""
     tuned(spark)
     at, rows = place(spark, "arriving"), raw(spark, sf, table)
-    rows.repartitionByRange(parts, key).write.parquet(at)
+    laid = checkpointed(rows.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
+    for part in range(parts):
+        laid.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(at)
     return stream_files(spark, at, rows.schema, glob="*.parquet", per_trigger=1)
 
 
@@ -122,14 +124,25 @@ def _(spark, sf):
     return st.stale_claims(latest(spark, sf), EVENTS_AS_OF).select("cv_file_id", "event_id", "new_status", "message")
 
 
-@query("rate_windows", """SELECT * FROM (WITH RECURSIVE win AS (SELECT key, min(ts) AS s FROM request GROUP BY key
+_WINDOWS = """SELECT * FROM (WITH RECURSIVE win AS (SELECT key, min(ts) AS s FROM request GROUP BY key
     UNION ALL SELECT w.key, (SELECT min(r.ts) FROM request r WHERE r.key = w.key AND r.ts >= w.s + interval 6 hour) AS s FROM win w WHERE w.s IS NOT NULL)
   SELECT key, event_id, n, n <= 3 AS allowed, greatest(3 - n, 0) AS remaining FROM (SELECT r.key, r.event_id, row_number() OVER (PARTITION BY r.key, w.s ORDER BY r.ts, r.event_id) AS n
-    FROM request r ASOF JOIN (SELECT * FROM win WHERE s IS NOT NULL) w ON r.key = w.key AND r.ts >= w.s) x) y""")
+    FROM request r ASOF JOIN (SELECT * FROM win WHERE s IS NOT NULL) w ON r.key = w.key AND r.ts >= w.s) x) y"""
+
+
+@query("rate_windows", _WINDOWS)
 def _(spark, sf):
     return st.rate_windows(view(spark, sf, "request"), 3, 6 * 3600).select("key", "event_id", "n", "allowed", "remaining")
 
 
+@query("rate_windows_stream", f"SELECT key, event_id, n, allowed FROM ({_WINDOWS}) z")
+def _(spark, sf):
+    at = place(spark, "rate_windows")
+    live = st.rate_windows_stream(view(spark, sf, "request", {"events": arriving(spark, sf, "events", "ts")}), 3, 6 * 3600)
+    st.run_now(live, at + "/out", at + "/ck").awaitTermination()
+    return spark.read.parquet(at + "/out")
+
+
 @query("arrivals_windowed", "SELECT " + S.stamp("date_trunc('day', created_at)") + " AS window_start, source_type, count(*) AS n FROM cv_file GROUP BY 1, 2")
 def _(spark, sf):
     return st.arrivals_windowed(view(spark, sf, "cv_file"), "1 day")
