@@ -100,10 +100,10 @@ def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
-    """lang, source and a low and high limit for each measure, one row for each group of ``stats``."""
+    """lang, source and a low and high limit for each measure, one row for each group with a text that passes the base rules."""
     sketch = written(sketches(stats), "sketch")
     rows = F.array(*[F.struct(F.lit(k).alias("measure"), F.lit(f).alias("floor"), F.lit(k in TWO_SIDED).alias("two")) for k, f in FLOORS.items()])
-    groups = stats.select("lang", "source").distinct().select("lang", "source", F.inline(rows))
+    groups = sketch.select("lang", "source").distinct().select("lang", "source", F.inline(rows))
     level = lambda by, name: _quartiles(sketch, by).select(*[F.col(c).alias(f"{name}_{c}") for c in [*by, "measure"]], F.struct("n", "q25", "q75").alias(name))
     for by, name in ((["lang", "source"], "own"), (["lang"], "language"), ([], "every")):
         on = F.col("measure") == F.col(f"{name}_measure")
