@@ -32,7 +32,7 @@ from .common import written
 
 #: Parts of the whole in which weights are given, and characters of a block.
 PERIOD, BLOCK_CHARS = 1000, 20_000
-PIECE_ROWS, MAX_SOURCES = 20_000, 2_000
+PIECE_ROWS, MAX_SOURCES = 4_000, 2_000
 #: Rows of the schedules up to which they are broadcast; their number is known before.
 BROADCAST_ROWS = 200_000
 #: Default weights: total size to this power.
