@@ -18,6 +18,7 @@ read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_pass, plus
 
 #: Bounds of the sample: toxic and other rows, and bytes of a text.
-PER_CLASS, MAX_BYTES = {1: 800, 0: 1600}, 1 << 14
-BIAS, STEPS, RATE, PENALTY, MIN_TEXTS = -10.0, 150, 2.0, 2e-5, 3
+PER_CLASS, MAX_BYTES = {1: 1200, 0: 2400}, 1 << 14
+BIAS, STEPS, RATE, PENALTY, MIN_TEXTS = -10.0, 200, 2.0, 1e-5, 3
 BEGINNINGS, ENDINGS = (4, 5, 6), (4, 5)
 REMEMBERED = 400_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -51,7 +52,7 @@ def fit(texts: list[str], labels: list[int]) -> dict[int, float]:
     if not len(y) or y.min() == y.max():
         return {}
     words: dict[str, int] = {}
-    sentence_of, word_of, text_of = [], [], []
+    sentence_of, word_of, text_of = array("i"), array("i"), array("i")
     for t, text in enumerate(texts):
         for s in SENTENCE.findall(text):
             own = {words.setdefault(w, len(words)) for w in s.split()}
@@ -60,8 +61,12 @@ def fit(texts: list[str], labels: list[int]) -> dict[int, float]:
                 sentence_of.extend([len(text_of)] * len(own))
                 text_of.append(t)
     sentence_of, word_of, text_of = (np.array(x, np.int32) for x in (sentence_of, word_of, text_of))
-    pairs = [(i, f) for w, i in words.items() for f in features(w)]
-    has, hashes = np.array([i for i, _ in pairs], np.int32), np.array([f for _, f in pairs], np.uint64)
+    has, hashes = array("i"), array("Q")
+    for w, i in words.items():
+        own = features(w)
+        hashes.extend(own)
+        has.extend([i] * len(own))
+    has, hashes = np.array(has, np.int32), np.array(hashes, np.uint64)
     names, feature = np.unique(hashes, return_inverse=True)
     # texts in which a feature occurs, counted on the words' texts
     in_text = np.unique(text_of[sentence_of].astype(np.int64) * len(words) + word_of)
