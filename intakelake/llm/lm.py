@@ -1,19 +1,21 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and of word pairs are gathered from all training texts. Of a count c the filter holds
+Counts of words and of word pairs are gathered from all training texts. Of a pair's count c the filter holds
 the key at levels 1 .. 1 + floor(log2 c); probing level after level until one is missing gives c up to a
 factor of two, with one-sided error. The filter is broadcast. With v the token before w,
 
     p(w | v) = (pair(v, w) + KAPPA * base(w)) / (count(v) + KAPPA)
 
-where ``pair`` is the lower end of the probed level and ``count`` the upper end of the context's, so
+where ``pair`` is the lower end of the pair's level and ``count`` the upper end of the context's, so
 that the probabilities of a context do not add up to more than one but for false positives, and
 ``base(w) = (c + 0.1) / (N + 0.1 * (V + 1))`` is exact.
 
 What is broadcast is bounded: the filter by MAX_BYTES, the exact counts of frequent words by HEAD words.
-Counts of all other words meet the texts' rare words in a join. Pairs seen once are not held; should
-the pairs of a corpus need more than MAX_BYTES, the least count that is held rises, and rarer pairs are
-scored by ``base``. Shuffled are 64-bit hashes of words and pairs, not their strings.
+What has no room there is not lost: counts of all other words meet the texts' rare words in a join, and
+pairs below the least level held meet the texts' pairs that the filter lacks in another. So a score is the
+same whatever the filter has room for, but for its false positives. Words are not in the filter: a text's
+contexts are the words it has anyway. Pairs seen once are not counted. Shuffled are 64-bit hashes of words
+and pairs, not their strings.
 
 Defined cases: a null text is empty; an empty text has one token, its end; a row without doc_id is a
 training row; repeated rows each count and are each scored; with no training rows N and V are 0.
@@ -68,10 +70,13 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class LogBloom:
-    """The filter: SHARDS parts of ``size`` words; a key at a level sets six bits of one word of the key's part."""
+    """The filter: SHARDS parts of ``size`` words; a key at a level sets six bits of one word of the key's part.
 
-    def __init__(self, words: np.ndarray, size: int):
-        self.words, self.size = words, size
+    Keys of fewer than ``least`` levels are not in it.
+    """
+
+    def __init__(self, words: np.ndarray, size: int, least: int = 1):
+        self.words, self.size, self.least = words, size, least
 
     @staticmethod
     def place(key: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,18 +142,14 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def bloom(counted: DataFrame) -> LogBloom:
-    """The filter over all counted words and pairs that MAX_BYTES has room for."""
+    """The filter over the counted pairs of the most levels, as many as MAX_BYTES has room for."""
+    counted = counted.where("pair")
     level = F.length(F.bin("n"))
-    held = {(r.pair, r.level): r["count"] for r in counted.groupBy("pair", level.alias("level")).count().collect()}
-    room, least = MAX_BYTES * 8 // BITS, 1  # the least level of a pair; words are held at any level while pairs fit beside them
-    need = lambda: sum(n * lv for (pair, lv), n in held.items() if lv >= least or not pair)
-    while need() > room and least < 63:
+    held = {r.level: r["count"] for r in counted.groupBy(level.alias("level")).count().collect()}
+    room, least = MAX_BYTES * 8 // BITS, 1
+    while (need := sum(n * lv for lv, n in held.items() if lv >= least)) > room:
         least += 1
-    floor = 1
-    words_need = lambda: sum(n * lv for (pair, lv), n in held.items() if not pair and lv >= floor)
-    while words_need() > room:
-        floor += 1
-    size = max(1, -(-min(need(), room) * BITS // (64 * SHARDS)))
+    size = max(1, -(-need * BITS // (64 * SHARDS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
@@ -162,12 +163,12 @@ def bloom(counted: DataFrame) -> LogBloom:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["shard", "words"])
 
     shard = F.pmod(F.shiftrightunsigned("key", 32), F.lit(SHARDS)).cast("int")
-    rows = counted.where(F.when(F.col("pair"), level >= least).otherwise(level >= floor)).select(shard.alias("shard"), "key", level.cast("long").alias("level"))
+    rows = counted.where(level >= least).select(shard.alias("shard"), "key", level.cast("long").alias("level"))
     counted.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
     words = np.zeros(SHARDS * size, np.uint64)
     for r in rows.repartition(SHARDS, "shard").mapInArrow(run, "shard int, words binary").toLocalIterator():
         words[r.shard * size : (r.shard + 1) * size] = np.frombuffer(r.words, np.uint64)
-    return LogBloom(words, size)
+    return LogBloom(words, size, least)
 
 
 def head(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int, int]:
@@ -192,7 +193,7 @@ def scored(docs: DataFrame) -> DataFrame:
     top_key, top_n, least, total, distinct = head(counted)
     model = bloom(counted)
     shared = docs.sparkSession.sparkContext.broadcast((top_key, top_n, model.words, model.size))
-    mass = total + 0.1 * (distinct + 1)
+    mass, held = total + 0.1 * (distinct + 1), model.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_top, n_top, words_top, size = shared.value
@@ -204,31 +205,53 @@ def scored(docs: DataFrame) -> DataFrame:
             top = keys_top[at] == keys if len(keys_top) else np.zeros(len(keys), bool)
             c = np.where(top, n_top[at] if len(n_top) else 0, 0)
             base = (c + 0.1) / mass
-            context = np.exp2(probe(keys)) - 1  # upper end of the level; 0 if not held
+            below = np.exp2(np.frexp(c.astype(float))[1]) - 1 + KAPPA  # with the upper end of the level
             word, before = flat[1:], flat[:-1]
             two, back = np.unique(before.astype(np.int64) * len(words) + word, return_inverse=True)
-            level = probe(pair_keys(keys[two // len(words)], keys[two % len(words)]))
-            pair = np.where(level > 0, np.exp2(level - 1.0), 0.0)[back]
-            below = context[before] + KAPPA
-            is_top = top[word]
+            pairs = pair_keys(keys[two // len(words)], keys[two % len(words)])
+            level = probe(pairs)
+            pair = np.where(level > 0, np.exp2(level - 1.0), 0.0)
+            second = two % len(words)
+            rare, left = ~top[second], (level < held) & (held > 1)  # what is held has that many levels; if all is, the rest is unseen
             begin = np.r_[0, np.cumsum(sizes)]
-            add = lambda x: np.add.reduceat(np.where(is_top, x, 0), begin[:-1])
-            rare = np.flatnonzero(~is_top)
-            ends = np.searchsorted(rare, begin).astype(np.int32)
-            listed = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
+            add = lambda x: np.add.reduceat(x, begin[:-1])
+            over_words = lambda x: add(np.where(top, x, 0)[word])  # noqa: E731  a text's contexts are its words in another order
+            own = np.where(rare | left, 0.0, np.log10(pair + KAPPA * base[second]))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+
+            def lists(pick: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+                """For each text the columns of its different pairs that are picked, and how often it has them."""
+                some = np.flatnonzero(pick[back])
+                found, times = np.unique(row[some] * len(two) + back[some], return_counts=True)
+                ends = pa.array(np.searchsorted(found, np.arange(len(sizes) + 1) * len(two)).astype(np.int32))
+                return [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (*(x[found % len(two)] for x in columns), times)]
+
+            word_key = np.where(rare, keys[second].view(np.int64), 0)
             yield pa.RecordBatch.from_arrays([
-                *b.columns[:-1], pa.array(sizes), pa.array(add(c[word] > 0).astype(np.int64)), pa.array(add(np.log10(base)[word])),
-                pa.array(add(np.log10((pair + KAPPA * base[word]) / below))), listed(keys[word[rare]].view(np.int64)), listed(pair[rare]), listed(below[rare])], names)
+                *b.columns[:-1], pa.array(sizes), pa.array(over_words((c > 0).astype(np.int64))), pa.array(over_words(np.log10(base))), pa.array(add(own[back]) - over_words(np.log10(below))),
+                *lists(rare & ~left, word_key, pair), *lists(left, pairs.view(np.int64), word_key, np.where(rare, -1, c[second]))], names)
 
     source = docs.select("doc_id", held_out(F.col("doc_id"), CORPUS_FOLDS).alias("held_out"), F.monotonically_increasing_id().alias("row"), "text")
-    schema = plus(source.drop("text"), n_tokens="long", n_known="long", base_score="double", score="double", rare="array<long>", pair="array<double>", below="array<double>")
+    schema = plus(
+        source.drop("text"), n_tokens="long", n_known="long", base_score="double", score="double", word="array<long>", pair="array<double>", times="array<long>",
+        left_pair="array<long>", left_word="array<long>", left_n="array<long>", left_times="array<long>")
     names = schema.names
     each = written(arrow_pass(source, run, schema), "scores")
-    rare = each.select("row", F.inline(F.arrays_zip("rare", "pair", "below")))
-    fewer = counted.where(F.expr("not pair") & (F.col("n") < least)).select(F.col("key").alias("rare"), "n")
-    base = (F.coalesce("n", F.lit(0)) + 0.1) / mass
-    met = rare.join(fewer, "rare", "left").select("row", F.col("n").isNotNull().cast("long").alias("known"), F.log10(base).alias("base"), F.log10((F.col("pair") + KAPPA * base) / F.col("below")).alias("full"))
-    more = met.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("full").alias("more_score"))
+    # the rare words' counts; n is -1 where the word is rare
+    fewer = counted.where(F.expr("not pair") & (F.col("n") < least)).select(F.col("key").alias("word"), F.col("n").alias("found"))
+    counted_words = lambda df: df.join(fewer, "word", "left").withColumn("n", F.coalesce("found", F.lit(0))).withColumn("rare", F.lit(True)).drop("found", "word")
+    near = counted_words(each.select("row", F.inline(F.arrays_zip("word", "pair", "times"))))
+    left = each.select("row", F.inline(F.arrays_zip("left_pair", "left_word", "left_n", "left_times")).alias("key", "word", "n", "times"))
+    open_ = left.where("n >= 0").drop("word").withColumn("rare", F.lit(False)).unionByName(counted_words(left.where("n < 0").drop("n")))
+    # the counts of pairs that had no room in the filter, at the lower end of their level as there
+    others = counted.where(F.col("pair") & (F.col("n") < 1 << min(model.least - 1, 62))).select("key", F.pow(F.lit(2.0), F.length(F.bin("n")) - 1).alias("pair"))
+    met = near.unionByName(open_.join(others, "key", "left").drop("key").withColumn("pair", F.coalesce("pair", F.lit(0.0))))
+    base = (F.col("n") + 0.1) / mass
+    below = F.when(F.col("n") > 0, F.pow(F.lit(2.0), F.length(F.bin("n"))) - 1).otherwise(0) + KAPPA
+    only = lambda x: F.sum(F.when(F.col("rare"), F.col("times") * x).otherwise(0))  # noqa: E731  other words have theirs already
+    more = met.groupBy("row").agg(
+        only((F.col("n") > 0).cast("long")).alias("more_known"), only(F.log10(base)).alias("more_base"),
+        (F.sum(F.col("times") * F.log10(F.col("pair") + KAPPA * base)) - only(F.log10(below))).alias("more_score"))
     plus_ = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
     return each.join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", plus_("n_known", "more_known"), F.lit(total).cast("long").alias("train_tokens"), plus_("base_score", "more_base"), plus_("score", "more_score"))

@@ -143,6 +143,33 @@ def test_filter_keeps_its_bound(spark, monkeypatch):
     assert (model.levels(often) >= 7).all()
 
 
+def score_by_hand(docs):
+    """The scores in row order, with each pair's and context's count as the filter would tell it without false positives."""
+    words = [[b" "] + (t or "").encode().lower().split() + [b" "] for _, t in docs]
+    train = [w for (i, _), w in zip(docs, words) if i is None or zlib.crc32(str(i).encode()) % 10]
+    one, two = Counter(x for w in train for x in w[1:]), Counter(x for w in train for x in zip(w, w[1:]))
+    mass = sum(one.values()) + 0.1 * (len(one) + 1)
+    pair = lambda x: 1 << two[x].bit_length() - 1 if two[x] else 0
+    p = lambda v, w: (pair((v, w)) + lm.KAPPA * (one[w] + 0.1) / mass) / ((1 << one[v].bit_length()) - 1 + lm.KAPPA)
+    return [sum(math.log10(p(v, w)) for v, w in zip(ws, ws[1:])) for ws in words]
+
+
+@pytest.mark.parametrize(("head", "room"), [(500_000, 0), (50, 0), (50, 4096)])
+def test_pairs_without_room_in_the_filter_are_scored(spark, head, room, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "MAX_BYTES", room)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionAll(docs)  # no pair is seen once
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.score for r in lm.scored(docs).collect()}
+    want = dict(zip((i for i, _ in rows), score_by_hand(rows)))
+    assert got.keys() == want.keys()
+    if room:  # false positives only raise a pair
+        assert all(got[i] >= want[i] - 1e-5 for i in want) and sum(got.values()) - sum(want.values()) < 0.1 * abs(sum(want.values()))
+    else:
+        assert all(abs(got[i] - want[i]) < 1e-5 for i in want)
+
+
 def test_schedules_meet_their_windows():
     rng = random.Random(2)
     for _ in range(60):
