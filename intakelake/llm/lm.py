@@ -14,8 +14,7 @@ What is broadcast is bounded: the filter by MAX_BYTES, the exact counts of frequ
 What has no room there is not lost: counts of all other words meet the texts' rare words in a join, and
 pairs below the least level held meet the texts' pairs that the filter lacks in another. So a score is the
 same whatever the filter has room for, but for its false positives. Words are not in the filter: a text's
-contexts are the words it has anyway. Pairs seen once are not counted. Shuffled are 64-bit hashes of words
-and pairs, not their strings.
+contexts are the words it has anyway. Shuffled are 64-bit hashes of words and pairs, not their strings.
 
 Defined cases: a null text is empty; an empty text has one token, its end; a row without doc_id is a
 training row; repeated rows each count and are each scored; with no training rows N and V are 0.
@@ -34,7 +33,7 @@ from .common import CORPUS_FOLDS, arrow_pass, held_out, plus, utf8, written
 from .rules import bucket
 
 KAPPA = 1000.0
-MAX_BYTES, BITS, SHARDS, MIN_PAIR = 64 << 20, 12, 64, 2
+MAX_BYTES, BITS, SHARDS = 64 << 20, 12, 64
 HEAD = 500_000
 #: Keys a task sums up before it passes them on.
 GATHER = 2_000_000
@@ -109,7 +108,7 @@ class LogBloom:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """pair (boolean), key, n over all training texts; pairs seen fewer than MIN_PAIR times are left out."""
+    """pair (boolean), key, n over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list] = {False: [], True: []}
@@ -138,7 +137,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
     texts = docs.where(~held_out(F.col("doc_id"), CORPUS_FOLDS)).select("text")
     summed = arrow_pass(texts, run, "pair boolean, key long, n long").groupBy("pair", "key").agg(F.sum("n").alias("n"))
-    return summed.where(f"not pair and n > 0 or n >= {MIN_PAIR}")
+    return summed.where("n > 0")
 
 
 def bloom(counted: DataFrame) -> LogBloom:
@@ -210,26 +209,30 @@ def scored(docs: DataFrame) -> DataFrame:
             two, back = np.unique(before.astype(np.int64) * len(words) + word, return_inverse=True)
             pairs = pair_keys(keys[two // len(words)], keys[two % len(words)])
             level = probe(pairs)
-            pair = np.where(level > 0, np.exp2(level - 1.0), 0.0)
             second = two % len(words)
             rare, left = ~top[second], (level < held) & (held > 1)  # what is held has that many levels; if all is, the rest is unseen
+            pair = np.where((level > 0) & ~left, np.exp2(level - 1.0), 0.0)
             begin = np.r_[0, np.cumsum(sizes)]
             add = lambda x: np.add.reduceat(x, begin[:-1])
             over_words = lambda x: add(np.where(top, x, 0)[word])  # noqa: E731  a text's contexts are its words in another order
-            own = np.where(rare | left, 0.0, np.log10(pair + KAPPA * base[second]))
-            row = np.repeat(np.arange(len(sizes)), sizes)
+            score = add(np.where(rare | left, 0.0, np.log10(pair + KAPPA * base[second]))[back]) - over_words(np.log10(below))
+            # each text's other pairs, and how often it has them
+            some = np.flatnonzero((rare | left)[back])
+            found, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[some] * len(two) + back[some], return_counts=True)
+            text, found = found // len(two), found % len(two)
+            # a training text's pair is counted at least as often as the text has it, and has no more than held - 1 levels
+            sure = left[found] & ~b.column("held_out").to_numpy(zero_copy_only=False)[text] & (np.frexp(times.astype(float))[1] >= held - 1)
+            pair, open_, of_rare = np.where(sure, np.exp2(held - 2.0), pair[found]), left[found] & ~sure, rare[found]
+            score += np.bincount(text, np.where(open_ | of_rare, 0.0, times * np.log10(pair + KAPPA * base[second[found]])), len(sizes))
+            word_key = np.where(of_rare, keys[second[found]].view(np.int64), 0)
 
             def lists(pick: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
-                """For each text the columns of its different pairs that are picked, and how often it has them."""
-                some = np.flatnonzero(pick[back])
-                found, times = np.unique(row[some] * len(two) + back[some], return_counts=True)
-                ends = pa.array(np.searchsorted(found, np.arange(len(sizes) + 1) * len(two)).astype(np.int32))
-                return [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (*(x[found % len(two)] for x in columns), times)]
+                ends = pa.array(np.searchsorted(text[pick], np.arange(len(sizes) + 1)).astype(np.int32))
+                return [pa.ListArray.from_arrays(ends, pa.array(x[pick])) for x in columns]
 
-            word_key = np.where(rare, keys[second].view(np.int64), 0)
             yield pa.RecordBatch.from_arrays([
-                *b.columns[:-1], pa.array(sizes), pa.array(over_words((c > 0).astype(np.int64))), pa.array(over_words(np.log10(base))), pa.array(add(own[back]) - over_words(np.log10(below))),
-                *lists(rare & ~left, word_key, pair), *lists(left, pairs.view(np.int64), word_key, np.where(rare, -1, c[second]))], names)
+                *b.columns[:-1], pa.array(sizes), pa.array(over_words((c > 0).astype(np.int64))), pa.array(over_words(np.log10(base))), pa.array(score),
+                *lists(of_rare & ~open_, word_key, pair, times), *lists(open_, pairs.view(np.int64)[found], word_key, np.where(of_rare, -1, c[second[found]]), times)], names)
 
     source = docs.select("doc_id", held_out(F.col("doc_id"), CORPUS_FOLDS).alias("held_out"), F.monotonically_increasing_id().alias("row"), "text")
     schema = plus(

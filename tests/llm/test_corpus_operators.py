@@ -170,6 +170,17 @@ def test_pairs_without_room_in_the_filter_are_scored(spark, head, room, monkeypa
         assert all(abs(got[i] - want[i]) < 1e-5 for i in want)
 
 
+def test_pairs_seen_once_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MAX_BYTES", 0)  # all from the join, without false positives
+    rows = [(1, "alpha beta gamma"), (2, "alpha beta delta"), (3, None)]
+    got = {r.doc_id: r.score for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(abs(got[i] - x) < 1e-9 for (i, _), x in zip(rows, score_by_hand(rows)))
+    monkeypatch.undo()
+    model = lm.bloom(lm.counts(spark.createDataFrame(rows, "doc_id long, text string")))
+    alpha, beta, gamma = lm.word_keys([b"alpha", b"beta", b"gamma"])
+    assert model.levels(lm.pair_keys(np.array([alpha, beta]), np.array([beta, gamma]))).tolist() == [2, 1]
+
+
 def test_schedules_meet_their_windows():
     rng = random.Random(2)
     for _ in range(60):
