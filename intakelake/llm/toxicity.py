@@ -2,9 +2,10 @@
 
 A document is a bag of sentences and only the document is labelled. A sentence scores
 ``p = sigmoid(bias + sum of the weights of its words' features)``; the document scores by noisy-or,
-``1 - product of (1 - p)``: it is toxic if any sentence is. The weights are trained through the
-noisy-or from document labels alone, with weights held at or above zero and an L1 penalty, so that
-sentences without evidence stay near zero however many there are. The sentences' own scores then
+``1 - product of (1 - p)``: it is toxic if any sentence is. In the product each sentence counts beyond
+what the bias alone gives, and the bias counts once for a document, so that sentences without evidence
+add nothing however many there are. The weights are trained through the same noisy-or from document
+labels alone, with weights held at or above zero and an L1 penalty. The sentences' own scores then
 locate what offends.
 
 The features of a word are the word, its beginnings and its endings; a worker remembers the sum for
@@ -83,11 +84,11 @@ def fit(texts: list[str], labels: list[int]) -> dict[int, float]:
     use = at[feature] >= 0
     has, feature = has[use], at[feature[use]]
 
-    theta, square = np.zeros(len(keep)), np.full(len(keep), 1e-8)
+    theta, square, quiet = np.zeros(len(keep)), np.full(len(keep), 1e-8), np.logaddexp(0, BIAS)
     for _ in range(STEPS):
         score = np.bincount(has, theta[feature], len(words))
         s = BIAS + np.bincount(sentence_of, score[word_of], len(text_of))
-        clean = np.bincount(text_of, -np.logaddexp(0, s), len(y))  # log of the product of 1 - p
+        clean = np.bincount(text_of, quiet - np.logaddexp(0, s), len(y)) - quiet  # log of the product of 1 - p
         q = np.clip(-np.expm1(clean), 1e-9, 1)
         pull = np.where(y == 1, -(1 - q) / q, 1.0) / len(y)
         g = pull[text_of] / (1 + np.exp(-s))
@@ -115,22 +116,18 @@ class WordScores(dict):
 
 def judge(text: str, score: WordScores) -> tuple[float, list[dict]]:
     """The document's score and its offending sentences, those that score a half or more."""
-    quiet, loud, found = 0, 0.0, []
+    quiet, loud, found = float(np.logaddexp(0, BIAS)), 0.0, []
     marked = any(map(score.__getitem__, text.split()))
     for m in SENTENCE.finditer(text) if marked else ():
-        own = set(m[0].split())
-        if not own:
-            continue
-        s = sum(map(score.__getitem__, own))
+        s = sum(map(score.__getitem__, set(m[0].split())))
         if not s:
-            quiet += 1
             continue
-        loud -= float(np.logaddexp(0, BIAS + s))
+        loud += float(np.logaddexp(0, BIAS + s)) - quiet
         if BIAS + s >= 0:
             found.append({"start": m.start(), "end": m.end(), "score": float(1 / (1 + np.exp(-BIAS - s)))})
-    if not marked:
-        quiet = sum(not x.isspace() for x in SENTENCE.findall(text))
-    return float(-np.expm1(loud - quiet * np.logaddexp(0, BIAS))), found
+    if any(not m[0].isspace() for m in SENTENCE.finditer(text)):
+        loud += quiet
+    return float(-np.expm1(-loud)), found
 
 
 def scored(docs: DataFrame, weights: dict[int, float]) -> DataFrame:

@@ -257,6 +257,13 @@ def test_toxicity_locates_sentences():
     assert toxicity.judge("Fine words. " * 20_000, toxicity.WordScores(weights))[0] < 0.9
 
 
+def test_quiet_sentences_do_not_add_up(spark):
+    weights = {toxicity.features("vile")[0]: 30.0, toxicity.features("poor")[0]: 0.1}
+    texts = [(1, "Fine words. " * 20_000), (2, "Poor words. " * 20_000), (3, "Fine words. " * 20_000 + "So vile!")]
+    rows = toxicity.scored(spark.createDataFrame(texts, "doc_id long, text string"), weights).orderBy("doc_id").collect()
+    assert [(r.predicted, len(r.offending)) for r in rows] == [(0, 0), (0, 0), (1, 1)] and rows[0].score < 0.001
+
+
 def test_network_gives_the_same_in_pieces(monkeypatch):
     rng = np.random.default_rng(0)
     texts = [bytes(rng.integers(32, 120, n).astype(np.uint8)) for n in (0, 1, 63, 64, 65, 300, 40_000)]
