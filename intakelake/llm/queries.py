@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, fingerprint, html_text, lm, mixing, quality_cnn, rules, simhash, toxicity
-from .common import LABEL_FOLDS, held_out, labelled_sample, table
+from . import bpe, chat, conversation_repair, fingerprint, html_text, lm, mixing, periodic_runs, quality_cnn, repeated_windows, rules, simhash, toxicity
+from .common import LABEL_FOLDS, held_out, labelled_sample, table, written
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,5 +127,110 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_mixing": op5_mixing, "op6_html": op6_html, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
-ORACLE: dict[str, str] = {"op2_chat": OP2_SQL, "op8_rules": OP8_SQL}
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults planted by crc32 of conversation and turn: dropped, emptied, cut, repeated and renamed rows."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), kind.alias("kind")).where("kind != 0")
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))).drop("col")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    rows = damaged(given)
+    audits = written(conversation_repair.audited(rows), "audits")
+    read = conversation_repair.digests(conversation_repair.repaired(rows, audits)).withColumnRenamed("conv_id", "c")
+    said = audits.drop("audit").join(read, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c").withColumnRenamed("conv_id", "id")
+    every = given.select("conv_id").distinct().join(said, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) x(i)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+kinds AS (
+  SELECT s, xor(4294967295, list_reduce(list_transform(range(1, length(s) + 1), lambda k: ascii(s[k])::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295)) % 20 AS kind
+  FROM (SELECT DISTINCT s FROM keyed), tab),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed JOIN kinds USING (s), (VALUES (1), (2)) AS v(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hurt)),
+judged AS (
+  SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS k, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM placed),
+near AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY i) || k AS pair FROM judged),
+stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM near GROUP BY conv_id),
+moves(a, role, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(a, b, c, s) AS (VALUES (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'), (2, 2, 0, ''), (2, 3, 2, 'I'), (3, 3, 0, ''), (3, 2, 2, 'I')),
+acts AS (
+  SELECT DISTINCT k, fault, a, a AS b, 3 AS c, 'D' AS s FROM judged, (VALUES (0), (1), (2), (3)) AS v(a)
+  UNION ALL SELECT DISTINCT k, fault, a, b, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'K' FROM judged JOIN moves ON judged.role[1] = moves.role WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL SELECT DISTINCT k, fault, a, b, CASE WHEN fault = 'truncated' THEN 3 ELSE 2 END, 'R' FROM judged, moves WHERE moves.role <> 's' AND (fault IS NULL OR fault = 'truncated')),
+steps AS (SELECT k, fault, ins.a, acts.b, ins.c + acts.c AS c, ins.s || acts.s AS s FROM ins JOIN acts ON ins.b = acts.a),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS b, {'c': 0, 's': ''} AS w FROM stats
+  UNION ALL SELECT ways.conv_id, judged.i, steps.b, min({'c': w.c + steps.c, 's': w.s || steps.s}) FROM ways JOIN judged ON judged.conv_id = ways.conv_id AND judged.i = ways.i + 1
+    JOIN steps ON steps.k = judged.k AND steps.fault IS NOT DISTINCT FROM judged.fault AND steps.a = ways.b GROUP BY ways.conv_id, judged.i, steps.b),
+best AS (
+  SELECT stats.conv_id, min({'c': w.c + ins.c, 's': w.s || ins.s}) AS w FROM stats JOIN ways ON ways.conv_id = stats.conv_id AND ways.i = stats.n JOIN ins ON ins.a = ways.b WHERE ins.b IN (0, 3) GROUP BY 1),
+edits AS (SELECT conv_id, pos, w.s[pos] AS edit FROM (SELECT *, unnest(range(1, length(w.s) + 1)) AS pos FROM best)),
+counted AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY pos) AS o FROM edits),
+said AS (
+  SELECT c.conv_id, pos, o, edit, j.role, CASE WHEN edit = 'I' THEN '' ELSE j.text END AS text, max(CASE WHEN o = 1 AND edit = 'K' AND j.k = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY c.conv_id) AS s
+  FROM counted c LEFT JOIN judged j ON j.conv_id = c.conv_id AND j.i = c.i WHERE edit <> 'D'),
+told AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS t FROM said GROUP BY 1)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.w.c, 0)::BIGINT AS cost, coalesce(best.w.s, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN stats USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN told USING (conv_id)
+"""
+
+
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeated_windows.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM pos),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+near AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM again),
+cut AS (
+  SELECT r, i, coalesce(before + 35, 1) AS a, i - 1 AS b, least(35, i - coalesce(before, i - 35)) AS gone FROM near
+  UNION ALL SELECT r, max(i) + 1, max(i) + 35, 2147483647, 0 FROM again GROUP BY r),
+left_over AS (SELECT cut.r, sum(gone)::BIGINT AS n, array_to_string(flatten(list(CASE WHEN a <= b THEN w[a:b] ELSE [] END ORDER BY i)), ' ') AS kept FROM cut JOIN d USING (r) GROUP BY cut.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, array_to_string(w, ' '))) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)
+"""
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with a periodic end for the documents that crc32(doc_id as text) picks; a null id picks none."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", (h % 10 == 0).alias("picked"), F.floor(h / 10).alias("g"), words.alias("w")).withColumn("n", F.size("w"))
+    rows = rows.withColumn("a", F.col("g") % F.col("n")).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("picked") & (F.col("n") > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.collapsed(planted_runs(table(spark, sf_dir, "documents")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    said = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "collapsed", F.array_join(said, "").alias("said"), first.alias("top")).select(
+        "doc_id", "n_runs", F.col("top.start").alias("start"), (-F.col("top.col1")).alias("length"), F.col("top.period").alias("period"),
+        F.expr("1000 * -top.col1 div top.period").alias("exponent_milli"), F.sha2("said", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_mixing": op5_mixing, "op6_html": op6_html, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash,
+           "op11_repair": op11_repair, "op12_windows": op12_windows, "op13_runs": op13_runs}
+ORACLE: dict[str, str] = {"op2_chat": OP2_SQL, "op8_rules": OP8_SQL, "op11_repair": OP11_SQL, "op12_windows": OP12_SQL}
