@@ -11,8 +11,8 @@ exactly its parts. When a source has no blocks left a new phase begins, with the
 period, and the guarantee holds anew within the phase. No document is dropped or repeated.
 
 The schedule of a phase is one period long, whatever the amount of data, and made in a task of its own;
-every block's slot then follows from its number by a join and arithmetic. Only totals for each source come
-to the driver (MAX_SOURCES rows at most, else an error). Documents get their numbers by prefix sums over
+every block's slot then follows from its number by a join and arithmetic. Only totals come to the driver,
+MAX_SOURCES rows at most; of more sources the smaller ones share lanes (see :func:`lanes`). Documents get their numbers by prefix sums over
 pieces of PIECE_ROWS rows, so no source, however large, is numbered in one task.
 
 Defined cases: null source is a source of its own; null text has size zero; equal documents are ordered by
@@ -32,7 +32,9 @@ from .common import written
 
 #: Parts of the whole in which weights are given, and characters of a block.
 PERIOD, BLOCK_CHARS = 1000, 20_000
-PIECE_ROWS, MAX_SOURCES = 4_000, 2_000
+#: Sources scheduled each on its own, and the lanes that further ones share.
+MAX_SOURCES, TAIL_LANES = 2_000, 64
+PIECE_ROWS = 4_000
 #: Rows of the schedules up to which they are broadcast; their number is known before.
 BROADCAST_ROWS = 200_000
 #: Default weights: total size to this power.
@@ -97,22 +99,40 @@ def phases(parts: list[int], blocks: list[int]) -> list[dict]:
     return out
 
 
-def numbered(docs: DataFrame, size: Column, seed: int) -> DataFrame:
-    """row (all columns of ``docs``), source, doc_id, size, and before: the size of what precedes it in its source's order.
+def lanes(docs: DataFrame, size: Column) -> tuple[DataFrame, list[list[str | None]]]:
+    """``docs`` as row (all its columns), source, doc_id, size and lane, and the sources each lane is named after.
+
+    A source is a lane of its own, numbered from 0 by name. Of more than MAX_SOURCES sources the largest
+    ones stay lanes; the others are dealt by hash to TAIL_LANES lanes, in which their documents are shuffled
+    together, so that each still gets its share of the lane in the long run. Their lanes are named by no source.
+    """
+    rows = docs.select(F.struct("*").alias("row"), "source", "doc_id", F.coalesce(size.cast("long"), F.lit(0)).alias("size"), F.xxhash64("text").alias("mark"))
+    sums = rows.groupBy("source").agg(F.sum("size").alias("sum")).orderBy(F.desc("sum"), F.col("source").asc_nulls_first()).limit(MAX_SOURCES + 1).collect()
+    tail = TAIL_LANES if len(sums) > MAX_SOURCES else 0
+    names = sorted((r.source for r in sums[: MAX_SOURCES - tail if tail else None]), key=lambda x: (x is None, x or ""))
+    heads = docs.sparkSession.createDataFrame([(x or "", x is None, i) for i, x in enumerate(names)], "name string, missing boolean, head int")
+    met = rows.join(F.broadcast(heads), (F.coalesce("source", F.lit("")) == F.col("name")) & (F.col("source").isNull() == F.col("missing")), "left")
+    lane = F.coalesce("head", F.lit(len(names)) + F.pmod(F.xxhash64("source"), F.lit(max(tail, 1))).cast("int"))
+    return met.select("row", "source", "doc_id", "size", "mark", lane.alias("lane")), [[x] for x in names] + [[] for _ in range(tail)]
+
+
+def numbered(rows: DataFrame, n_rows: int, seed: int) -> DataFrame:
+    """``rows`` with before: the size of what precedes a row in its lane's order.
 
     Rows are ordered by a hash; its leading part picks the piece, so a piece's rows are few and its
-    total is added to all pieces after it.
+    total is added to all pieces after it. Window and join share their keys, so that texts move once
+    whether or not the sums are broadcast.
     """
-    hashed = F.xxhash64(F.lit(seed), "doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    pieces = max(1, -(-docs.count() // PIECE_ROWS))
-    rows = docs.select(F.struct("*").alias("row"), "source", "doc_id", F.coalesce(size.cast("long"), F.lit(0)).alias("size"), F.shiftrightunsigned(hashed, 1).alias("hash"))
+    hashed = F.xxhash64(F.lit(seed), "doc_id", F.coalesce("mark", F.lit(0)))
+    pieces = max(1, -(-n_rows // PIECE_ROWS))
+    rows = rows.withColumn("hash", F.shiftrightunsigned(hashed, 1))
     rows = rows.withColumn("piece", F.floor(F.shiftrightunsigned("hash", 31) * F.lit(pieces) / F.lit(2**32)).cast("int"))
-    sums = rows.groupBy("source", "piece").agg(F.sum("size").alias("sum"))
-    ahead = sums.select(F.col("source").alias("s"), F.col("piece").alias("p"), (F.sum("sum").over(Window.partitionBy("source").orderBy("piece")) - F.col("sum")).alias("ahead"))
-    order = Window.partitionBy("source", "piece").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.groupBy("lane", "piece").agg(F.sum("size").alias("sum"))
+    ahead = sums.select("lane", "piece", (F.sum("sum").over(Window.partitionBy("lane").orderBy("piece")) - F.col("sum")).alias("ahead"))
+    order = Window.partitionBy("lane", "piece").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = rows.withColumn("inside", F.sum("size").over(order) - F.col("size"))
-    met = inside.join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p")), "left")
-    return met.select("row", "source", "doc_id", "size", (F.col("inside") + F.coalesce("ahead", F.lit(0))).alias("before"))
+    met = inside.join(ahead, ["lane", "piece"], "left")
+    return met.select("row", "source", "doc_id", "size", "lane", (F.col("inside") + F.coalesce("ahead", F.lit(0))).alias("before"))
 
 
 #: What the mixture says of a document.
@@ -127,34 +147,36 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, bloc
     A document belongs to the block in which it begins; one longer than a block uses up its source's next
     blocks too, so that shares are shares of characters.
     """
-    rows = numbered(docs, F.length("text") if size is None else size, seed).withColumn("block", F.floor(F.col("before") / F.lit(block)).cast("long"))
     spark = docs.sparkSession
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.max("block").alias("last")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
-    totals.sort(key=lambda r: (r.source is None, r.source or ""))
-    given = None if weights is None else [max(weights.get(r.source, 0.0), 0.0) for r in totals]
+    rows, names = lanes(docs, F.length("text") if size is None else size)
+    rows = numbered(rows, docs.count(), seed).withColumn("block", F.floor(F.col("before") / F.lit(block)).cast("long"))
+    totals = rows.groupBy("lane").agg(F.sum("size").alias("size"), F.max("block").alias("last")).orderBy("lane").collect()
+    given = None
+    if weights is not None:  # what no lane is named after goes to the lanes without a name, in equal parts
+        own = [sum(max(weights.get(x, 0.0), 0.0) for x in names[r.lane]) for r in totals]
+        rest = sum(max(w, 0.0) for x, w in weights.items() if [x] not in names) / max(sum(not names[r.lane] for r in totals), 1)
+        given = [w if names[r.lane] else rest for w, r in zip(own, totals)]
     parts = parts_of([r["size"] for r in totals], given) if totals else []
     plan = phases(parts, [r["last"] + 1 for r in totals])
-    tasks = [(n, p["slot"], p["period"], [totals[i].source for i in p["parts"]], list(p["parts"].values()), list(p["first"].values())) for n, p in enumerate(plan)]
-    kinds = "phase int, slot long, period long, sources array<string>, parts array<long>, first array<long>"
+    tasks = [(n, p["slot"], p["period"], [totals[i].lane for i in p["parts"]], list(p["parts"].values()), list(p["first"].values())) for n, p in enumerate(plan)]
+    kinds = "phase int, slot long, period long, lanes array<int>, parts array<long>, first array<long>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for t in f.itertuples():
                 made = schedule(dict(enumerate(int(x) for x in t.parts)))
-                yield pd.DataFrame({"s": [t.sources[s] for _, s, _ in made], "k": [k for *_, k in made], "at": [x for x, *_ in made], "phase": t.phase,
+                yield pd.DataFrame({"lane": [t.lanes[s] for _, s, _ in made], "k": [k for *_, k in made], "at": [x for x, *_ in made], "phase": t.phase,
                                     "first": [t.first[s] for _, s, _ in made], "parts": [t.parts[s] for _, s, _ in made], "start": t.slot, "period": t.period})
 
     made = spark.createDataFrame(tasks, kinds).repartition(max(1, min(len(tasks), 200)), "phase")
-    table = written(made.mapInPandas(run, "s string, k long, at long, phase int, first long, parts long, start long, period long"), "schedule")
+    table = written(made.mapInPandas(run, "lane int, k long, at long, phase int, first long, parts long, start long, period long"), "schedule")
     small = F.broadcast if sum(p["period"] for p in plan) <= BROADCAST_ROWS else lambda df: df
-    # the phase of a block: the last one of its source that begins at or before it
-    spans = table.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("first", "phase", "parts"))).alias("spans"))
-    own = rows.join(small(spans), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    # the phase of a block: the last one of its lane that begins at or before it; one row a lane, MAX_SOURCES at most
+    spans = table.groupBy("lane").agg(F.sort_array(F.collect_set(F.struct("first", "phase", "parts"))).alias("spans"))
+    own = rows.join(F.broadcast(spans), "lane", "left")
     own = own.withColumn("in", F.element_at(F.filter("spans", lambda x: x["first"] <= F.col("block")), -1)).drop("spans")
-    own = own.select("row", "source", "doc_id", "before", "block", F.col("in.phase").alias("own_phase"), (F.col("block") - F.col("in.first")).alias("nth"), ((F.col("block") - F.col("in.first")) % F.col("in.parts")).alias("own_k"))
-    met = own.join(small(table), F.col("source").eqNullSafe(F.col("s")) & (F.col("own_phase") == F.col("phase")) & (F.col("own_k") == F.col("k")), "left")
+    own = own.select("row", "source", "doc_id", "before", "block", "lane", F.col("in.phase").alias("phase"), (F.col("block") - F.col("in.first")).alias("nth"), ((F.col("block") - F.col("in.first")) % F.col("in.parts")).alias("k"))
+    met = own.join(small(table), ["lane", "phase", "k"], "left")
     slot = F.col("start") + F.floor(F.col("nth") / F.col("parts")) * F.col("period") + F.col("at")
     released = F.col("start") + F.floor(F.col("nth") * F.col("period") / F.col("parts"))
     due = F.col("start") + F.ceil((F.col("nth") + 1) * F.col("period") / F.col("parts"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -236,6 +237,34 @@ def test_mixture(spark, edge, pieces, monkeypatch):
     assert len(given) == len(EDGE) and all(r.release <= r.slot < r.due for r in given)
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_mixture_moves_texts_twice_at_any_size(spark, threshold):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        plan = mixing.in_order(docs)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    moved = [x for x in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", x) and re.search(r"Input \[\d+\]: \[.*row#", x)]
+    assert len(moved) == 2 and (threshold != "-1" or "SortMergeJoin" in plan)
+
+
+def test_mixture_of_many_sources(spark):
+    docs = spark.range(5_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 5_000).alias("source"), F.repeat(F.lit("x"), 1 + (F.col("id") % 7).cast("int")).alias("text"))
+    rows = mixing.placed(docs, block=3).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(5_500)) and all(r.release <= r.slot < r.due for r in rows)
+    blocks = defaultdict(set)
+    for r in rows:
+        blocks[r.slot].add(r.block)
+    assert all(len(b) == 1 for b in blocks.values())
+    docs, names = mixing.lanes(docs, F.length("text"))
+    assert len(names) == mixing.MAX_SOURCES and docs.select("lane").distinct().count() == mixing.MAX_SOURCES
+    assert docs.groupBy("source").agg(F.countDistinct("lane").alias("n")).where("n > 1").count() == 0
+
+
 def accuracy(spark, query, label):
     labels = spark.read.parquet(f"{LARGER}/labels.parquet").select("doc_id", F.col(label).alias("want"))
     rows = query(spark, LARGER).join(labels, "doc_id").where("held_out").collect()
