@@ -6,6 +6,8 @@ aggregates with map-side partials and joined back; no pairs are formed within a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import values as V
@@ -80,21 +82,23 @@ def change_outcome(changed: DataFrame, files: DataFrame) -> DataFrame:
     return j.withColumn("outcome", F.when(F.col("cv_file_id").isNull(), "enqueued").when(newer, "reprocessed").otherwise("unchanged")).drop("_was")
 
 
-def judged_changes(feed: DataFrame, stored: DataFrame, seen: DataFrame, ignored: DataFrame) -> tuple[DataFrame, DataFrame]:
+def judged_changes(feed: DataFrame, stored: DataFrame, seen: Callable[[DataFrame], DataFrame], ignored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Outcomes of a batch of changes, and the rows it adds to the files seen.
 
-    A file's newest change counts. Known is what is stored, overlaid by what was seen since: a later
+    ``seen(rows)`` gives what was seen before of the files that ``rows`` name. A file's newest change counts; of
+    changes with one time (or none) that are not one and the same, the greatest by all its columns. Known is what is stored, overlaid by what was seen since: a later
     modification time, or that the file is gone, after which it is new again. Changes of removed files have
     no outcome; they only mark the file as gone.
     """
     f = feed.withColumn("parents", F.when(F.col("moved"), F.col("parents_out")).otherwise(F.col("parents_in"))).drop("parents_in", "parents_out", "moved")
     rest = [c for c in f.columns if c not in ("workspace_id", "file_id")]
-    f = f.groupBy("workspace_id", "file_id").agg(F.max_by(F.struct(*rest), F.coalesce("modified_at", F.timestamp_seconds(F.lit(0)))).alias("r")).select("workspace_id", "file_id", "r.*")
+    rest = ["modified_at", *[c for c in rest if c != "modified_at"]]  # a null time comes before all others
+    f = f.groupBy("workspace_id", "file_id").agg(F.max(F.struct(*rest)).alias("r")).select("workspace_id", "file_id", "r.*")
     split = change_split(f)
     changed = drop_ignored(in_folder(split.filter("change = 'changed'"), F.concat(F.lit("folder_"), F.col("workspace_id").cast("string"))), ignored)
     mine = stored.filter((F.col("source_type") == "GOOGLE_DRIVE") & F.col("source_file_id").isNotNull()).select(
         "workspace_id", F.col("source_file_id").alias("file_id"), F.col("drive_modified_at").alias("_stored"), F.lit(True).alias("_is_stored"))
-    later = seen.select("workspace_id", "file_id", F.col("modified_at").alias("_seen"), "gone")
+    later = seen(f).select("workspace_id", "file_id", F.col("modified_at").alias("_seen"), "gone")
     j = changed.join(mine, ["workspace_id", "file_id"], "left").join(later, ["workspace_id", "file_id"], "left")
     gone = F.coalesce("gone", F.lit(False))
     known = ~gone & (F.col("_is_stored").isNotNull() | F.col("gone").isNotNull())
