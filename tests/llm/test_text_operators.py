@@ -5,8 +5,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import math
 import random
+import re
+import time
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -146,6 +150,17 @@ PAGES = {
         "Text Rest <b>",
     "<div><ul><li><a href=a>first link</a><li><a href=b>second link</a><li><a href=c>third link</a></ul></div><div><p>Here stands what the page is about, in a sentence.</p><p>And here another one, of like length as that.</p></div>":
         "Here stands what the page is about, in a sentence. And here another one, of like length as that.",
+    # names that do not say what an element is, or are an inline element's or a heading's
+    '<div class="content with-sidebar"><article><p>Main words stand here.</p></article></div>': "Main words stand here.",
+    '<article><h2 id="related-work">Related work</h2><p>Body text.</p><p class="notice">Mind <span class="share">share</span> this.</p><div id="social-policy">Policy text.</div></article>':
+        "Related work Body text. Mind share this. Policy text.",
+    '<div id="sidebar-right"><main><p>Main words stand here.</p></main></div><div class="sidebar">Side words stand here.</div>': "Main words stand here.",
+    '<div class="widget-content"><p>No article is marked, and all there is stands in here.</p><p>So the name says nothing.</p></div>': "No article is marked, and all there is stands in here. So the name says nothing.",
+    '<div class="comment-box"><p>Nothing but this is on the page, so this is what it is about.</p></div>': "Nothing but this is on the page, so this is what it is about.",
+    # names that do
+    '<article><p>Text.</p><div class="ad-slot">Buy</div><p class="ad">Buy</p><section id="comments-list"><p>I say</p></section><div class="share-buttons">Share</div><p>Rest.</p></article>': "Text. Rest.",
+    '<body><div class="site-header">Top</div><div id="content"><p>Long text of the page, with words.</p><p>Second part of it, more words.</p></div><div class="reader-comments"><p>'
+    + "I say a lot, and more than the page does. " * 6 + "</p></div></body>": "Long text of the page, with words. Second part of it, more words.",
 }
 
 
@@ -159,6 +174,44 @@ def test_main_text():
         html_text.main_text(broken * 3)
 
 
+@pytest.mark.parametrize("page", ["<div>{n}</section>{n}", "<b>{n}<div></div>{n}", "<b><div><i>{n}</b>{n}", "<p>{n}<td>{n}</p>{n}", "<ul><li>{n}<table><tr><td>{n}</li>{n}", "<a '{n}>", "<div class='ad'>{n}x"])
+def test_nested_pages_take_linear_time(page):
+    def seconds(n):
+        whole = re.sub(r"((?:<[^{]*>|<a '))\{n\}", lambda m: m[1] * n, page)
+        t = time.process_time()
+        html_text.main_text(whole)
+        return time.process_time() - t
+
+    assert seconds(100_000) < max(20 * seconds(10_000), 1) and seconds(100_000) < 15
+
+
+def test_densities_by_nested_loops():
+    """Counts, densities and their sums of every page, from a walk over each node's whole subtree."""
+    for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet' WHERE html IS NOT NULL").fetchall() + [(x,) for x in PAGES]:
+        nodes = html_text.parse(page)
+        html_text.settle(nodes)
+        body = html_text.weigh(nodes)
+
+        def below(n):
+            return [n] + [y for x in n.parts if isinstance(x, html_text.Node) and not x.apart for y in below(x)]
+
+        def chars(n, link=False):
+            return sum(len(" ".join(x.split())) for y in below(n) if y.link or not link for x in y.parts if isinstance(x, str))
+
+        def density(n):
+            c, t = chars(n), max(len(below(n)) - 1, 1)
+            lc, lt = max(chars(n, True), 1), max(sum(y.tag == "a" for y in below(n)[1:]), 1)
+            own = chars(n, True)
+            spread = math.log(c * own / max(c - own, 1) + chars(body, True) / max(chars(body), 1) * c + math.e)
+            return c / t * math.log(max(c / lc * t / lt, 1.0)) / max(math.log(spread), 0.1)
+
+        for n in nodes:
+            if not n.apart:
+                assert n.chars == chars(n) and (n.link or n.link_chars == chars(n, True))
+                assert math.isclose(n.density, density(n) if n.chars else 0.0)
+                assert math.isclose(n.total, sum(density(x) for x in n.parts if isinstance(x, html_text.Node) and not x.apart and x.chars), abs_tol=1e-9)
+
+
 def test_page_rows(spark):
     rows = [(1, "u", None, "t"), (2, None, "<p>a</p>", "t"), (None, "u", "<p>a</p>", "t"), (2, None, "<p>a</p>", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
