@@ -66,14 +66,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: d
 
     Of each class at most ``per_class`` rows outside the held-out fold, in the order of a hash of
     doc_id; texts above ``max_bytes`` are left to scoring. So the driver holds at most the sum of
-    ``per_class`` times ``max_bytes``. Rows without id, label or text are not learnt from.
+    ``per_class`` times ``max_bytes``. Rows without id, label or text are not learnt from, nor are longer
+    texts, and neither take up places; of texts that share an id, the one of the least hash is learnt from.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), LABEL_FOLDS))
-    known = known.select("doc_id", F.col(label).cast("int").alias("_label")).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("_label"))
     short = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text")
+    fit = written(known.join(short.select("doc_id"), "doc_id", "left_semi"), "labelled")
     pick = None
     for value, n in per_class.items():
-        part = known.where(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = fit.where(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         pick = part if pick is None else pick.union(part)
-    rows = short.join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sum(per_class.values())).select("text", "_label").toArrow()
+    rows = short.join(F.broadcast(pick), "doc_id").groupBy("doc_id", "_label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "_label").toArrow()
     return utf8(rows.column("text")), rows.column("_label").to_pylist()

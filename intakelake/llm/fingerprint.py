@@ -30,6 +30,8 @@ PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 WINDOW, KEPT, HASH_AT_ONCE = 16, 64, 1 << 20
 #: Documents that one bucket of neighbours holds.
 BUCKET_ROWS = 1000
+#: Buckets at most; beyond BUCKET_ROWS times as many documents, buckets grow.
+MAX_BUCKETS = 20_000
 
 _powers: list[np.ndarray] = []
 
@@ -144,11 +146,12 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     Buckets are ranges of doc_id; the first document of each is also sent, as the tail, to the bucket
     before, and that of the first bucket to the last. Only cut points and one id for each bucket come
-    to the driver.
+    to the driver, MAX_BUCKETS at most; a bucket is sorted, where it is large on disk, and read in batches.
+    An id that is no number counts as none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id").where("doc_id is not null")
-    parts = max(1, -(-ids.count() // BUCKET_ROWS))
+    parts = min(MAX_BUCKETS, max(1, -(-ids.count() // BUCKET_ROWS)))
     cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
 
     def dealt(heads: dict[int, int] | None):

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_pass, fresh, utf8, written
+from .common import arrow_pass, fresh, plus, utf8, written
 
 SHINGLE_WORDS, SEED, BUDGET, BLOCK = 3, 42, 3, 16
 #: Fingerprints in one trie above which its pairs of child nodes become work of their own.
@@ -51,16 +51,17 @@ def simhash(text: bytes) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its 64-bit fingerprint as a long."""
+def fingerprints(docs: DataFrame, carry: list[str] = []) -> DataFrame:
+    """doc_id, further columns to carry, and the 64-bit fingerprint as a long."""
+    docs = docs.select("doc_id", *carry, "text")
+    schema = plus(docs.drop("text"), mark="long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marks = np.array([simhash(x) for x in utf8(b.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(marks, pa.int64())], ["doc_id", "mark"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(marks, pa.int64())], schema.names)
 
-    docs = docs.select("doc_id", "text")
-    return arrow_pass(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long")
+    return arrow_pass(docs, run, schema)
 
 
 def groups_of(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -215,25 +216,37 @@ def connect(stars: DataFrame) -> DataFrame:
         before = now
 
 
+def rooted(marks: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
+    """mark and root, the smallest fingerprint that links reach, for each fingerprint of ``marks``."""
+    every = marks.select("mark").distinct()
+    return every.join(connect(links(every, split_over)), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+
+
 def components(docs: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     """doc_id, mark and component_id, one row for each row of ``docs``."""
     each = written(fingerprints(docs), "marks")
-    least = each.groupBy("mark").agg(F.min("doc_id").alias("least"))
-    roots = connect(links(least.select("mark"), split_over))
-    rooted = least.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(rooted.join(ids, "root").select("mark", "component_id"), "mark").select("doc_id", "mark", "component_id")
+    least = each.groupBy("mark").agg(F.min("doc_id").alias("least")).join(rooted(each, split_over), "mark")
+    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    return each.join(least.join(ids, "root").select("mark", "component_id"), "mark").select("doc_id", "mark", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each group the row with the smallest doc_id stays.
+    """``docs`` without near copies: of each group one row stays, columns untouched.
 
-    Rows without doc_id stay all; of repeated rows with one id, one stays. Columns are untouched.
+    It is the row with the smallest doc_id (a row without one only where no other is linked to it), of rows that
+    share it the one whose text has the least hash; of rows alike in both, one. So rows are told apart by
+    doc_id and text, and two texts under one doc_id that are no near copies both stay.
     """
-    found = components(docs)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").count()
-    name = fresh(docs, "_kept_id")
-    out = docs.join(kept.select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left").where(F.col("doc_id").isNull() | F.col(name).isNotNull()).drop(name)
-    if kept.where("count > 1").limit(1).count():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    id_, one, two, text = (fresh(docs, x) for x in ("_id", "_one", "_two", "_mark"))
+    hashes = [F.xxhash64("text").alias(one), F.xxhash64(F.lit(1), "text").alias(two)]
+    each = written(fingerprints(docs.select("doc_id", *hashes, "text"), [one, two]).withColumnRenamed("doc_id", id_), "marks")
+    rows = each.groupBy("mark", id_, one, two).agg(F.count("*").alias("rows")).join(rooted(each), "mark")
+    first = F.min(F.struct(F.col(id_).isNull(), id_, one, two, "rows")).alias(text)
+    kept = rows.groupBy("root").agg(first).select(f"{text}.{id_}", f"{text}.{one}", f"{text}.{two}", F.col(f"{text}.rows").alias(text))
+    kept = written(kept, "kept").withColumnsRenamed({one: one + "k", two: two + "k"})
+    met = docs.withColumns({one: F.xxhash64("text"), two: F.xxhash64(F.lit(1), "text")})
+    met = met.join(kept, (F.col(one) == F.col(one + "k")) & (F.col(two) == F.col(two + "k")) & F.col("doc_id").eqNullSafe(F.col(id_)))
+    out = met.where(F.col(text) == 1).select(*docs.columns)
+    if kept.where(F.col(text) > 1).limit(1).count():
+        out = out.unionByName(met.where(F.col(text) > 1).dropDuplicates(["doc_id", one, two]).select(*docs.columns))
     return out

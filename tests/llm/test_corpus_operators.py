@@ -93,10 +93,41 @@ def test_components_of_documents(spark, edge):
     assert got == Counter([(1, 1), (2, 1), (9, 9), (9, 9), (4, 4), (None, 9), (None, 1), (5, 5)])
     kept = simhash.one_of_each(edge)
     assert kept.columns == edge.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 9, 4, 5, None, None])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 9, 4, 5])
     assert simhash.components(edge.limit(0)).count() == simhash.one_of_each(edge.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = ("wind and rain on the old road to the hill farm at night", "seven blue boxes stand beside a door nobody opens any more today", "quite another text that none of these is like in any way at all")
+    rows = [(7, a), (7, b), (7, b), (8, a), (None, b), (None, c), (None, c), (5, None), (6, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 2, 3, 4, 5) for i, t in rows], DOCS).repartition(3)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(7, a), (7, b), (None, c), (5, None)])
+
+
+def test_sample_looks_for_rows_that_fit(spark):
+    texts = [(i, "long " * 10_000 if i % 10 else f"short {i}") for i in range(600)] + [(0, f"again {k}") for k in range(50)] + [(10, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(700)] + [(0, 1)] * 5, "doc_id long, toxic int")
+    learnt = [i for i in range(0, 600, 10) if zlib.crc32(str(i).encode()) % 5]
+    got, y = common.labelled_sample(docs, labels, "toxic", {0: 9, 1: 1000}, 1000)
+    assert y.count(0) == 9 and y.count(1) == sum(i % 20 == 0 for i in learnt)
+    assert len(set(got)) == len(got) and all(len(x) < 1000 for x in got)
+
+
+@pytest.mark.parametrize("rows", ["edge", "empty"])
+def test_pipeline_on_edges(spark, rows, tmp_path):
+    good = "The house by the lake was sold last year, and since then nobody has seen the old owner in town. " * 6
+    docs = [(i, t, "en", s, None if t is None else len(t)) for i, t, s in EDGE] + [(20 + k, good + f"Number {k}.", None, None, None) for k in range(3)] + [(None, good, "en", "a", 3), (30, good, "en", "a", 3), (30, good, "en", "a", 3)]
+    frame = spark.createDataFrame(docs if rows == "edge" else [], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.withColumn("mix_file", F.lit(1)).withColumn("ids", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (30, 1), (None, 1), (20, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == len({r.doc_id for r in out}) and all(r.n_tokens == len(r.ids) for r in out)
+    assert {r.doc_id for r in out} <= {d[0] for d in docs} and (rows == "edge" or not out)
+
+
 def base_by_hand(docs):
     tokens = {k: [w.decode() for w in (t or "").encode().lower().split()] + [" "] for k, (_, t) in enumerate(docs)}
     seen = Counter()

@@ -80,6 +80,14 @@ def test_bpe_rows(spark, edge, empty, codec, judge):
     assert bpe.encode(empty, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_query_is_the_tokenizers(spark, judge):
+    want = {}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = judge(d.text or "")
+        want[d.doc_id] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((d.text or "").encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op4_bpe(spark, SF).collect()} == want
+
+
 def test_prefix_hashes_answer_spans_and_extensions():
     rng = random.Random(3)
     for n in (0, 1, 15, 16, 17, 400):
