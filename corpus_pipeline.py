@@ -15,23 +15,35 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the trained network predicts to be good stay; it learns from the labelled rows of ``docs``."""
+    """Texts that the trained network predicts to be good stay; it learns from the labelled rows of ``docs``.
+
+    Null and empty texts are scored like any other; without labels of both kinds every text scores alike.
+    """
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", quality_cnn.PER_CLASS, quality_cnn.MAX_BYTES)
     return quality_cnn.keep_good(docs.select(*COLUMNS), quality_cnn.fit(*sample))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts inside the thresholds of their language and source stay; the thresholds come from ``docs``."""
+    """Texts inside the thresholds of their language and source stay; the thresholds come from ``docs``.
+
+    Null and short texts fail; a null language or source is a group of its own; repeated rows are judged each.
+    """
     return rules.keep_good(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    """One document of each group of near copies stays: the row with the smallest doc_id, one of rows that are alike.
+
+    A row without doc_id stays only where no other is linked to it; empty and null texts are near copies.
+    """
     return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the sources' blocks are due: sorted across and inside the files."""
+    """All documents, in the order in which the sources' blocks are due: sorted across and inside the files.
+
+    A null source is a source of its own; null texts take no room; no row is dropped or repeated.
+    """
     return mixing.in_order(docs.select(*COLUMNS))
 
 
