@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .. import values as V
 from ..operators import evaluation as op
 from ..sources.taxonomy import built_in
@@ -89,6 +91,14 @@ def _(spark, sf):
     return op.latency_percentiles(rows(spark, sf))
 
 
+@query("latency_sketch", "SELECT engine, count(*) AS n, true AS p50_ok, true AS p95_ok, true AS p99_ok FROM result_row GROUP BY engine")
+def _(spark, sf):
+    given = rows(spark, sf)
+    daily = op.latency_sketches(given.withColumn("day", F.col("doc_id") % 30), ["engine", "day"])
+    errors = op.rank_errors(given, op.merged_percentiles(daily))
+    return errors.select("engine", "n", *[(F.col(f"p{p}_off") <= op.RANK_ERROR).alias(f"p{p}_ok") for p in (50, 95, 99)])
+
+
 @query("miss_sample", "SELECT doc_id, engine, missed FROM perdoc WHERE NOT all_ok ORDER BY doc_id, engine LIMIT 15", **X)
 def _(spark, sf):
     return op.miss_sample(outcomes(spark, sf))

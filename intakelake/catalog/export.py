@@ -9,7 +9,7 @@ from ..operators import reports as rp
 from ..sources import files as sfiles, settings as sset, sinks as sk
 from ..sources.views import raw, view
 from . import sql as S
-from .out import plain
+from .out import place, plain
 
 QUERIES, ORACLE = {}, {}
 
@@ -23,7 +23,7 @@ def query(key, oracle=None, **override):
     return add
 
 
-@query("scan_files")
+@query("list_files")
 def _(spark, sf):
     return sfiles.scan_files(spark, sf, "*.parquet").select("key", "size")
 
@@ -115,11 +115,28 @@ def _(spark, sf):
     return sk.export_chunk_rows(view(spark, sf, "cv_file").select("cv_file_id", "created_at"), F.desc("created_at"), "cv_file_id").select("cv_file_id", "chunk", "sheet_row")
 
 
-@query("write_candidates", """SELECT cv_file_id, CASE WHEN cv_file_id % 6 = 5 THEN upper(candidate_name) ELSE candidate_name END AS candidate_name, phone_number FROM candidate WHERE cv_file_id % 5 <> 4 OR cv_file_id % 6 = 5""")
+@query("write_candidates", """SELECT cv_file_id, workspace_id, CASE WHEN cv_file_id % 6 = 5 AND workspace_id % 5 = 2 THEN upper(candidate_name) ELSE candidate_name END AS candidate_name, phone_number
+   FROM candidate JOIN (SELECT cv_file_id, workspace_id FROM cv_file) f USING (cv_file_id) WHERE cv_file_id % 5 <> 4 OR (cv_file_id % 6 = 5 AND workspace_id % 5 = 2)""")
 def _(spark, sf):
-    c = view(spark, sf, "candidate").select("cv_file_id", "candidate_name", "phone_number")
-    new = c.filter("cv_file_id % 6 = 5").withColumn("candidate_name", F.upper("candidate_name"))
-    return sk.upsert_candidates(c.filter("cv_file_id % 5 <> 4"), new)
+    at = place(spark, "candidates")
+    rows = view(spark, sf, "candidate").join(view(spark, sf, "cv_file").select("cv_file_id", "workspace_id"), "cv_file_id").select("cv_file_id", "candidate_name", "phone_number", "workspace_id")
+    sk.write_candidates(rows.filter("cv_file_id % 5 <> 4"), at)
+    sk.write_candidates(rows.filter("cv_file_id % 6 = 5 AND workspace_id % 5 = 2").withColumn("candidate_name", F.upper("candidate_name")), at)
+    return spark.read.schema(rows.schema).parquet(at)
+
+
+@query("scan_files", """SELECT 's_suppkey=' || s_suppkey AS folder, strlen(s_name || s_suppkey) + 1 + CASE WHEN s_suppkey % 3 = 0 THEN 5 ELSE 0 END AS size,
+   sha256(CASE WHEN s_suppkey % 3 = 0 THEN '%PDF-' ELSE '' END || s_name || s_suppkey || chr(10)) AS sha256, CASE WHEN s_suppkey % 3 = 0 THEN 'application/pdf' END AS kind FROM supplier""")
+def _(spark, sf):
+    at = place(spark, "objects")
+    s = raw(spark, sf, "supplier")
+    body = F.concat(F.when(F.col("s_suppkey") % 3 == 0, "%PDF-").otherwise(""), "s_name", F.col("s_suppkey").cast("string"))
+    rows = s.select("s_suppkey", body.alias("value"))
+    rows.where("s_suppkey % 2 = 0").write.partitionBy("s_suppkey").text(at + "/in")
+    sfiles.refresh_manifest(spark, at + "/in", at + "/m0")
+    rows.where("s_suppkey % 2 = 1").write.mode("append").partitionBy("s_suppkey").text(at + "/in")
+    sfiles.refresh_manifest(spark, at + "/in", at + "/m1", at + "/m0")
+    return spark.read.parquet(at + "/m1").select(F.element_at(F.split("path", "/"), -2).alias("folder"), "size", "sha256", "kind")
 
 
 @query("export_log", "SELECT 7 AS user_id, 'CV Export' AS sheet_title, count(*) AS row_count FROM cv_file")

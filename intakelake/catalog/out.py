@@ -1,8 +1,12 @@
-"""Plain output columns: lists become text, timestamps become text, integers become bigint."""
+"""Plain output columns (lists become text, timestamps become text, integers become bigint), and folders to write to."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from ..session import shared_folder
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -22,3 +26,8 @@ def plain(df: DataFrame) -> DataFrame:
             c = c.cast("double")
         cols.append(c.alias(f.name))
     return df.select(*cols)
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

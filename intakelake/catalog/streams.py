@@ -5,19 +5,17 @@ Streams read the table files as a file source and write to the shared checkpoint
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import intake as oi, rates
 from ..plans.extraction import parse_documents
-from ..session import checkpointed, shared_folder, tuned
+from ..session import checkpointed, tuned
 from ..sources.files import stream_files
 from ..sources.views import raw, view
-from ..streaming import jobs as st, processors as pr
+from ..streaming import dedupe, jobs as st, processors as pr
 from . import intake as ci, sql as S
 from .extraction import ORACLE as FIELD_ORACLE
-from .out import plain
+from .out import place, plain
 
 QUERIES, ORACLE = {}, {}
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -32,11 +30,6 @@ def query(key, oracle=None, **override):
     return add
 
 
-def place(spark: SparkSession, name: str) -> str:
-    base = shared_folder(spark)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 #: Rows of one file and of one trigger in :func:`arriving`.
 FILE_ROWS, TRIGGER_ROWS = 250_000, 4_000_000
 
@@ -124,6 +117,14 @@ def _(spark, sf):
     return spark.read.parquet(at + "/out").select("workspace_id", "file_hash")
 
 
+@query("stream_dedupe_stored", "SELECT workspace_id, file_hash, min(cv_file_id) AS cv_file_id FROM cv_file GROUP BY 1, 2")
+def _(spark, sf):
+    at = place(spark, "first_arrivals")
+    files = view_stream(spark, sf, "cv_file", "orders", "o_orderkey").select("workspace_id", "file_hash", "cv_file_id")
+    dedupe.first_arrivals(files, ["workspace_id", "file_hash"], ["cv_file_id"], at, at + "-ck", 16).awaitTermination()
+    return dedupe.arrived(spark, at)
+
+
 _SESSIONS = f"""SELECT worker_id, {S.stamp('min(ts)')} AS online_from, {S.stamp("max(ts) + interval 20 second")} AS online_until, count(*) AS beats, {S.stamp('max(ts)')} AS last_beat FROM (
    SELECT *, sum(fresh) OVER (PARTITION BY worker_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY worker_id ORDER BY ts, event_id) < interval 20 second THEN 0 ELSE 1 END AS fresh FROM heartbeat) a) b
   GROUP BY worker_id, g"""

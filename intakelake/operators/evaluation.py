@@ -99,6 +99,31 @@ def latency_percentiles(rows: DataFrame, value: str = "total_ms", points: tuple
     return cum.groupBy("engine").agg((F.sum(F.col("ms") * F.col("c")) / F.sum("c")).alias("mean"), *[rank(p) for p in points], F.max("ms").alias("max"))
 
 
+#: Size of a quantile sketch, and the share of the rows by which a rank it gives may be off (with a certainty of 99 %).
+SKETCH_SIZE, RANK_ERROR = 2000, 0.002
+
+
+def latency_sketches(rows: DataFrame, keys: list[str], value: str = "total_ms") -> DataFrame:
+    """One quantile sketch for each group, of bounded size whatever the number of rows; groups merge by :func:`merged_percentiles`."""
+    return rows.groupBy(*keys).agg(F.kll_sketch_agg_bigint(F.col(value).cast("long"), SKETCH_SIZE).alias("sketch"), F.count("*").alias("n"))
+
+
+def merged_percentiles(sketches: DataFrame, points: tuple = (50, 95, 99)) -> DataFrame:
+    """Percentiles per run of any number of sketches, without going back to the rows."""
+    one = sketches.groupBy("engine").agg(F.kll_merge_agg_bigint("sketch").alias("sketch"), F.sum("n").alias("n"))
+    return one.select("engine", "n", *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(p / 100)).alias(f"p{p}") for p in points])
+
+
+def rank_errors(rows: DataFrame, estimates: DataFrame, value: str = "total_ms", points: tuple = (50, 95, 99)) -> DataFrame:
+    """How far, as a share of the rows, the rank of each estimate lies from the one asked for."""
+    met = rows.select("engine", value).join(F.broadcast(estimates), "engine")
+    out = []
+    for p in points:
+        low, high = F.count_if(F.col(value) < F.col(f"p{p}")), F.count_if(F.col(value) <= F.col(f"p{p}"))
+        out.append((F.greatest(low - F.col("n") * p / 100, F.col("n") * p / 100 - high, F.lit(0.0)) / F.col("n")).alias(f"p{p}_off"))
+    return met.groupBy("engine", "n").agg(*out)
+
+
 def miss_sample(outcomes: DataFrame, n: int = 15) -> DataFrame:
     return per_document(outcomes).filter(~F.col("all_ok")).orderBy("doc_id", "engine").limit(n).select("doc_id", "engine", "missed")
 

@@ -33,8 +33,10 @@ def taxonomy_lookup(surfaces: DataFrame, group: str | None = None) -> DataFrame:
     )
 
 
-def token_index(surfaces: DataFrame) -> DataFrame:
-    return surfaces.select("role_ord", "canonical", "family", F.explode(role_tokens(F.col("surface"))).alias("token")).distinct()
+def role_sets(surfaces: DataFrame) -> DataFrame:
+    """role_ord, canonical, family and the tokens of all names of each role."""
+    tokens = surfaces.select("role_ord", "canonical", "family", F.explode(role_tokens(F.col("surface"))).alias("token"))
+    return tokens.groupBy("role_ord", "canonical", "family").agg(F.collect_set("token").alias("tokens"))
 
 
 def role_generic(df: DataFrame, title: str, tax: Taxonomy) -> DataFrame:
@@ -71,27 +73,55 @@ def _packed(df: DataFrame, ids: list[str]) -> DataFrame:
     return df.select(*ids, F.struct(*[c for c in df.columns if c not in ids]).alias("_row"))
 
 
+def overlap_candidates(probe: DataFrame, ids: list[str], sets: DataFrame, size: int) -> DataFrame:
+    """``probe`` (with tokens ``_t``, carried in ``_row``) and, where there is one, a role of ``sets`` that may share enough of them.
+
+    Of n tokens a role must hold m, two or 60 %, so it holds at least one of any n - m + 1. These are taken
+    from the rarest on (by the number of roles that hold them), and only they meet the index. ``size`` is the
+    counted number of tokens of all roles.
+    """
+    held = sets.select("role_ord", F.explode("tokens").alias("token"))
+    spread = sized(held.groupBy("token").agg(F.count("*").alias("spread")), size)
+    n = F.size("_row._t")
+    tokens = probe.select("*", F.explode_outer("_row._t").alias("token")).join(spread, "token", "left")
+    ordered = tokens.groupBy(*ids).agg(F.first("_row").alias("_row"), F.sort_array(F.collect_list(F.struct(F.coalesce("spread", F.lit(0)).alias("spread"), "token"))).alias("_o"))
+    least = F.greatest(F.lit(2), F.ceil(n * 3 / 5)).cast("int")
+    front = F.array_distinct(F.transform(F.slice("_o", 1, F.greatest(n - least + 1, F.lit(0))), lambda x: x["token"]))
+    met = ordered.select(*ids, "_row", F.explode_outer(front).alias("token")).join(sized(held, size), "token", "left")
+    return met.groupBy(*ids, "role_ord").agg(F.first("_row").alias("_row"))
+
+
 def role_overlap(df: DataFrame, ids: list[str], title: str, tax: Taxonomy, when: Column) -> DataFrame:
     """Titles that share at least two tokens and 60 % of their tokens with a role: best coverage, first role.
 
-    An inverted index of taxonomy tokens turns the scan over all roles into an equi-join. Rows for
-    which ``when`` is false pass through unmatched.
+    Rows for which ``when`` is false pass through unmatched.
     """
-    surfaces = surface_frame(df.sparkSession, tax)
-    index = sized(token_index(surfaces), len(tax.surfaces()) * 6)
+    sets = role_sets(surface_frame(df.sparkSession, tax))
+    size = index_size(df.sparkSession, tax)
     probe = once(df, _t=F.when(when, role_tokens(F.when(F.col("rest") != "", F.col("rest")).otherwise(F.col(title)))))
-    n = F.size("_row._t")
-    rows = _packed(probe, ids).select("*", F.explode_outer("_row._t").alias("token")).join(index, "token", "left")
-    shared = rows.groupBy(*ids, "role_ord").agg(
-        F.count("*").cast("int").alias("shared"), *[F.first(c).alias(c) for c in ("canonical", "family", "_row")])
+    rows = overlap_candidates(_packed(probe, ids), ids, sets, size).join(sized(sets, size), "role_ord", "left")
+    n, shared = F.size("_row._t"), F.size(F.filter("_row._t", lambda t: F.array_contains("tokens", t)))
     fits = F.col("role_ord").isNotNull() & (F.col("shared") >= 2) & (F.col("shared") * 5 >= n * 3)
     # 0.85 x coverage, in thousandths; exact halves go down, as they do in binary floating point
     strength = F.ceil((F.col("shared") * 1700 - n) / (n * 2)).cast("int")
     hit = F.when(fits, F.struct("shared", (-F.col("role_ord")).alias("first"), "canonical", "family", strength.alias("strength")))
-    best = shared.groupBy(*ids).agg(F.first("_row").alias("_row"), F.max(hit).alias("_o"))
+    best = rows.withColumn("shared", shared).groupBy(*ids).agg(F.first("_row").alias("_row"), F.max(hit).alias("_o"))
     return best.select(*ids, "_row.*", *[F.col(f"_o.{c}").alias(f"o_{c}") for c in ("canonical", "family", "strength")]).drop("_t")
 
 
+_SIZES: dict[str, int] = {}
+
+
+def index_size(spark: SparkSession, tax: Taxonomy) -> int:
+    """Tokens of all roles of a taxonomy, counted once."""
+    text = tax.to_json()
+    if text not in _SIZES:
+        if len(_SIZES) >= 64:
+            _SIZES.clear()
+        _SIZES[text] = role_sets(surface_frame(spark, tax)).agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    return _SIZES[text]
+
+
 def role_match(df: DataFrame, ids: list[str], title: str, tax: Taxonomy) -> DataFrame:
     """Generic titles match nothing; else an exact key; else token overlap. Null titles pass through."""
     df = role_exact(role_generic(df, title, tax), title, tax)
@@ -108,14 +138,21 @@ def _cut(word: Column) -> Column:
     return F.regexp_replace(word, r"[.,].*$", "")
 
 
+def anchored(surfaces: DataFrame) -> DataFrame:
+    """Forms of three characters and more with ``low`` and ``word``, the one of their words that the fewest forms have."""
+    low = surfaces.where(F.length("surface") >= 3).withColumn("low", F.lower("surface"))
+    words = low.select("ord", F.explode(F.array_distinct(F.transform(F.filter(F.split("low", " "), lambda w: w != ""), _cut))).alias("word"))
+    spread = words.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = words.join(spread, "word").groupBy("ord").agg(F.min(F.struct("n", "word")).alias("r")).select("ord", "r.word")
+    return low.join(rarest, "ord").select("word", "surface", "low", "ord")
+
+
 def surface_scan(windows: DataFrame, ids: list[str], tax: Taxonomy, text: str = "text") -> DataFrame:
     """Add ``surface``: the longest known form (3+ characters) standing in the text as whole words, also before a dot or comma.
 
-    Words of the text are equi-joined to the first word of each form, then the whole form is verified.
+    Words of the text are equi-joined to the rarest word of each form, then the whole form is verified.
     """
-    surfaces = surface_frame(windows.sparkSession, tax).filter(F.length("surface") >= 3)
-    low = surfaces.withColumn("low", F.lower("surface")).withColumn("word", _cut(F.element_at(F.split("low", " "), 1)))
-    forms = sized(low.select("word", "surface", "low", "ord"), len(tax.surfaces()))
+    forms = sized(anchored(surface_frame(windows.sparkSession, tax)), len(tax.surfaces()))
     words = F.array_distinct(F.transform(F.filter(F.split(F.lower(text), " "), lambda w: w != ""), _cut))
     hay = F.concat(F.lit(" "), F.lower(f"_row.{text}"), F.lit(" "))
     rows = _packed(once(windows, _w=words), ids).select("*", F.explode_outer("_row._w").alias("word")).join(forms, "word", "left")

@@ -78,9 +78,24 @@ def upsert_candidates(existing: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "cv_file_id", "full").select("cv_file_id", F.coalesce("_new", "_old").alias("r")).select("cv_file_id", "r.*")
 
 
-def write_candidates(snapshot: DataFrame, path: str) -> None:
-    """Replace the touched tenants' partitions only."""
-    snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id").parquet(path)
+def write_candidates(new: DataFrame, path: str) -> None:
+    """Upsert results into a table partitioned by tenant: only the tenants of ``new`` are read and written.
+
+    ``new`` has one row per file. The merged partitions are written to the shared folder before they replace the
+    ones they were read from.
+    """
+    spark = new.sparkSession
+    merged = new
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        merged = upsert_candidates(touched_tenants(spark.read.schema(new.schema).parquet(path), new), new)
+    checkpointed(merged).repartition("workspace_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id").parquet(path)
+
+
+def touched_tenants(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of the tenants that ``new`` names. Their ids, of which the table has a folder each, prune the partitions read."""
+    ids = [r[0] for r in new.select("workspace_id").distinct().collect()]
+    return existing.where(F.col("workspace_id").isin(ids)).select(*new.columns)
 
 
 def export_log(rows: DataFrame, user_id: int, sheet: str) -> DataFrame:

@@ -108,6 +108,32 @@ def test_overlap_equals_nested_loops(spark):
         assert abs(strength - 850 * best / len(probe)) <= 0.5
 
 
+def test_overlap_asks_few_roles(spark):
+    """Rare tokens are asked first: many roles share common ones, few are candidates, and none that fits is missing."""
+    kinds = [f"Kind{i}" for i in range(60)]
+    roles = [{"canonical": f"{k} {common} Developer", "aliases": []} for k in kinds for common in ("Web", "Data")] + [{"canonical": "Web Developer", "aliases": ["Site Developer"]}]
+    tax = Taxonomy("1", [{"family": "All", "roles": roles}])
+    titles = ["Kind7 Web Developer", "Kind7 Developer", "Web Developer", "Developer", "Other Web Thing Developer Person", "Kind1 Kind2 Kind3 Data", "Nothing known here", "Kind5 Web Kind5 Developer", "", "Senior Site Web Developer"]
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, title string").withColumn("rest", F.col("title"))
+    sets = tx.role_sets(tx.surface_frame(spark, tax))
+    size = tx.index_size(spark, tax)
+    assert size == sum(len(r.tokens) for r in sets.collect()) and size <= tx.BROADCAST_ROWS
+    probe = tx._packed(df.withColumn("_t", role_tokens(F.col("title"))), ["id"])
+    asked: dict = {}
+    for r in tx.overlap_candidates(probe, ["id"], sets, size).where("role_ord is not null").collect():
+        asked.setdefault(r.id, set()).add(r.role_ord)
+    by_role = {r.role_ord: set(r.tokens) for r in sets.collect()}
+    tokens = {r.id: r.t for r in df.select("id", role_tokens(F.col("title")).alias("t")).collect()}
+    for i, t in tokens.items():
+        fits = {o for o, ts in by_role.items() if sum(x in ts for x in t) >= max(2, 0.6 * len(t))}
+        assert fits <= asked.get(i, set())
+    assert len(asked[0]) <= 2 + 61 and len(asked[1]) <= 2 and len(asked.get(3, ())) == 0 and 6 not in asked
+    out = {r.id: r.o_canonical for r in tx.role_overlap(df, ["id"], "title", tax, F.lit(True)).collect()}
+    for i, t in tokens.items():
+        cover = sorted(((-sum(x in ts for x in t), o) for o, ts in by_role.items() if sum(x in ts for x in t) >= max(2, 0.6 * len(t))))
+        assert out[i] == (roles[cover[0][1]]["canonical"] if cover else None)
+
+
 LINES = ["looking for a data analyst.", "node.js developer, remote", "senior accountant", "an sre or dba", "xdata analyst", "data analystx", "ba", "c# developer",
          ".net developer", "work as data  analyst", "Full Stack Developer with data analyst, and more", "developer", ""]
 
@@ -123,6 +149,19 @@ def test_scan_equals_nested_loops(spark):
         assert got[i] == want, line
 
 
+def test_forms_stand_on_their_rarest_word(spark):
+    names = [f"Senior Data {x} Lead" for x in ("Zeta", "Eta", "Theta", "Iota")] + [f"Senior {i} Analyst" for i in range(100, 160)] + ["Senior", "Data Lead", ".Net Data Lead"]
+    tax = Taxonomy("1", [{"family": "All", "roles": [{"canonical": n, "aliases": []} for n in names]}])
+    forms = tx.anchored(tx.surface_frame(spark, tax))
+    words = [r.word for r in forms.collect()]
+    assert len(words) == len(names) and max(words.count(w) for w in set(words)) <= 2  # first words would put 65 of 67 on one
+    lines = ["a senior data eta lead.", "senior 120 analyst, or senior 121", "data lead", "work on .net data lead", "senior data", "xsenior datax leads", "senior  120 analyst"]
+    got = {r.id: r.surface for r in tx.surface_scan(spark.createDataFrame(list(enumerate(lines)), "id long, text string"), ["id"], tax).collect()}
+    order = sorted(enumerate(names), key=lambda x: (-len(x[1]), x[0]))
+    for i, line in enumerate(lines):
+        assert got[i] == next((n for _, n in order if any(f" {n.lower()}{e}" in f" {line} " for e in " .,")), None), line
+
+
 def test_custom_taxonomy(spark):
     tax = Taxonomy.from_json('{"version": "2", "families": [{"family": "Sea", "roles": [{"canonical": "Deck Officer", "aliases": ["Mate"]}]}], "seniorityPrefixes": ["Chief"], "genericRejects": []}')
     t = texts(spark, {"a": "Asha Rao\nApplied For: Chief Mate"})

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 REPEATS = {"ocr_penalty", "assemble", "low_ocr_review", "final_status", "stream_extract", "role_tier1", "role_tier2", "role_tier3", "role_tier4",
            "name_alternatives", "role_alternatives", "phone_alternatives", "name_ocr_fix", "name_corroborate", "name_merge", "prf", "rescore"}
 #: Lists the files of a folder, which SQL over the tables cannot.
-NO_SQL = {"scan_files"}
+NO_SQL = {"list_files"}
 KEYS = [k for k in queries() if k not in REPEATS | NO_SQL]
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import glob
+import hashlib
 import json
+import os
+import random
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from intakelake.operators import intake, reports as r, textprep
+from intakelake import values
+from intakelake.operators import evaluation, intake, reports as r, textprep
 from intakelake.sources import files, sinks
 from intakelake.sources.views import view
 
@@ -50,6 +55,70 @@ def test_snapshot_overwrites_touched_tenants_only(spark):
     assert {(x.workspace_id, x.v) for x in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c")}
 
 
+def test_upsert_reads_and_writes_touched_tenants_only(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    kind = "cv_file_id int, v string, workspace_id int"
+    sinks.write_candidates(spark.createDataFrame([(i, f"old {i}", i % 5) for i in range(40)], kind), path)
+    files = lambda: {w: {(f, os.path.getmtime(f)) for f in glob.glob(f"{path}/workspace_id={w}/*.parquet")} for w in range(5)}
+    before = files()
+    new = spark.createDataFrame([(3, "new 3", 3), (8, "new 8", 3), (101, "new 101", 1)], kind)
+    plan = sinks.touched_tenants(spark.read.schema(kind).parquet(path), new)._jdf.queryExecution().executedPlan().toString()
+    assert "workspace_id" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    sinks.write_candidates(new, path)
+    after = files()
+    assert all((after[w] == before[w]) == (w not in (1, 3)) for w in range(5))
+    want = {i: f"old {i}" for i in range(40)} | {3: "new 3", 8: "new 8", 101: "new 101"}
+    assert {r.cv_file_id: r.v for r in spark.read.parquet(path).collect()} == want and spark.read.parquet(path).count() == len(want)
+
+
+def test_manifest_reads_what_changed(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    old, now = 1_700_000_000, 1_700_001_000
+
+    def put(name, content, at):
+        os.makedirs(os.path.dirname(f"{folder}/in/{name}"), exist_ok=True)
+        with open(f"{folder}/in/{name}", "wb") as f:
+            f.write(content)
+        os.utime(f"{folder}/in/{name}", (at, at))
+
+    def held(k):
+        return {r.path.split("/in/")[1]: (r.size, r.sha256, r.kind) for r in spark.read.parquet(f"{folder}/m{k}").collect()}
+
+    said = lambda content, kind=None: (len(content), hashlib.sha256(content).hexdigest(), kind)
+    put("a.pdf", b"%PDF-1.7 a", old)
+    put("x/b.docx", b"PK\x03\x04 b", old)
+    put("c.txt", b"c", now)
+    put("empty.txt", b"", now)
+    put("gone.txt", b"gone", old)
+    files.refresh_manifest(spark, folder + "/in", folder + "/m0")
+    assert held(0) == {"a.pdf": said(b"%PDF-1.7 a", "application/pdf"), "x/b.docx": said(b"PK\x03\x04 b", values.EXTENSION_MIME[".docx"]), "c.txt": said(b"c"), "gone.txt": said(b"gone")}
+    put("a.pdf", b"%PDF-1.7 z", old)  # neither size nor time tell, so it is not read
+    put("c.txt", b"more", now + 5)
+    put("late.txt", b"copied with its old time", old - 50)
+    put("same.txt", b"of the newest time known", now)
+    os.remove(f"{folder}/in/gone.txt")
+    files.refresh_manifest(spark, folder + "/in", folder + "/m1", folder + "/m0")
+    want = held(0) | {"c.txt": said(b"more"), "late.txt": said(b"copied with its old time"), "same.txt": said(b"of the newest time known")}
+    assert held(1) == {k: v for k, v in want.items() if k != "gone.txt"}
+    files.refresh_manifest(spark, folder + "/in", folder + "/m2", folder + "/m1")
+    assert held(2) == held(1) and spark.read.parquet(folder + "/m2").count() == 5
+
+
+def test_sketches_merge_within_their_bound(spark):
+    rng = random.Random(2)
+    rows = [("a", d, int(rng.lognormvariate(5, 1.5))) for d in range(40) for _ in range(rng.randrange(900))] + [("b", 0, 7)] * 500 + [("c", d, d) for d in range(3)]
+    given = spark.createDataFrame(rows, "engine string, day int, total_ms long")
+    sketches = evaluation.latency_sketches(given, ["engine", "day"])
+    got = {r.engine: r for r in evaluation.merged_percentiles(sketches).collect()}
+    assert got["b"][2:] == (7, 7, 7) and got["a"].n == sum(r[0] == "a" for r in rows)
+    for r in evaluation.rank_errors(given, evaluation.merged_percentiles(sketches)).collect():
+        assert max(r.p50_off, r.p95_off, r.p99_off) <= evaluation.RANK_ERROR
+    values_ = sorted(x for e, _, x in rows if e == "a")
+    for p in (50, 95, 99):
+        rank = sum(x <= got["a"][f"p{p}"] for x in values_) / len(values_)
+        assert abs(rank - p / 100) <= evaluation.RANK_ERROR + values_.count(got["a"][f"p{p}"]) / len(values_)
+
+
 def test_csv_file(spark):
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     df = spark.createDataFrame([(2, '=1+1'), (1, 'say "hi", twice'), (3, "+91 98123-45670"), (4, None)], "k int, Name string")

@@ -16,7 +16,7 @@ from intakelake.operators import rates
 from intakelake.session import tuned
 from intakelake.sources.files import stream_files
 from intakelake.sources.views import view
-from intakelake.streaming import jobs as st, processors as pr
+from intakelake.streaming import dedupe, jobs as st, processors as pr
 from intakelake.streaming.store import KeyedStore
 
 SF = "/root/testdata/sf0.001"
@@ -163,6 +163,31 @@ def test_dedupe(spark):
     assert got.count() == f.select("workspace_id", "file_hash").distinct().count()
 
 
+def test_first_arrivals_are_exact(spark):
+    rng = random.Random(5)
+    parts = [[(rng.randrange(5), f"h{rng.randrange(300)}", n * 1000 + i) for i in range(200)] for n in range(4)]
+    parts.insert(2, parts[1])  # a trigger of nothing but repeats
+    at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    frames = [spark.createDataFrame(p, "tenant int, hash string, id long") for p in parts]
+    dedupe.first_arrivals(arrive(spark, frames), ["tenant", "hash"], ["id"], at + "/t", at + "/c", 4).awaitTermination()
+    want, rows = {}, [x for p in parts for x in sorted(p, key=lambda x: x[2])]
+    for tenant, h, i in rows:
+        want.setdefault((tenant, h), i)
+    got = {(r.tenant, r.hash): r.id for r in dedupe.arrived(spark, at + "/t").collect()}
+    assert got == want and dedupe.arrived(spark, at + "/t").count() == len(want)
+    # the filter has a stated size, passes every key it was given, and hardly any other
+    filters = spark.read.schema(dedupe.FILTER).parquet(at + "/t/filter/batch=4")
+    assert filters.count() <= dedupe.BITS // dedupe.ROW and {r[0] for r in filters.select(F.length("bits")).collect()} == {dedupe.ROW // 8}
+    keys = spark.createDataFrame([*want, *[(9, f"h{i}") for i in range(3000)]], "tenant int, hash string")
+    hits = {tuple(r) for r in dedupe.suspects(keys, ["tenant", "hash"], filters).collect()}
+    assert set(want) <= hits and len(hits - set(want)) <= 3
+    # one that says yes to everything changes nothing but the work
+    full = spark.createDataFrame([(i, bytearray(b"\xff" * (dedupe.ROW // 8))) for i in range(dedupe.BITS // dedupe.ROW)], dedupe.FILTER)
+    assert dedupe.suspects(keys, ["tenant", "hash"], full).count() == keys.count()
+    store = dedupe.seen_contents(at + "/t", frames[0].schema, ["tenant", "hash"], 4)
+    assert {tuple(r) for r in store.held(keys, 5).collect()} == set(want)
+
+
 EVENT = "event_id long, cv_file_id long, status string, attempts long, max_attempts long, t string"
 
 
