@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from .. import values as V
@@ -72,12 +74,21 @@ def _(spark, sf):
     return op.parse_count(files(spark, sf), jobs(spark, sf)).select("cv_file_id", "parse_count")
 
 
+def after_the_second_page(spark, sf, f):
+    """The third page, from the last row of the second."""
+    given, candidates = files(spark, sf, TENANT), view(spark, sf, "candidate")
+    last = op.candidate_page(given, candidates, replace(f, page=2)).select(F.col(op.SORTS[f.sort]).cast("double" if f.sort == "overallConfidence" else "string").alias("v"), "cv_file_id").collect()[-1:]
+    return op.candidate_page_after(given, candidates, f, last[0].v, last[0].cv_file_id) if last else op.candidate_page(given, candidates, f)
+
+
 for _sort, _col in op.SORTS.items():
     for _order in ("asc", "desc"):
         _f = CandidateFilters(sort=_sort, order=_order, page=3, page_size=25)
         _nulls = "LAST" if _order == "asc" or _sort == "processedAt" else "FIRST"
         query(f"candidate_page_{_col}_{_order}", f"SELECT {SHOW_SQL} FROM allrows WHERE workspace_id = 7 ORDER BY allrows.{_col} {_order} NULLS {_nulls}, cv_file_id LIMIT 25 OFFSET 50", allrows=_ROWS)(
             lambda spark, sf, f=_f: op.candidate_page(files(spark, sf, TENANT), view(spark, sf, "candidate"), f).select(SHOW))
+        query(f"candidate_page_after_{_col}_{_order}", f"SELECT {SHOW_SQL} FROM allrows WHERE workspace_id = 7 ORDER BY allrows.{_col} {_order} NULLS {_nulls}, cv_file_id LIMIT 25 OFFSET 50", allrows=_ROWS)(
+            lambda spark, sf, f=_f: after_the_second_page(spark, sf, f).select(SHOW))
 
 
 @query("candidate_page", "SELECT count(*) AS total, greatest(1, ceil(count(*) / 25.0))::bigint AS pages FROM allrows WHERE workspace_id = 7 AND status = 'NEEDS_REVIEW'", allrows=_ROWS)

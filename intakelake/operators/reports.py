@@ -128,11 +128,25 @@ def candidate_page(files: DataFrame, candidates: DataFrame, f: CandidateFilters)
     return with_candidates(page, _of(candidates, page)).orderBy(*ordering(f))
 
 
-def candidate_page_after(files: DataFrame, candidates: DataFrame, f: CandidateFilters, created_at: str, cv_file_id: int) -> DataFrame:
-    """The page after a given row in descending order of arrival: the same cost however deep it lies."""
-    at = _ts(created_at)
-    later = (F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("cv_file_id") > cv_file_id))
-    return candidate_page(files.filter(later), candidates, replace(f, page=1, sort="createdAt", order="desc"))
+def _after(f: CandidateFilters, value: str | float | None, cv_file_id: int) -> Column:
+    """Rows that come behind a given one in the order of ``f``; the value may be null."""
+    c, later = F.col(SORTS[f.sort]), F.col("cv_file_id") > cv_file_id
+    nulls_last = f.order == "asc" or f.sort == "processedAt"
+    if value is None:
+        behind = c.isNull() & later
+        return behind if nulls_last else behind | c.isNotNull()
+    at = _ts(value) if f.sort in ("createdAt", "processedAt") else F.lit(value)
+    behind = ((c > at) if f.order == "asc" else (c < at)) | ((c == at) & later)
+    return F.coalesce(behind | c.isNull() if nulls_last else behind, F.lit(nulls_last))
+
+
+def candidate_page_after(files: DataFrame, candidates: DataFrame, f: CandidateFilters, value: str | float | None, cv_file_id: int) -> DataFrame:
+    """The page after the row of this id and value of the sort column: the same cost however deep it lies."""
+    if f.sort in CANDIDATE_SORTS:
+        rows = selection(files, candidates, f)
+        rows = rows if f.role or f.q else with_candidates(rows, candidates)
+        return rows.where(_after(f, value, cv_file_id)).orderBy(*ordering(f)).limit(f.page_size)
+    return candidate_page(files.filter(_after(f, value, cv_file_id)), candidates, replace(f, page=1))
 
 
 def _of(candidates: DataFrame, page: DataFrame) -> DataFrame:

@@ -123,13 +123,15 @@ def role_best(docs: DataFrame, cands: DataFrame) -> DataFrame:
         .withColumn("_same", F.lower("role") == F.lower("_best.role")).withColumn("_rival", (F.col("tier") == F.col("_best.tier")) & ~F.col("_same"))
         .withColumn("_new", F.row_number().over(Window.partitionBy("doc_id", F.lower("role")).orderBy("rank")) == 1)
     )
+    # of the roles that differ, only the three that are shown are gathered
+    df = df.withColumn("_nth", F.sum((F.col("_new") & ~F.col("_same")).cast("int")).over(Window.partitionBy("doc_id").orderBy("rank")))
     capped = F.least("points", _ceiling(F.col("tier")))
-    alt = F.when(F.col("_new") & ~F.col("_same"), F.struct("rank", F.col("role").alias("value"), _to3(capped).alias("confidence")))
+    alt = F.when(F.col("_new") & ~F.col("_same") & (F.col("_nth") <= 3), F.struct("rank", F.col("role").alias("value"), _to3(capped).alias("confidence")))
     per_doc = df.groupBy("doc_id").agg(
         F.first("_best").alias("b"),
         F.max(F.col("_same") & (F.col("tier") != F.col("_best.tier"))).alias("second_tier"),
         F.max(F.when(F.col("_rival"), F.col("points"))).alias("rival"),
-        F.slice(F.sort_array(F.collect_list(alt)), 1, 3).alias("_alts"),
+        F.sort_array(F.collect_list(alt)).alias("_alts"),
     )
     ceiling = _ceiling(F.col("b.tier"))
     conf = F.least("b.points", ceiling)

@@ -8,11 +8,13 @@ import json
 import os
 import random
 import tempfile
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from intakelake import values
+from intakelake.functions.text import normalize_chars, strip_blank
 from intakelake.operators import evaluation, intake, reports as r, textprep
 from intakelake.sources import files, sinks
 from intakelake.sources.views import view
@@ -119,6 +121,33 @@ def test_sketches_merge_within_their_bound(spark):
         assert abs(rank - p / 100) <= evaluation.RANK_ERROR + values_.count(got["a"][f"p{p}"]) / len(values_)
 
 
+def test_texts_without_repeats_are_cleaned_alike(spark):
+    rng = random.Random(9)
+    bits = ["", " ", "\n", "\r\n", "\n\n", "\n \n", "\t", "\x0b", "\u00a0", "\u2003\n", "\r", "a", "word", "long line that may well stand here twice, or not", "long line of another kind, which is also over the limit", "é"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(25)))) for i in range(700)] + [(700, None), (701, ""), (702, " \n \n"), (703, "x" + " " * 50_000 + "y\n" * 3)]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in textprep.normalize_text(given, compose=False).collect()}
+    lines = textprep._clean_lines(given.select("doc_id", normalize_chars(F.col("text"), compose=False).alias("text")))
+    want = {r.doc_id: r.t for r in lines.select("doc_id", strip_blank(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("t")).collect()}
+    assert got == want and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("sort,order", [(s, o) for s in r.SORTS for o in ("asc", "desc")])
+def test_pages_follow_each_other(spark, sort, order):
+    rows = [(i, 7, datetime(2024, 1, 1) + timedelta(days=i % 4)) for i in range(23)]
+    cands = [(i, None if i % 5 == 0 else f"n{i % 3}", None if i % 4 == 1 else i % 3 / 4, None if i % 6 == 2 else datetime(2024, 2, 1 + i % 5)) for i in range(23) if i % 7]
+    given = spark.createDataFrame(rows, "cv_file_id long, workspace_id int, created_at timestamp").coalesce(1)
+    candidates = spark.createDataFrame(cands, "cv_file_id long, candidate_name string, overall_confidence double, processed_at timestamp").coalesce(1)
+    f = r.CandidateFilters(sort=sort, order=order, page=1, page_size=5)
+    whole = [x.cv_file_id for x in r.with_candidates(given, candidates).orderBy(*r.ordering(f)).collect()]
+    seen, page = [], r.candidate_page(given, candidates, f).collect()
+    while page:
+        seen += [x.cv_file_id for x in page]
+        last = page[-1][r.SORTS[sort]]
+        page = r.candidate_page_after(given, candidates, f, str(last) if isinstance(last, datetime) else last, page[-1].cv_file_id).collect()
+    assert seen == whole
+
+
 def test_csv_file(spark):
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     df = spark.createDataFrame([(2, '=1+1'), (1, 'say "hi", twice'), (3, "+91 98123-45670"), (4, None)], "k int, Name string")
