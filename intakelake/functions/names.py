@@ -9,6 +9,10 @@ from .regex import matches, squeeze, sub
 from .stage import once
 
 
+#: A name holds letters, joiners and quotes only.
+NAME_CHARS = r"^[\p{L}'’.,|•·–—\s-]+$"
+
+
 def strip_contact(line: Column) -> Column:
     """Drop e-mails, digit runs and URLs from a contact line."""
     s = sub(line, V.EMAIL, " ")
@@ -31,8 +35,8 @@ def clean_names(df: DataFrame, raw: str, out: str = "name") -> DataFrame:
     """Keep the rows whose ``raw`` text is name-shaped and add the cleaned name."""
     s = squeeze(F.regexp_replace(F.col(raw), V.NAME_JOINERS, " "))
     s = F.trim(sub(sub(s, V.NAME_HONORIFIC, ""), V.NAME_SUFFIX, ""))
-    # a name holds letters, joiners and quotes only: most texts stop at this one cheap test
-    df = once(df.filter(F.col(raw).rlike(r"^[\p{L}'’.,|•·–—\s-]+$")), _s=s).filter(F.length("_s").between(3, 60))
+    # most texts stop at this one cheap test
+    df = once(df.filter(F.col(raw).rlike(NAME_CHARS)), _s=s).filter(F.length("_s").between(3, 60))
     df = once(df, _w=F.filter(F.split("_s", " "), lambda w: w != "")).filter(F.size("_w").between(1, 5))
     df = df.filter(~matches(F.col("_s"), V.NOT_A_NAME))
     df = once(df, _w=F.transform("_w", title_case_name)).filter(F.forall("_w", lambda w: w.rlike(V.NAME_TOKEN)))

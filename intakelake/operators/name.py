@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import values as V
-from ..functions.names import clean_names, correct_spelling, email_tokens, file_tokens, strip_contact
+from ..functions.names import NAME_CHARS, clean_names, correct_spelling, email_tokens, file_tokens, strip_contact
 from ..functions.regex import matches
 from ..functions.stage import once
 from .phone import rank_candidates, top_and_rest
@@ -53,7 +53,8 @@ def name_hits(lines: DataFrame) -> DataFrame:
         hit(3, body & (F.col("section") == "personal_details"), F.when(named, F.col("value")).otherwise(text), F.lit(P["details"]), "contact_section",
             F.lit("in the personal details section")),
         hit(4, body & F.col("beside_email"), plain, F.lit(P["adjacent"]), "contact_section", F.lit("adjacent to the contact line")),
-        hit(FALLBACK, body & (F.col("section") != "references") & F.length(trimmed).between(1, 40), trimmed, F.lit(P["fallback"]), "heuristic",
+        # what holds no name's characters, or but one word, cannot count in the end
+        hit(FALLBACK, body & (F.col("section") != "references") & F.length(trimmed).between(1, 40) & trimmed.rlike(NAME_CHARS) & trimmed.rlike(r"[\s,|•·–—]"), trimmed, F.lit(P["fallback"]), "heuristic",
             F.concat(F.lit("isolated name-shaped line "), idx_s, F.lit(", corroborated (header window found nothing)"))),
     ))
     rows = df.select("doc_id", "idx", F.explode(hits).alias("h")).select("doc_id", "idx", "h.*")

@@ -12,6 +12,7 @@ from ..functions.regex import group, matches
 from ..functions.stage import once
 from ..functions.titles import clean_title, is_title, present_role, title_case, title_shaped
 from ..sources.taxonomy import Taxonomy
+from ..session import checkpointed
 from .taxonomy import role_match, surface_scan
 
 P = V.ROLE_POINTS
@@ -78,28 +79,42 @@ def _intent_rows() -> Column:
 def role_candidates(lines: DataFrame, tax: Taxonomy) -> DataFrame:
     """Admitted candidates with their taxonomy match, displayed value and points.
 
-    One pass: scanned rows take the title found in them, and a header line is probed both
-    as written (it must resolve to a role) and cleaned.
+    Scanned rows take the title found in them.
     """
     rows = surface_scan(role_evidence(lines), ["doc_id", "seq"], tax, "scan")
     rows = rows.withColumn("raw", F.coalesce("raw", "surface")).drop("scan", "surface").filter(F.col("raw").isNotNull())
     return role_admit(rows, tax)
 
 
-def role_admit(phrases: DataFrame, tax: Taxonomy) -> DataFrame:
-    """Clean, reject placeholders, resolve to the taxonomy; keep what resolves or reads like a job title."""
-    c = once(phrases, title=clean_title(F.col("raw"))).filter(is_title(F.col("title")))
-    as_written = F.when((F.col("tier") == 4) & (F.col("raw") != F.col("title")), F.col("raw"))
+def resolved_phrases(phrases: DataFrame, tax: Taxonomy) -> DataFrame:
+    """raw, header, role, m_* and match strength of each distinct phrase that resolves or reads like a job title.
+
+    People write the same titles over and over, so phrases are cleaned and matched once each, not once a place.
+    A header line is probed both as written (it must resolve to a role) and cleaned.
+    """
+    c = once(phrases.select("raw", (F.col("tier") == 4).alias("header")).distinct(), title=clean_title(F.col("raw"))).filter(is_title(F.col("title")))
+    as_written = F.when(F.col("header") & (F.col("raw") != F.col("title")), F.col("raw"))
     probes = F.array_compact(F.array(F.col("title"), as_written))
-    m = role_match(c.select("*", F.posexplode(probes).alias("probe_no", "probe")), ["doc_id", "seq", "probe_no"], "probe", tax)
-    cols = [x for x in m.columns if x not in ("doc_id", "seq", "probe_no", "probe")]
-    both = m.groupBy("doc_id", "seq").agg(
-        F.min_by(F.struct(*cols), "probe_no").alias("_m"), F.min(F.col("m_canonical").isNotNull()).alias("_all")).select("doc_id", "seq", "_m.*", "_all")
+    m = role_match(c.select("*", F.posexplode(probes).alias("probe_no", "probe")), ["raw", "header", "probe_no"], "probe", tax)
+    cols = [x for x in m.columns if x not in ("raw", "header", "probe_no", "probe")]
+    both = m.groupBy("raw", "header").agg(
+        F.min_by(F.struct(*cols), "probe_no").alias("_m"), F.min(F.col("m_canonical").isNotNull()).alias("_all")).select("raw", "header", "_m.*", "_all")
+    hit = F.col("m_canonical").isNotNull()
+    kept = both.filter(~F.col("m_generic") & (hit | title_shaped(F.col("title"))) & (~F.col("header") | F.col("_all")))
+    role = F.when(hit, present_role(F.col("m_canonical"), F.col("m_seniority"))).otherwise(title_case(F.col("title")))
+    return kept.select("raw", "header", role.alias("role"), "m_canonical", "m_family", "m_kind", "m_strength")
+
+
+def role_admit(phrases: DataFrame, tax: Taxonomy) -> DataFrame:
+    """Clean, reject placeholders, resolve to the taxonomy; keep what resolves or reads like a job title.
+
+    The phrases are written once and read twice: for what they say, and to be joined with it.
+    """
+    given = checkpointed(phrases)
+    both = given.withColumn("header", F.col("tier") == 4).join(resolved_phrases(given, tax), ["raw", "header"])
     hit = F.col("m_canonical").isNotNull()
     return (
-        both.filter(~F.col("m_generic") & (hit | title_shaped(F.col("title"))) & ((F.col("tier") != 4) | F.col("_all")))
-        .withColumn("role", F.when(hit, present_role(F.col("m_canonical"), F.col("m_seniority"))).otherwise(title_case(F.col("title"))))
-        .withColumn("points", F.col("points") * UNIT + F.coalesce(F.col("m_strength") * P["match"], F.lit(0)))
+        both.withColumn("points", F.col("points") * UNIT + F.coalesce(F.col("m_strength") * P["match"], F.lit(0)))
         .withColumn("signals", F.when(hit, F.array("signal", F.lit("taxonomy_match"))).otherwise(F.array("signal")))
         .withColumn("why", F.when(hit, F.concat("why", F.lit('; resolved to taxonomy entry "'), "m_canonical", F.lit('" ('), "m_kind", F.lit(")")))
                     .otherwise(F.concat("why", F.lit("; no taxonomy entry, kept as written"))))

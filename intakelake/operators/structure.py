@@ -46,8 +46,13 @@ def doc_lines(texts: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return rows.withColumns({c: F.when(F.col("idx") == 0, F.col(c)) for c in keep}) if keep else rows
 
 
+# Marks, digits and blanks: a line that neither begins nor ends with one has nothing to strip.
+EDGE = r"[\s\d*#|<>~=_·•▪◦\-–—:\u0085\u2028\u2029]"
+
+
 def strip_decoration(line: Column) -> Column:
-    return F.trim(sub(sub(sub(line, V.LEAD_MARKS, ""), V.TRAIL_MARKS, ""), V.LIST_NUMBER, ""))
+    bare = F.trim(sub(sub(sub(line, V.LEAD_MARKS, ""), V.TRAIL_MARKS, ""), V.LIST_NUMBER, ""))
+    return F.when(F.concat(F.left(line, F.lit(1)), F.right(line, F.lit(1))).rlike(EDGE), bare).otherwise(line)
 
 
 def detect_section(bare: Column) -> Column:
@@ -81,15 +86,13 @@ def header_bounds(lines: DataFrame) -> DataFrame:
 
 def label_value(lines: DataFrame) -> DataFrame:
     """``Label: value``, else a known label followed by its value with no separator."""
+    # no separator, no label; and what a pattern captures second is looked for only where it captured something first
     body = F.when(~F.col("is_heading"), F.col("text"))
-    marked = once(lines, _l=group(body, V.LABEL_LINE, 1), _v=group(body, V.LABEL_LINE, 2))
+    marked = once(lines, _l=group(F.when(body.rlike("[:\\-–—]"), body), V.LABEL_LINE, 1))
     bare = F.when(F.col("_l").isNull(), body)
-    return once(
-        marked,
-        separated=F.col("_l").isNotNull(),
-        label=F.trim(F.coalesce("_l", group(bare, V.BARE_LABEL_LINE, 1))),
-        value=F.trim(F.coalesce("_v", group(bare, V.BARE_LABEL_LINE, 2))),
-    ).drop("_l", "_v")
+    marked = once(marked, _b=group(bare, V.BARE_LABEL_LINE, 1))
+    value = F.when(F.col("_l").isNotNull(), group(F.col("text"), V.LABEL_LINE, 2)).when(F.col("_b").isNotNull(), group(F.col("text"), V.BARE_LABEL_LINE, 2))
+    return once(marked, separated=F.col("_l").isNotNull(), label=F.trim(F.coalesce("_l", "_b")), value=F.trim(value)).drop("_l", "_b")
 
 
 def line_emails(text: Column) -> Column:

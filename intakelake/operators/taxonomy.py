@@ -155,12 +155,16 @@ def surface_scan(windows: DataFrame, ids: list[str], tax: Taxonomy, text: str =
     forms = sized(anchored(surface_frame(windows.sparkSession, tax)), len(tax.surfaces()))
     words = F.array_distinct(F.transform(F.filter(F.split(F.lower(text), " "), lambda w: w != ""), _cut))
     hay = F.concat(F.lit(" "), F.lower(f"_row.{text}"), F.lit(" "))
-    rows = _packed(once(windows, _w=words), ids).select("*", F.explode_outer("_row._w").alias("word")).join(forms, "word", "left")
+    # a row goes on once as itself, and beside it only the forms that stand in it
+    each = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("_row._w", F.array().cast("array<string>")))
+    rows = _packed(once(windows, _w=words), ids).select("*", F.explode(each).alias("word")).join(forms, "word", "left")
     stands = F.lit(False)
     for end in (" ", ".", ","):
         stands = stands | F.contains(hay, F.concat(F.lit(" "), F.col("low"), F.lit(end)))
-    hit = F.when(stands, F.struct(F.length("surface").alias("n"), (-F.col("ord")).alias("o"), "surface"))
-    return rows.groupBy(*ids).agg(F.first("_row").alias("_row"), F.max(hit).alias("_h")).select(
+    own = F.col("word").isNull()
+    hit = F.when(~own, F.struct(F.length("surface").alias("n"), (-F.col("ord")).alias("o"), "surface"))
+    met = rows.where(own | F.coalesce(stands, F.lit(False))).select(*ids, F.when(own, F.col("_row")).alias("_row"), hit.alias("_h"))
+    return met.groupBy(*ids).agg(F.first("_row", ignorenulls=True).alias("_row"), F.max("_h").alias("_h")).select(
         *ids, "_row.*", F.col("_h.surface").alias("surface")).drop("_w")
 
 
