@@ -11,6 +11,10 @@ from .stage import once
 
 #: A name holds letters, joiners and quotes only.
 NAME_CHARS = r"^[\p{L}'’.,|•·–—\s-]+$"
+_TOKEN = V.NAME_TOKEN.replace("^", "").replace("$", "")
+#: Every word of a text of single blanks is a name's word; and every word is cased as it stays.
+NAME_WORDS = f"^(?:{_TOKEN})(?: (?:{_TOKEN}))*$"
+CASED_WORDS = r"^\p{Lu}\p{Ll}[^ ]*+(?: \p{Lu}\p{Ll}[^ ]*+)*$"
 
 
 def strip_contact(line: Column) -> Column:
@@ -37,10 +41,10 @@ def clean_names(df: DataFrame, raw: str, out: str = "name") -> DataFrame:
     s = F.trim(sub(sub(s, V.NAME_HONORIFIC, ""), V.NAME_SUFFIX, ""))
     # most texts stop at this one cheap test
     df = once(df.filter(F.col(raw).rlike(NAME_CHARS)), _s=s).filter(F.length("_s").between(3, 60))
-    df = once(df, _w=F.filter(F.split("_s", " "), lambda w: w != "")).filter(F.size("_w").between(1, 5))
-    df = df.filter(~matches(F.col("_s"), V.NOT_A_NAME))
-    df = once(df, _w=F.transform("_w", title_case_name)).filter(F.forall("_w", lambda w: w.rlike(V.NAME_TOKEN)))
-    return df.withColumn(out, F.array_join("_w", " ")).drop("_s", "_w")
+    df = df.filter(F.size(F.split("_s", " ")) <= 5).filter(~matches(F.col("_s"), V.NOT_A_NAME))
+    recased = F.array_join(F.transform(F.split("_s", " "), title_case_name), " ")
+    df = once(df, **{out: F.when(F.col("_s").rlike(CASED_WORDS), F.col("_s")).otherwise(recased)})
+    return df.filter(F.col(out).rlike(NAME_WORDS)).drop("_s")
 
 
 def email_tokens(email: Column) -> Column:

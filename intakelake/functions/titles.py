@@ -49,8 +49,7 @@ def clean_title(raw: Column) -> Column:
 def is_title(s: Column) -> Column:
     letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
     solid = F.length(F.regexp_replace(s, r"\s", ""))
-    words = F.filter(F.split(s, " "), lambda w: w != "")
-    return F.length(s).between(3, 60) & (F.size(words) <= 6) & ~s.rlike(r"(?i)@|https?:|\d{4,}") & (letters * 4 >= solid * 3)
+    return F.length(s).between(3, 60) & (F.regexp_count(s, F.lit("[^ ]+")) <= 6) & ~s.rlike(r"(?i)@|https?:|\d{4,}") & (letters * 4 >= solid * 3)
 
 
 def title_shaped(s: Column) -> Column:

@@ -46,7 +46,8 @@ def name_hits(lines: DataFrame) -> DataFrame:
     df = once(lines, _named=named,
               _plain=F.when(body & ((idx < header_limit) | F.col("beside_email")), strip_contact(text)))
     named, plain = F.col("_named"), F.col("_plain")
-    hits = F.array_compact(F.array(
+    # nulls leave after the explode: an array's own filter would take all these columns out of generated code
+    hits = F.array(
         hit(1, named, F.col("value"), F.lit(P["label"]), "explicit_label", F.concat(F.lit('explicit "'), label, F.lit('" label'))),
         hit(2, body & (idx < header_limit), plain, F.greatest(P["header_top"] - P["header_step"] * idx, F.lit(P["header_min"])), "header_detection",
             F.concat(F.lit("name-shaped line "), idx_s, F.lit(" of the header"))),
@@ -56,8 +57,8 @@ def name_hits(lines: DataFrame) -> DataFrame:
         # what holds no name's characters, or but one word, cannot count in the end
         hit(FALLBACK, body & (F.col("section") != "references") & F.length(trimmed).between(1, 40) & trimmed.rlike(NAME_CHARS) & trimmed.rlike(r"[\s,|•·–—]"), trimmed, F.lit(P["fallback"]), "heuristic",
             F.concat(F.lit("isolated name-shaped line "), idx_s, F.lit(", corroborated (header window found nothing)"))),
-    ))
-    rows = df.select("doc_id", "idx", F.explode(hits).alias("h")).select("doc_id", "idx", "h.*")
+    )
+    rows = df.select("doc_id", "idx", F.explode(hits).alias("h")).filter("h is not null").select("doc_id", "idx", "h.*")
     return clean_names(rows, "raw").withColumn("ord", F.col("step").cast("long") * 10**9 + F.col("idx")).drop("raw")
 
 
@@ -73,8 +74,8 @@ def name_merge(hits: DataFrame, tokens: DataFrame) -> DataFrame:
         live.groupBy("doc_id", F.lower("name").alias("name_key"))
         .agg(F.max("points").alias("points"), F.min("step").alias("step"), ordered.alias("_h"))
         .withColumn("ord", F.col("_h")[0]["ord"]).withColumn("name", F.col("_h")[0]["name"])
-        .withColumn("signals", F.array_distinct(F.transform("_h", lambda h: h["signal"])))
-        .withColumn("why", F.array_join(F.transform("_h", lambda h: h["why"]), "; "))
+        .withColumn("signals", F.array_distinct("_h.signal"))
+        .withColumn("why", F.array_join("_h.why", "; "))
         .drop("_h")
     )
     words = F.split("name_key", " ")
@@ -85,11 +86,14 @@ def name_merge(hits: DataFrame, tokens: DataFrame) -> DataFrame:
 def name_corroborate(cands: DataFrame) -> DataFrame:
     """Raise or lower each candidate by what the e-mail address and the file name say."""
     words = F.split("name_key", " ")
-    long_words = F.filter(words, lambda w: F.length(w) >= 3)
+
+    def shared(tokens):
+        known = F.filter(words, lambda w: (F.length(w) >= 3) & F.array_contains(tokens, w))
+        return F.when(F.arrays_overlap(words, tokens), F.size(known)).otherwise(0)
+
     df = (
-        cands.withColumn("_n", F.size(words)).withColumn("_on", F.size(long_words) > 0)
-        .withColumn("_e", F.size(F.filter(long_words, lambda w: F.array_contains("email_tokens", w))))
-        .withColumn("_f", F.size(F.filter(long_words, lambda w: F.array_contains("file_tokens", w))))
+        cands.withColumn("_n", F.size(words)).withColumn("_on", F.col("name_key").rlike("[^ ]{3}"))
+        .withColumn("_e", shared("email_tokens")).withColumn("_f", shared("file_tokens"))
     )
     e, f, n = F.col("_e"), F.col("_f"), F.col("_n")
     lone = (n == 1) & (e == 0) & (f == 0) & ~F.array_contains("signals", "explicit_label")

@@ -78,9 +78,8 @@ def phone_score(runs: DataFrame) -> DataFrame:
         df.withColumn("points", F.greatest(points, F.lit(0)))
         .withColumn(
             "signals",
-            F.array_compact(F.array(
-                F.when(F.col("own_label"), "explicit_label").when(in_header | (section == "personal_details"), "contact_section"), F.lit("regex")
-            )),
+            F.when(F.col("own_label"), F.array(F.lit("explicit_label"), F.lit("regex")))
+            .when(in_header | (section == "personal_details"), F.array(F.lit("contact_section"), F.lit("regex"))).otherwise(F.array(F.lit("regex"))),
         )
         .withColumn("why", F.concat_ws("; ", *reasons))
         .withColumn("why", F.when(F.col("why") == "", "matched a phone pattern").otherwise(F.col("why")))

@@ -33,7 +33,7 @@ def role_evidence(lines: DataFrame) -> DataFrame:
     text, label, section = F.col("text"), F.coalesce("label", F.lit("")), F.col("section")
     body, joined_text = ~F.col("is_heading"), F.concat_ws(" ", "text", "next_text")
     df = (
-        lines.withColumn("_joined", joined_text)
+        once(lines, _joined=joined_text)
         .withColumn("_intent", body & matches(F.col("_joined"), INTENT_WORD))
     )
     quoted = lambda before, after: F.concat(F.lit(before + '"'), label, F.lit('"' + after))
@@ -50,8 +50,9 @@ def role_evidence(lines: DataFrame) -> DataFrame:
                      quoted("current-designation label ", " (history, not intent)")))
     rows.append(_row(6, F.col("idx") == F.col("first_entry"), 5, F.lit(P["tier5_first"]), "keyword_match", None,
                      F.lit("most recent experience entry (history, not intent)"), scan=text))
-    df = df.withColumn("_rows", F.array_compact(F.array(*rows))).withColumn("_phrases", _intent_phrases())
-    return df.select("doc_id", "idx", F.explode(F.concat("_rows", F.coalesce(_intent_rows(), F.array()))).alias("c")).select("doc_id", "idx", "c.*")
+    df = once(df, _phrases=_intent_phrases())
+    # nulls leave after the explode: an array's own filter would take all these columns out of generated code
+    return df.select("doc_id", "idx", F.explode(F.concat(F.array(*rows), F.coalesce(_intent_rows(), F.array()))).alias("c")).filter("c is not null").select("doc_id", "idx", "c.*")
 
 
 def _intent_phrases() -> Column:
@@ -73,7 +74,7 @@ def _intent_rows() -> Column:
             phrase.alias("raw"), F.lit(None).cast("string").alias("scan"),
             F.concat(F.lit("intent phrase in the "), section, F.lit(" section"), F.when(wrapped, WRAPPED).otherwise("")).alias("why")))
 
-    return F.array_compact(F.transform("_phrases", row))
+    return F.transform("_phrases", row)
 
 
 def role_candidates(lines: DataFrame, tax: Taxonomy) -> DataFrame:
@@ -94,7 +95,7 @@ def resolved_phrases(phrases: DataFrame, tax: Taxonomy) -> DataFrame:
     """
     c = once(phrases.select("raw", (F.col("tier") == 4).alias("header")).distinct(), title=clean_title(F.col("raw"))).filter(is_title(F.col("title")))
     as_written = F.when(F.col("header") & (F.col("raw") != F.col("title")), F.col("raw"))
-    probes = F.array_compact(F.array(F.col("title"), as_written))
+    probes = F.when(as_written.isNull(), F.array(F.col("title"))).otherwise(F.array(F.col("title"), as_written))
     m = role_match(c.select("*", F.posexplode(probes).alias("probe_no", "probe")), ["raw", "header", "probe_no"], "probe", tax)
     cols = [x for x in m.columns if x not in ("raw", "header", "probe_no", "probe")]
     both = m.groupBy("raw", "header").agg(
