@@ -16,8 +16,8 @@ P = V.PHONE_POINTS
 
 
 def phone_runs(lines: DataFrame) -> DataFrame:
-    """Digit runs; a line with fewer than eight digits cannot hold a number."""
-    return lines.filter(F.col("text").rlike(r"(?:[0-9][^0-9]*){8}")).select("*", F.posexplode(every(F.col("text"), V.PHONE_RUN)).alias("pos", "raw"))
+    """Digit runs, also those of too few digits; each holds seven characters at least that are digits or stand between them."""
+    return lines.filter(F.col("text").rlike(r"[0-9][0-9\s.-]{5}")).select("*", F.posexplode(every(F.col("text"), V.PHONE_RUN)).alias("pos", "raw"))
 
 
 def _around(n_before: int, n_after: int) -> tuple[Column, Column]:
@@ -38,7 +38,8 @@ def context_veto(digits: Column) -> Column:
 
 
 def plausible_runs(lines: DataFrame) -> DataFrame:
-    runs = once(phone_runs(lines), digits=digits_of(F.col("raw"))).filter(~impossible(F.col("digits")))
+    # a line with fewer than eight digits cannot hold a number
+    runs = once(phone_runs(lines.filter(F.col("text").rlike(r"(?:[0-9][^0-9]*){8}"))), digits=digits_of(F.col("raw"))).filter(~impossible(F.col("digits")))
     return with_phone(runs, "raw").filter("phone_valid").filter(~context_veto(F.col("digits")))
 
 
