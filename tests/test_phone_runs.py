@@ -13,7 +13,7 @@ from intakelake.sources.views import RAW
 from .oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-KEYS = ["normalize_phone", "phone_context_veto", "phone_impossible"]
+KEYS = ["normalize_phone", "phone_context_veto", "phone_impossible", "phone_runs"]
 
 
 @pytest.fixture(scope="module")
