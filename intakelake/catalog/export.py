@@ -125,16 +125,25 @@ def _(spark, sf):
     return spark.read.schema(rows.schema).parquet(at)
 
 
+#: Files that a task of :func:`scan_files` writes.
+OBJECTS = 500
+
+
 @query("scan_files", """SELECT 's_suppkey=' || s_suppkey AS folder, strlen(s_name || s_suppkey) + 1 + CASE WHEN s_suppkey % 3 = 0 THEN 5 ELSE 0 END AS size,
    sha256(CASE WHEN s_suppkey % 3 = 0 THEN '%PDF-' ELSE '' END || s_name || s_suppkey || chr(10)) AS sha256, CASE WHEN s_suppkey % 3 = 0 THEN 'application/pdf' END AS kind FROM supplier""")
 def _(spark, sf):
     at = place(spark, "objects")
     s = raw(spark, sf, "supplier")
     body = F.concat(F.when(F.col("s_suppkey") % 3 == 0, "%PDF-").otherwise(""), "s_name", F.col("s_suppkey").cast("string"))
-    rows = s.select("s_suppkey", body.alias("value"))
-    rows.where("s_suppkey % 2 = 0").write.partitionBy("s_suppkey").text(at + "/in")
+    # one file a supplier: made by all tasks, each of which moves its own files into place
+    rows = s.select("s_suppkey", body.alias("value")).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-s.count() // OBJECTS)), "s_suppkey")
+
+    def store(part: DataFrame) -> None:
+        part.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("s_suppkey").text(at + "/in")
+
+    store(rows.where("s_suppkey % 2 = 0"))
     sfiles.refresh_manifest(spark, at + "/in", at + "/m0")
-    rows.where("s_suppkey % 2 = 1").write.mode("append").partitionBy("s_suppkey").text(at + "/in")
+    store(rows.where("s_suppkey % 2 = 1"))
     sfiles.refresh_manifest(spark, at + "/in", at + "/m1", at + "/m0")
     return spark.read.parquet(at + "/m1").select(F.element_at(F.split("path", "/"), -2).alias("folder"), "size", "sha256", "kind")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.files import sniff_mime
+from ..session import checkpointed
 
 TRUTH_SCHEMA = T.StructType([
     T.StructField("file", T.StringType()), T.StructField("layout", T.StringType()),
@@ -44,12 +45,15 @@ def refresh_manifest(spark: SparkSession, folder: str, to: str, was: str | None
         return
     known, key = spark.read.schema(MANIFEST).parquet(was), ["path", "size", "modified_at"]
     last = known.agg(F.max("modified_at")).first()[0]
-    listed = objects(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
+    held = objects(folder)  # the folder is listed once for all that follows
+    listed = held.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
     known.join(listed, key, "left_semi").write.parquet(to)
-    newer = objects(folder) if last is None else objects(folder).where(F.col("modificationTime") >= F.lit(last))
+    newer = held if last is None else held.where(F.col("modificationTime") >= F.lit(last))
     looked_at(newer).join(known, key, "left_anti").write.mode("append").parquet(to)
     group: list[str] = []
-    for row in listed.where(F.col("modified_at") < F.lit(last)).join(known, key, "left_anti").select("path").toLocalIterator() if last else ():
+    # found by all tasks and written, then read one by one: a local iterator runs its parts one after the other
+    older = checkpointed(listed.where(F.col("modified_at") < F.lit(last)).join(known, key, "left_anti").select("path")) if last else None
+    for row in older.toLocalIterator() if older else ():
         group.append(row[0])
         if len(group) == GROUP:
             looked_at(objects(*group)).write.mode("append").parquet(to)
