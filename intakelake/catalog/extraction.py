@@ -10,6 +10,7 @@ from ..functions.phones import digits_of, impossible, phone_mentions, with_phone
 from ..functions.regex import matches
 from ..operators import name as on, phone as op, review as rv, role as orole, structure as st, taxonomy as tx
 from ..plans.extraction import document_model, extract_fields, fields_of, parse_documents
+from ..session import checkpointed
 from ..sources.taxonomy import built_in, flatten_taxonomies
 from ..sources.views import view
 from . import sql as S
@@ -207,7 +208,8 @@ for _key, _step in STEP.items():
 
 @query("name_fallback_hits", "SELECT doc_id, idx, name FROM names_hit WHERE step = 5")
 def _(spark, sf):
-    h = on.name_hits(lines(spark, sf)).withColumn("name_line", F.col("idx"))
+    # read twice, so written once: the lines are annotated once
+    h = checkpointed(on.name_hits(lines(spark, sf)))
     kept = on.name_merge(h, on.doc_tokens(cv(spark, sf))).filter(F.col("ord") >= on.FALLBACK * 10**9).select("doc_id", "name_key")
     return h.filter(F.col("step") == on.FALLBACK).withColumn("name_key", F.lower("name")).join(kept, ["doc_id", "name_key"]).select("doc_id", "idx", "name")
 

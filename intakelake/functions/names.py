@@ -17,12 +17,16 @@ NAME_WORDS = f"^(?:{_TOKEN})(?: (?:{_TOKEN}))*$"
 CASED_WORDS = r"^\p{Lu}\p{Ll}[^ ]*+(?: \p{Lu}\p{Ll}[^ ]*+)*$"
 
 
+# What every e-mail, digit run, URL or double blank holds: a line without it has nothing to strip.
+CONTACT_MARK = r"@|[0-9][0-9\s().-]{7}|[hH][tT][tT][pP]|[wW][wW][wW]\.|\s\s"
+
+
 def strip_contact(line: Column) -> Column:
     """Drop e-mails, digit runs and URLs from a contact line."""
     s = sub(line, V.EMAIL, " ")
     s = sub(s, V.CONTACT_DIGITS, " ")
     s = sub(s, V.CONTACT_URL, " ")
-    return F.trim(F.regexp_replace(s, r"\s{2,}", " "))
+    return F.trim(F.when(line.rlike(CONTACT_MARK), F.regexp_replace(s, r"\s{2,}", " ")).otherwise(line))
 
 
 def capitalise(word: Column) -> Column:

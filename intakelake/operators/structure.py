@@ -46,8 +46,8 @@ def doc_lines(texts: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return rows.withColumns({c: F.when(F.col("idx") == 0, F.col(c)) for c in keep}) if keep else rows
 
 
-# Marks, digits and blanks: a line that neither begins nor ends with one has nothing to strip.
-EDGE = r"[\s\d*#|<>~=_·•▪◦\-–—:\u0085\u2028\u2029]"
+# Of a line's first and last character: one that neither begins with a mark, digit or blank nor ends with a mark or blank has nothing to strip.
+EDGE = r"^[\s\d*#|>~=_·•▪◦\-–—\u0085\u2028\u2029]|[\s*#|<~=_·•▪◦\-–—:\u0085\u2028\u2029]$"
 
 
 def strip_decoration(line: Column) -> Column:
