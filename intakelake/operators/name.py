@@ -38,28 +38,27 @@ def name_hits(lines: DataFrame) -> DataFrame:
     named = matches(label, V.NAME_LABEL)
     header_limit = F.when(F.col("has_headings"), F.col("header_end")).otherwise(6)
 
-    def hit(step, cond, raw, points, signal, why):
-        return F.when(cond, F.struct(F.lit(step).alias("step"), raw.alias("raw"), points.cast("int").alias("points"),
-                                     F.lit(signal).alias("signal"), why.alias("why")))
-
-    idx_s = idx.cast("string")
-    df = once(lines, _named=named,
-              _plain=F.when(body & ((idx < header_limit) | F.col("beside_email")), strip_contact(text)))
+    df = once(lines, _named=named, _plain=F.when(body & ((idx < header_limit) | F.col("beside_email")), strip_contact(text)))
     named, plain = F.col("_named"), F.col("_plain")
-    # nulls leave after the explode: an array's own filter would take all these columns out of generated code
-    hits = F.array(
-        hit(1, named, F.col("value"), F.lit(P["label"]), "explicit_label", F.concat(F.lit('explicit "'), label, F.lit('" label'))),
-        hit(2, body & (idx < header_limit), plain, F.greatest(P["header_top"] - P["header_step"] * idx, F.lit(P["header_min"])), "header_detection",
-            F.concat(F.lit("name-shaped line "), idx_s, F.lit(" of the header"))),
-        hit(3, body & (F.col("section") == "personal_details"), F.when(named, F.col("value")).otherwise(text), F.lit(P["details"]), "contact_section",
-            F.lit("in the personal details section")),
-        hit(4, body & F.col("beside_email"), plain, F.lit(P["adjacent"]), "contact_section", F.lit("adjacent to the contact line")),
-        # what holds no name's characters, or but one word, cannot count in the end
-        hit(FALLBACK, body & (F.col("section") != "references") & F.length(trimmed).between(1, 40) & trimmed.rlike(NAME_CHARS) & trimmed.rlike(r"[\s,|•·–—]"), trimmed, F.lit(P["fallback"]), "heuristic",
-            F.concat(F.lit("isolated name-shaped line "), idx_s, F.lit(", corroborated (header window found nothing)"))),
+    # of the fallback, what holds no name's characters, or but one word, cannot count in the end
+    shaped = F.length(trimmed).between(1, 40) & trimmed.rlike(NAME_CHARS) & trimmed.rlike(r"[\s,|•·–—]")
+    steps = [named, body & (idx < header_limit), body & (F.col("section") == "personal_details"), body & F.col("beside_email"),
+             body & (F.col("section") != "references") & shaped]
+    # only the kind of place is exploded, and nulls leave next: what it says is worked out for the rows that stay
+    found = df.select("doc_id", "idx", "text", "label", "value", "_named", "_plain", F.explode(F.array(*[F.when(c, n) for n, c in enumerate(steps, 1)])).alias("step"))
+    step, idx_s = F.col("step"), idx.cast("string")
+    raw = F.when(step.isin(2, 4), plain).when((step == 1) | ((step == 3) & named), F.col("value")).when(step == 3, text).otherwise(trimmed)
+    rows = clean_names(found.filter("step is not null").withColumn("raw", raw), "raw")
+    return rows.select(
+        "doc_id", "idx", "step",
+        F.when(step == 1, P["label"]).when(step == 2, F.greatest(P["header_top"] - P["header_step"] * idx, F.lit(P["header_min"]))).when(step == 3, P["details"])
+        .when(step == 4, P["adjacent"]).otherwise(P["fallback"]).cast("int").alias("points"),
+        F.when(step == 1, "explicit_label").when(step == 2, "header_detection").when(step == FALLBACK, "heuristic").otherwise("contact_section").alias("signal"),
+        F.when(step == 1, F.concat(F.lit('explicit "'), label, F.lit('" label'))).when(step == 2, F.concat(F.lit("name-shaped line "), idx_s, F.lit(" of the header")))
+        .when(step == 3, "in the personal details section").when(step == 4, "adjacent to the contact line")
+        .otherwise(F.concat(F.lit("isolated name-shaped line "), idx_s, F.lit(", corroborated (header window found nothing)"))).alias("why"),
+        "name", (step.cast("long") * 10**9 + idx).alias("ord"),
     )
-    rows = df.select("doc_id", "idx", F.explode(hits).alias("h")).filter("h is not null").select("doc_id", "idx", "h.*")
-    return clean_names(rows, "raw").withColumn("ord", F.col("step").cast("long") * 10**9 + F.col("idx")).drop("raw")
 
 
 def name_merge(hits: DataFrame, tokens: DataFrame) -> DataFrame:
