@@ -8,17 +8,27 @@ from pyspark.sql import Column, functions as F
 
 _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+_BLANKS = r" \t\n\f\r"
 
 
 def java(pattern: str) -> str:
-    """Pin word boundaries to ASCII: older JVMs count accented letters as word characters.
+    """Pin word boundaries to ASCII, as older JVMs count accented letters as word characters, and white space to RE2's, which has no vertical tab.
 
     A boundary before a word character is a look-behind, one after a word character a look-ahead;
     only where a dot may stand before it is the full test needed.
     """
     pattern = re.sub(r"\\b(?=[A-Za-z0-9(]|\\d|\[\\p|\[Mm)", lambda _: f"(?<!{_WORD})", pattern)
     dotted = r"\.|" in pattern or r"\.)" in pattern
-    return pattern.replace(r"\b", _BOUNDARY if dotted else f"(?!{_WORD})")
+    return _pin_blanks(pattern.replace(r"\b", _BOUNDARY if dotted else f"(?!{_WORD})"))
+
+
+def _pin_blanks(pattern: str) -> str:
+    def pin(m: re.Match) -> str:
+        if m[0].startswith("["):
+            return re.sub(r"\\(.)", lambda e: _BLANKS if e[1] == "s" else e[0], m[0])
+        return {r"\s": f"[{_BLANKS}]", r"\S": f"[^{_BLANKS}]"}.get(m[0], m[0])
+
+    return re.sub(r"\[(?:\\.|[^\]\\])*\]|\\.", pin, pattern)
 
 
 def matches(col: Column, pattern: str) -> Column:
