@@ -217,7 +217,8 @@ def planted_runs(docs: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     rows = docs.select("doc_id", "text", (h % 10 == 0).alias("picked"), F.floor(h / 10).alias("g"), words.alias("w")).withColumn("n", F.size("w"))
-    rows = rows.withColumn("a", F.col("g") % F.col("n")).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    # a text without words is never changed, but its numbers are worked out all the same
+    rows = rows.withColumn("a", F.col("g") % F.greatest("n", F.lit(1))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
     again = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
     return rows.select("doc_id", F.when(F.col("picked") & (F.col("n") > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
 
