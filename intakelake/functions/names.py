@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import values as V
-from .regex import matches, squeeze, sub
+from .regex import matches, sub
 from .stage import once
 
 
 #: A name holds letters, joiners and quotes only.
-NAME_CHARS = r"^[\p{L}'’.,|•·–—\s-]+$"
+NAME_CHARS = r"^[\p{L}'’.,|•·–—\s-]++$"
+#: The same with something between two words in it.
+NAME_SHAPE = r"^(?=[^\s,|•·–—]*+[\s,|•·–—])" + NAME_CHARS[1:]
 _TOKEN = V.NAME_TOKEN.replace("^", "").replace("$", "")
 #: Every word of a text of single blanks is a name's word; and every word is cased as it stays.
 NAME_WORDS = f"^(?:{_TOKEN})(?: (?:{_TOKEN}))*$"
@@ -41,11 +43,13 @@ def title_case_name(word: Column) -> Column:
 
 def clean_names(df: DataFrame, raw: str, out: str = "name") -> DataFrame:
     """Keep the rows whose ``raw`` text is name-shaped and add the cleaned name."""
-    s = squeeze(F.regexp_replace(F.col(raw), V.NAME_JOINERS, " "))
-    s = F.trim(sub(sub(s, V.NAME_HONORIFIC, ""), V.NAME_SUFFIX, ""))
+    # joiners are blanks, and what stands before and after a name goes at once: each change of a text costs as much as a test
+    s = F.trim(F.regexp_replace(F.col(raw), V.NAME_JOINERS.replace("]", r"\s]"), " "))
+    s = F.trim(sub(s, f"{V.NAME_HONORIFIC}|{V.NAME_SUFFIX}", ""))
     # most texts stop at this one cheap test
     df = once(df.filter(F.col(raw).rlike(NAME_CHARS)), _s=s).filter(F.length("_s").between(3, 60))
-    df = df.filter(F.size(F.split("_s", " ")) <= 5).filter(~matches(F.col("_s"), V.NOT_A_NAME))
+    blanks = F.length("_s") - F.length(F.replace("_s", F.lit(" "), F.lit("")))
+    df = df.filter(blanks < 5).filter(~matches(F.col("_s"), V.NOT_A_NAME))
     recased = F.array_join(F.transform(F.split("_s", " "), title_case_name), " ")
     df = once(df, **{out: F.when(F.col("_s").rlike(CASED_WORDS), F.col("_s")).otherwise(recased)})
     return df.filter(F.col(out).rlike(NAME_WORDS)).drop("_s")

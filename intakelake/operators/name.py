@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import values as V
-from ..functions.names import NAME_CHARS, clean_names, correct_spelling, email_tokens, file_tokens, strip_contact
+from ..functions.names import NAME_SHAPE, clean_names, correct_spelling, email_tokens, file_tokens, strip_contact
 from ..functions.regex import matches
 from ..functions.stage import once
 from .phone import rank_candidates, top_and_rest
@@ -35,13 +35,13 @@ def name_hits(lines: DataFrame) -> DataFrame:
     """Every name-shaped string with the signal that found it; one pass over the lines."""
     text, idx, label = F.col("text"), F.col("idx"), F.coalesce("label", F.lit(""))
     body, trimmed = ~F.col("is_heading"), F.trim(F.col("text"))
-    named = matches(label, V.NAME_LABEL)
+    named = F.coalesce(matches(F.col("label"), V.NAME_LABEL), F.lit(False))
     header_limit = F.when(F.col("has_headings"), F.col("header_end")).otherwise(6)
 
     df = once(lines, _named=named, _plain=F.when(body & ((idx < header_limit) | F.col("beside_email")), strip_contact(text)))
     named, plain = F.col("_named"), F.col("_plain")
-    # of the fallback, what holds no name's characters, or but one word, cannot count in the end
-    shaped = F.length(trimmed).between(1, 40) & trimmed.rlike(NAME_CHARS) & trimmed.rlike(r"[\s,|•·–—]")
+    # of the fallback, what holds no name's characters, or but one word, cannot count in the end, nor what another step takes as it stands
+    shaped = ~F.coalesce(plain == trimmed, F.lit(False)) & F.length(trimmed).between(1, 40) & trimmed.rlike(NAME_SHAPE)
     steps = [named, body & (idx < header_limit), body & (F.col("section") == "personal_details"), body & F.col("beside_email"),
              body & (F.col("section") != "references") & shaped]
     # only the kind of place is exploded, and nulls leave next: what it says is worked out for the rows that stay

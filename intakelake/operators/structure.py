@@ -14,11 +14,14 @@ from ..functions.regex import every, group, matches, sub
 from ..functions.stage import once
 
 # Every section pattern starts with one of these; most lines stop at this one cheap test.
-HEADING_START = (
-    r"(?i)^(?:career|objective|professional|job|summary|profile|about|executive|synopsis|overview|resume|headline|personal|bio|candidate"
-    r"|work|experience|employment|職務|internship|education|academic|qualification|technical|key|core|it\s|skill|competenc|expertise|tech"
-    r"|project|major|certification|course|training|achievement|award|accomplishment|refer|declaration|i\s)"
+_STARTS = (
+    r"(?:c(?:areer|andidate|ore|ompetenc|ertification|ourse)|o(?:bjective|verview)|p(?:rofessional|rofile|ersonal|roject)|job|s(?:ummary|ynopsis|kill)"
+    r"|a(?:bout|cademic|chievement|ward|ccomplishment)|e(?:xecutive|xperience|mployment|ducation|xpertise)|re(?:sume|fer)|headline|bio|work|職務"
+    r"|i(?:nternship|t\s|\s)|qualification|tech|key|major|training|declaration)"
 )
+HEADING_START = "(?i)^" + _STARTS
+#: The same before anything is stripped: no line without it is a heading.
+MAYBE_HEADING = r"(?i)^[\s\d.)*#|>~=_·•▪◦\-–—]*+" + _STARTS
 
 
 def by_line() -> WindowSpec:
@@ -63,9 +66,10 @@ def detect_section(bare: Column) -> Column:
     return F.when(F.length(bare).between(1, V.HEADING_CHARS) & bare.rlike(HEADING_START), kind)
 
 
-def with_headings(lines: DataFrame) -> DataFrame:
-    bare = once(lines, bare=strip_decoration(F.col("text")))
-    return once(bare, kind=detect_section(F.col("bare"))).withColumn("is_heading", F.col("kind").isNotNull())
+def with_headings(lines: DataFrame, bare: Column | None = None) -> DataFrame:
+    """``bare`` where it is not the undecorated line itself: null where the line is no heading in any case."""
+    df = once(lines, bare=strip_decoration(F.col("text")) if bare is None else bare)
+    return once(df, kind=detect_section(F.col("bare"))).withColumn("is_heading", F.col("kind").isNotNull())
 
 
 def section_fill(lines: DataFrame) -> DataFrame:
@@ -76,8 +80,12 @@ def section_fill(lines: DataFrame) -> DataFrame:
 
 def header_bounds(lines: DataFrame) -> DataFrame:
     first = F.min(F.when(F.col("is_heading"), F.col("idx"))).over(whole_doc())
+    return _bounded(lines.withColumn("first_heading", first))
+
+
+def _bounded(lines: DataFrame) -> DataFrame:
     return (
-        lines.withColumn("first_heading", first)
+        lines
         .withColumn("has_headings", F.col("first_heading").isNotNull())
         .withColumn("header_end", F.least(F.coalesce("first_heading", "n_lines"), F.lit(V.HEADER_LINES)))
         .drop("first_heading")
@@ -116,15 +124,18 @@ def annotate_lines(texts: DataFrame, keep: list[str] | None = None) -> DataFrame
 
     What a line says of itself comes first, what it has from its neighbours after: so one sort serves all windows.
     """
-    lines = once(label_value(with_headings(doc_lines(texts, keep))), emails=line_emails(F.col("text"))).withColumn("has_email", F.size("emails") > 0)
+    text, doc = F.col("text"), by_line().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in one pass with the windows by line
+    headed = with_headings(doc_lines(texts, keep), F.when(text.rlike(MAYBE_HEADING), strip_decoration(text)))
+    lines = once(label_value(headed), emails=line_emails(text)).withColumn("has_email", F.size("emails") > 0)
     near = F.coalesce(F.lag("has_email").over(by_line()), F.lit(False)) | F.coalesce(F.lead("has_email").over(by_line()), F.lit(False))
-    first_entry = F.min(F.when((F.col("section") == "experience") & ~F.col("is_heading") & (F.trim("text") != ""), F.col("idx"))).over(whole_doc())
+    first_entry = F.min(F.when((F.col("section") == "experience") & ~F.col("is_heading") & (F.trim("text") != ""), F.col("idx"))).over(doc)
     around = (
         section_fill(lines).withColumn("prev_text", F.lag("text").over(by_line()))
         .withColumn("next_text", F.when(~F.lead("is_heading").over(by_line()), F.lead("text").over(by_line())))
         .withColumn("beside_email", near)
+        .withColumn("first_heading", F.min(F.when(F.col("is_heading"), F.col("idx"))).over(doc))
     )
-    return header_bounds(around).withColumn("first_entry", first_entry).drop("bare", "kind", "n_lines", "separated")
+    return _bounded(around).withColumn("first_entry", first_entry).drop("bare", "kind", "n_lines", "separated")
 
 
 def section_lines(lines: DataFrame, kind: str) -> DataFrame:
